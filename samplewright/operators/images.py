@@ -222,22 +222,36 @@ def augment_params(df: DataFrame, key: str, height: str | Column, width: str | C
     h, w = as_col(height).cast("bigint"), as_col(width).cast("bigint")
     low, high = float(np.log(ratio[0])), float(np.log(ratio[1]))
 
-    def attempt(i: Column) -> Column:
-        text = hash_hex(seed, epoch, F.col(key), i)
+    def draw(i: Column) -> Column:
+        return hash_hex(seed, epoch, F.col(key), i)
+
+    def box(text: Column) -> Column:
         share = (h * w) * (F.lit(area[0]) + F.lit(area[1] - area[0]) * hash_uniform(text, 0))
         shape = F.exp(F.lit(low) + F.lit(high - low) * hash_uniform(text, 1))
-        box_w = F.bround(F.sqrt(share * shape), 0).cast("bigint")
-        box_h = F.bround(F.sqrt(share / shape), 0).cast("bigint")
+        return F.struct(share.alias("share"), shape.alias("shape"), text.alias("text"))
+
+    def sides(b: Column) -> Column:
         return F.struct(
-            box_h.alias("h"), box_w.alias("w"),
-            F.floor(hash_uniform(text, 2) * (h - box_h + 1)).alias("top"),
-            F.floor(hash_uniform(text, 3) * (w - box_w + 1)).alias("left"),
+            F.bround(F.sqrt(b["share"] / b["shape"]), 0).cast("bigint").alias("h"),
+            F.bround(F.sqrt(b["share"] * b["shape"]), 0).cast("bigint").alias("w"),
+            b["text"].alias("text"),
         )
 
-    fits = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), attempt),
-        lambda b: (b["h"] > 0) & (b["w"] > 0) & (b["h"] <= h) & (b["w"] <= w),
-    )
+    def fits(b: Column) -> Column:
+        return (b["h"] > 0) & (b["w"] > 0) & (b["h"] <= h) & (b["w"] <= w)
+
+    def placed(b: Column) -> Column:
+        return F.struct(
+            b["h"].alias("h"), b["w"].alias("w"),
+            F.floor(hash_uniform(b["text"], 2) * (h - b["h"] + 1)).alias("top"),
+            F.floor(hash_uniform(b["text"], 3) * (w - b["w"] + 1)).alias("left"),
+        )
+
+    def first_fit(tries: Column) -> Column:
+        # One transform per step, so that each value is computed once per try.
+        sized = F.transform(F.transform(F.transform(tries, draw), box), sides)
+        return F.get(F.transform(F.slice(F.filter(sized, fits), 1, 1), placed), F.lit(0))
+
     shape = w / h
     full_h = F.when(shape < ratio[0], F.bround(w / F.lit(ratio[0]), 0).cast("bigint")).otherwise(h)
     full_w = F.when(shape > ratio[1], F.bround(h * F.lit(ratio[1]), 0).cast("bigint")).otherwise(w)
@@ -246,7 +260,11 @@ def augment_params(df: DataFrame, key: str, height: str | Column, width: str | C
         int_div(h - full_h, 2).alias("top"), int_div(w - full_w, 2).alias("left"),
     )
     flip = hash_uniform(hash_hex(seed, epoch, F.col(key), "flip"), 0) < 0.5
-    boxed = df.withColumn("_box", F.coalesce(F.get(fits, F.lit(0)), centred))
+    # Most rows are settled by the first try; the others are drawn only when needed.
+    tries = [first_fit(F.array(F.lit(0)))]
+    if attempts > 1:
+        tries.append(first_fit(F.sequence(F.lit(1), F.lit(attempts - 1))))
+    boxed = df.withColumn("_box", F.coalesce(*tries, centred))
     return boxed.withColumns({
         "crop_top": F.col("_box.top"), "crop_left": F.col("_box.left"),
         "crop_h": F.col("_box.h"), "crop_w": F.col("_box.w"), "flip": flip,

@@ -53,7 +53,7 @@ def hashed_position(df: DataFrame, key: str | Sequence[str], seed: int | Column
     by = list(by)
     buckets = 16 ** bucket_hex
     hashed = df.withColumn("_hash", hash_hex(seed, *[F.col(k) for k in keys]))
-    hashed = hashed.withColumn(BUCKET, hex_number(F.col("_hash"), 1, bucket_hex).cast("int"))
+    hashed = hashed.withColumn(BUCKET, F.substring("_hash", 1, bucket_hex))
 
     counts = hashed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +72,8 @@ def hashed_position(df: DataFrame, key: str | Sequence[str], seed: int | Column
     if partitions:
         if by or partitions > buckets:
             raise ValueError("partitions needs a single ranking and at most 16^bucket_hex parts")
-        hashed = hashed.withColumn("_part", int_div(F.col(BUCKET).cast("bigint") * partitions, buckets).cast("int"))
+        number = hex_number(F.col(BUCKET), 1, bucket_hex)
+        hashed = hashed.withColumn("_part", int_div(number * partitions, buckets).cast("int"))
         hashed = hashed.repartitionById(partitions, "_part")
         inside = ["_part", BUCKET]
 

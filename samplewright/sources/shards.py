@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplewright.functions.columns import label_from_path
+from samplewright.functions.columns import hex_number, int_div, label_from_path
 from samplewright.operators.lookup import shard_ranges
 from samplewright.session import broadcast_if_small
 from samplewright.sources.ranges import read_ranges
@@ -42,7 +42,9 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
                 })
 
     records = shards.mapInPandas(run, "shard_id int, local_idx bigint, path string, start bigint, end bigint")
-    counts = records.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
+    # Record counts from the index headers: 10 bytes, the header text, 16 bytes per record.
+    header = hex_number(F.hex(F.substring("content", 9, 1)), 1, 2) + 256 * hex_number(F.hex(F.substring("content", 10, 1)), 1, 2)
+    counts = shards.select("shard_id", int_div(F.octet_length("content") - 10 - header, 16).alias("n"))
     firsts = broadcast_if_small(shard_ranges(counts).select("shard_id", "first_idx"))
     return records.join(firsts, "shard_id").select(
         "shard_id", "local_idx", (F.col("first_idx") + F.col("local_idx")).alias("sample_idx"),
