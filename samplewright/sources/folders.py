@@ -50,8 +50,8 @@ def read_decoded_folder(spark: SparkSession, root: str, exts: tuple[str, ...] =
 
     Undecodable files stay, with ``height = -1``.
     """
-    images = (
+    decoded = (
         spark.read.format("image").option("dropInvalid", False)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}").load(root)
     )
-    return spark_image_blobs(images)
+    return spark_image_blobs(decoded).where(_two_levels_below(root))

@@ -34,7 +34,10 @@ def read_run_files(spark: SparkSession, root: str, glob: str = "summary_*.csv",
         spark.read.schema(f"{schema}, corrupt string").option("header", True).option("pathGlobFilter", glob)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(root)
     )
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"))
+    named = rows.select("*", F.col("_metadata.file_name").alias("file_name"))
+    # Needs every column, so that none is pruned from the scan: a value that is not
+    # parsed is not found malformed either.
+    return named.where(F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns])) >= 0)
 
 
 def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
