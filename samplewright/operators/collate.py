@@ -5,56 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from samplewright.operators.sampler import TOTAL
 
 
-def _gather(df: DataFrame, fields: Sequence[str], batch: str, slot: str, batch_size: int | None,
-            within: Sequence[str]) -> DataFrame:
-    """``batch_id, _items``: the structs of each batch, unordered.
+def gather(df: DataFrame, fields: Sequence[str], batch: str = "batch_id", slot: str = "slot",
+           within: Sequence[str] = ()) -> DataFrame:
+    """One row per batch: ``batch_id, size`` and an array in slot order for each field.
 
-    With ``within`` (columns the rows are already partitioned by) most batches
-    are complete inside one partition and never move again; only the pieces of
-    batches that straddle two of those groups are shuffled.
+    ``within`` names columns the rows are partitioned by such that no batch
+    straddles two partitions; the batches are then gathered without a shuffle.
     """
-    item = F.struct(slot, *fields)
-    if not within:
-        return df.groupBy(batch).agg(F.collect_list(item).alias("_items"))
-    if batch_size is None:
-        raise ValueError("within needs batch_size")
-    size = F.least(F.lit(batch_size).cast("bigint"), F.col(TOTAL) - F.col(batch) * batch_size)
-    pieces = df.groupBy(*within, batch).agg(
-        F.collect_list(item).alias("_items"), F.count(F.lit(1)).alias("_n"), F.first(size).alias("_size")
+    items = df.groupBy(*within, batch).agg(F.array_sort(F.collect_list(F.struct(slot, *fields))).alias("_items"))
+    return items.select(
+        batch, F.size("_items").alias("size"),
+        *[F.col("_items").getField(f).alias(f) for f in fields],
     )
-    whole = pieces.where("_n = _size").select(batch, "_items")
-    split = pieces.where("_n < _size").groupBy(batch).agg(F.flatten(F.collect_list("_items")).alias("_items"))
-    return whole.unionByName(split)
 
 
 def collate(df: DataFrame, tensor: str | None, label: str, scale: bool = True, batch: str = "batch_id",
-            slot: str = "slot", batch_size: int | None = None, within: Sequence[str] = ()) -> DataFrame:
+            slot: str = "slot", within: Sequence[str] = ()) -> DataFrame:
     """One row per batch: ``batch_id, size, images, labels`` in slot order.
 
     ``scale`` turns 0..255 into 0..1 after the shuffle, once per batch. Tensors of
     unequal length raise. ``tensor=None`` gathers the labels alone.
     """
-    fields = [label] if tensor is None else [tensor, label]
-    items = F.array_sort("_items")
-    gathered = _gather(df, fields, batch, slot, batch_size, within).select(batch, items.alias("_items"))
-    columns: list[Column] = [F.col(batch), F.size("_items").alias("size")]
-    if tensor is not None:
-        images = F.transform("_items", lambda s: s[tensor])
-        lengths = F.transform("_items", lambda s: F.size(s[tensor]))
-        uneven = F.array_max(lengths) != F.array_min(lengths)
-        if scale:
-            images = F.transform(images, lambda a: F.transform(a, lambda x: x.cast("double") / F.lit(255.0)))
-        problem = F.raise_error(F.concat(F.lit("tensors of unequal length in batch "), F.col(batch).cast("string")))
-        element = "array<array<double>>" if scale else df.select(F.array(tensor)).schema[0].dataType.simpleString()
-        columns.append(F.when(uneven, problem.cast(element)).otherwise(images).alias("images"))
-    columns.append(F.transform("_items", lambda s: s[label]).alias("labels"))
-    return gathered.select(*columns)
+    labels = F.col(label).alias("labels")
+    if tensor is None:
+        return gather(df, [label], batch, slot, within).select(batch, "size", labels)
+    packed = isinstance(df.schema[tensor].dataType, BinaryType)
+    if packed and scale:
+        raise TypeError("scale works on array tensors; decode with scale=True for binary ones")
+    gathered = gather(df, [tensor, label], batch, slot, within)
+    lengths = F.transform(tensor, F.octet_length if packed else F.size)
+    uneven = F.array_max(lengths) != F.array_min(lengths)
+    images = F.col(tensor)
+    if scale:
+        images = F.transform(images, lambda a: F.transform(a, lambda x: x.cast("double") / F.lit(255.0)))
+    element = "array<array<double>>" if scale else gathered.schema[tensor].dataType.simpleString()
+    problem = F.raise_error(F.concat(F.lit("tensors of unequal length in batch "), F.col(batch).cast("string")))
+    return gathered.select(batch, "size", F.when(uneven, problem.cast(element)).otherwise(images).alias("images"), labels)
 
 
 def collate_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,

@@ -16,13 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import IntegralType
 
-from samplewright.functions.columns import hash_hex, hash_uniform, int_div
+from samplewright.functions.columns import as_col, hash_hex, hash_uniform, int_div
 from samplewright.functions.fixed import DEFAULT_IMAGE_SIZE
-from samplewright.operators.rank import as_col
 
 TENSOR_FIELDS = "height int, width int, channels int, data binary, error string"
+SLICE_BYTES = 32 << 20
 
 
 # --- pixels -----------------------------------------------------------------
@@ -50,9 +50,13 @@ def resize_bilinear(stack: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     top, bottom, dy = _axis(stack.shape[1], height)
     left, right, dx = _axis(stack.shape[2], width)
     dy, dx = dy[None, :, None, None], dx[None, None, :, None]
-    pixels = stack.astype(np.float32)
-    rows = pixels[:, top] * (1 - dy) + pixels[:, bottom] * dy
-    out = rows[:, :, left] * (1 - dx) + rows[:, :, right] * dx
+
+    def corner(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return stack[:, rows[:, None], columns[None, :]].astype(np.float32)
+
+    upper = corner(top, left) * (1 - dx) + corner(top, right) * dx
+    lower = corner(bottom, left) * (1 - dx) + corner(bottom, right) * dx
+    out = upper * (1 - dy) + lower * dy
     return np.floor(out + 0.5).clip(0, 255).astype(np.uint8)
 
 
@@ -67,61 +71,110 @@ def to_bytes(stack: np.ndarray, scale: bool, mean: Sequence[float] | None, std:
     return [image.tobytes() for image in planes]
 
 
-def _decode_all(frame: pd.DataFrame, decoder: Callable, columns: Sequence[str]) -> tuple[list, list]:
-    """Decoded arrays and error texts, row by row; a failed row has no array."""
-    arrays, errors = [], []
-    for values in zip(*(frame[c] for c in columns)):
-        try:
-            if any(v is None for v in values):
-                raise ValueError("missing image")
-            array = np.asarray(decoder(*values), dtype=np.uint8)
-            if array.ndim != 3:
-                raise ValueError(f"decoder returned {array.ndim} dimensions")
-            arrays.append(array)
-            errors.append(None)
-        except Exception as problem:  # any codec error makes this row a reject
-            arrays.append(None)
-            errors.append(f"{type(problem).__name__}: {problem}")
-    return arrays, errors
-
-
-def _by_shape(arrays: list) -> dict[tuple, list[int]]:
+def _decode(decoder: Callable, values: Sequence) -> tuple[np.ndarray | None, str | None]:
+    """The decoded array, or the reason there is none."""
+    try:
+        if any(v is None or v != v for v in values):
+            raise ValueError("missing image")
+        array = np.asarray(decoder(*values), dtype=np.uint8)
+        if array.ndim != 3:
+            raise ValueError(f"decoder returned {array.ndim} dimensions")
+        return array, None
+    except Exception as problem:  # any codec error makes this row a reject
+        return None, f"{type(problem).__name__}: {problem}"
+
+
+def _tensors(arrays: list, rows: pd.DataFrame | None, make: Callable, scale: bool, mean, std) -> tuple[list, np.ndarray]:
+    """Tensor bytes and shapes of decoded arrays; those of equal shape are handled as one array."""
+    shape = np.zeros((len(arrays), 3), dtype=np.int32)
+    data: list = [None] * len(arrays)
     groups: dict[tuple, list[int]] = {}
     for i, array in enumerate(arrays):
         if array is not None:
             groups.setdefault(array.shape, []).append(i)
-    return groups
+    for members in groups.values():
+        stack = make(np.stack([arrays[i] for i in members]), None if rows is None else rows.iloc[members])
+        shape[members] = stack.shape[1:]
+        for i, blob in zip(members, to_bytes(stack, scale, mean, std)):
+            data[i] = blob
+    return data, shape
 
 
 def _image_pass(df: DataFrame, keep: Sequence[str], decoder: Callable | None, decoder_columns: Sequence[str],
                 make: Callable[[np.ndarray, pd.DataFrame], np.ndarray], scale: bool, mean, std,
                 on_bad: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns and the tensor fields.
+
+    A pandas UDF, so that only the decoder's columns go to Python. It works on
+    slices of about ``SLICE_BYTES`` of pixels.
+    """
     if on_bad not in ("error", "reject"):
         raise ValueError(f"unknown on_bad {on_bad!r}")
     decode = decoder or pillow_decoder
-    fields = [df.schema[c] for c in keep]
-    schema = T.StructType([*fields, *T.StructType.fromDDL(TENSOR_FIELDS).fields])
-    columns = list(dict.fromkeys([*keep, *decoder_columns, *extra]))
-    keep, decoder_columns = list(keep), list(decoder_columns)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = list(dict.fromkeys([*decoder_columns, *extra]))
+    decoder_columns = list(decoder_columns)
+    whole = [isinstance(df.schema[c].dataType, IntegralType) for c in decoder_columns]
+
+    def finish(rows: pd.DataFrame, arrays: list, errors: list) -> pd.DataFrame:
+        data, shape = _tensors(arrays, rows, make, scale, mean, std)
+        return pd.DataFrame({
+            "height": shape[:, 0], "width": shape[:, 1], "channels": shape[:, 2], "data": data, "error": errors,
+        })
+
+    @F.pandas_udf(TENSOR_FIELDS)
+    def tensors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            arrays, errors = _decode_all(frame, decode, decoder_columns)
-            if on_bad == "error" and any(errors):
-                raise ValueError(next(e for e in errors if e))
-            out = frame[keep].copy()
-            shape = np.zeros((len(frame), 3), dtype=np.int32)
-            data: list = [None] * len(frame)
-            for rows in _by_shape(arrays).values():
-                stack = make(np.stack([arrays[i] for i in rows]), frame.iloc[rows])
-                shape[rows] = stack.shape[1:]
-                for i, blob in zip(rows, to_bytes(stack, scale, mean, std)):
-                    data[i] = blob
-            out["height"], out["width"], out["channels"] = shape[:, 0], shape[:, 1], shape[:, 2]
-            out["data"], out["error"] = data, errors
-            yield out
-
-    return df.select(*columns).mapInPandas(run, schema)
+            arrays, errors, first, held = [], [], 0, 0
+            for i, values in enumerate(zip(*(frame[c] for c in decoder_columns))):
+                # pandas turns whole numbers next to a NULL into floats
+                values = [int(v) if w and v == v else v for v, w in zip(values, whole)]
+                array, error = _decode(decode, values)
+                if error and on_bad == "error":
+                    raise ValueError(error)
+                arrays.append(array)
+                errors.append(error)
+                held += 0 if array is None else array.nbytes
+                if held >= SLICE_BYTES or i + 1 == len(frame):
+                    yield finish(frame.iloc[first:i + 1], arrays, errors)
+                    arrays, errors, first, held = [], [], i + 1, 0
+
+    added = df.withColumn("_tensor", tensors(F.struct(*names)))
+    fields = ("height", "width", "channels", "data", "error")
+    return added.select(*keep, *[F.col(f"_tensor.{f}").alias(f) for f in fields])
+
+
+def _fit(size: tuple[int, int] | None) -> Callable:
+    def make(stack: np.ndarray, _: pd.DataFrame) -> np.ndarray:
+        return stack if size is None else resize_bilinear(stack, size)
+
+    return make
+
+
+def batch_tensors(batches: DataFrame, size: tuple[int, int] | None = DEFAULT_IMAGE_SIZE, scale: bool = False,
+                  mean: Sequence[float] | None = None, std: Sequence[float] | None = None,
+                  decoder: Callable | None = None, decoder_columns: Sequence[str] = ("image",),
+                  out: str = "images") -> DataFrame:
+    """Replace the array columns ``decoder_columns`` of gathered batches by ``images``, an array of binary tensors.
+
+    A bad image raises: a batch has no place for a reject.
+    """
+    decode, make = decoder or pillow_decoder, _fit(size)
+
+    @F.pandas_udf("array<binary>")
+    def tensors(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in frames:
+            done = []
+            for batch in zip(*columns):
+                arrays = []
+                for values in zip(*batch):
+                    array, error = _decode(decode, values)
+                    if error:
+                        raise ValueError(error)
+                    arrays.append(array)
+                done.append(_tensors(arrays, None, make, scale, mean, std)[0])
+            yield pd.Series(done)
+
+    return batches.withColumn(out, tensors(*decoder_columns)).drop(*[c for c in decoder_columns if c != out])
 
 
 def image_tensors(df: DataFrame, size: tuple[int, int] | None = DEFAULT_IMAGE_SIZE, scale: bool = False,
@@ -134,11 +187,7 @@ def image_tensors(df: DataFrame, size: tuple[int, int] | None = DEFAULT_IMAGE_SI
     normalised with ``mean``/``std``. Bad images keep their row with ``error`` set
     (see ``split_rejects``) unless ``on_bad='error'``.
     """
-
-    def make(stack: np.ndarray, _: pd.DataFrame) -> np.ndarray:
-        return stack if size is None else resize_bilinear(stack, size)
-
-    return _image_pass(df, keep, decoder, decoder_columns, make, scale, mean, std, on_bad)
+    return _image_pass(df, keep, decoder, decoder_columns, _fit(size), scale, mean, std, on_bad)
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from samplewright.functions.columns import int_div
 from samplewright.functions.fixed import FALLBACK_MEAN_MS, FALLBACK_STD_MS
-from samplewright.session import broadcast_if_small, same_keys
+from samplewright.session import broadcast_if_small, is_small, same_keys, settled
 
 
 def fetch_by_index(samples: DataFrame, index_df: DataFrame, idx: str = "sample_idx",
@@ -20,11 +20,15 @@ def fetch_by_index(samples: DataFrame, index_df: DataFrame, idx: str = "sample_i
     An index outside the samples raises when the row is computed, or is left out
     with ``on_missing='drop'``.
     """
+    # A short list of indices is sent to the samples first, so that only hits move.
+    near = samples
+    if is_small(index_df.select(idx)):
+        near = samples.join(F.broadcast(index_df.select(idx).distinct()), idx, "left_semi")
     if on_missing == "drop":
-        return index_df.join(samples, idx)
+        return index_df.join(near, idx)
     if on_missing != "error":
         raise ValueError(f"unknown on_missing {on_missing!r}")
-    joined = index_df.join(samples.withColumn("_found", F.lit(True)), idx, "left")
+    joined = index_df.join(near.withColumn("_found", F.lit(True)), idx, "left")
     problem = F.raise_error(F.concat(F.lit("index out of range: "), F.coalesce(F.col(idx).cast("string"), F.lit("NULL"))))
     kind = index_df.schema[idx].dataType
     checked = F.when(F.col("_found").isNull(), problem.cast(kind)).otherwise(F.col(idx))
@@ -67,7 +71,7 @@ def class_index(df: DataFrame, label: str = "label", out: str = "class_idx") ->
     """Dense number of each class in the order of the sorted class names."""
     classes = df.select(label).where(F.col(label).isNotNull()).distinct()
     numbered = classes.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(broadcast_if_small(numbered), label, "left").select(*df.columns, out)
+    return df.join(broadcast_if_small(settled(numbered)), label, "left").select(*df.columns, out)
 
 
 def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tuple[str, str]],
@@ -97,6 +101,7 @@ def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tupl
             F.replace("_name", F.lit(" "), F.lit("_")),
         ).alias(out),
     )
+    cleaned = settled(cleaned)
     joined = df.join(broadcast_if_small(cleaned), df[name] == cleaned["_name"], "left")
     return joined.select(*[df[c] for c in df.columns], out)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from samplewright.functions.columns import as_col, pct, safe_ratio, to_ms
 from samplewright.functions.fixed import PROJECTION_EPOCHS, PROJECTION_IMAGES, STAGES
 from samplewright.operators.rank import medians
-from samplewright.session import broadcast_if_small, same_keys
+from samplewright.session import broadcast_if_small, same_keys, settled
 
 
 def _std(column: str | Column) -> Column:
@@ -191,7 +191,7 @@ def anomalies(df: DataFrame, keys: Sequence[str], value: str = "time_ms", k: flo
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), _std(value).alias("_std")
     )
-    base = base.withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    base = settled(base.withColumnsRenamed({c: f"_key_{c}" for c in keys}))
     match = F.lit(True)
     for c in keys:
         match = match & df[c].eqNullSafe(base[f"_key_{c}"])

@@ -22,80 +22,94 @@ from pyspark.sql import Window
 
 from samplewright.functions.columns import as_col, hash_hex, hex_number, int_div
 from samplewright.functions.fixed import DEFAULT_SEED
-from samplewright.session import broadcast_if_small, checkpoint_dir, same_keys
+from samplewright.session import broadcast_if_small, checkpoint_dir, same_keys, settled
 
 BUCKET = "_bucket"
-MAX_BUCKET_ROWS = 1 << 20
+MAX_DIGITS = 5
 
 
-def bucket_digits(rows: int, rows_per_bucket: int = 50_000) -> int:
-    """Hex digits of the bucket for a table of about ``rows`` rows, 1 to 5."""
-    digits = 1
-    while digits < 5 and rows > rows_per_bucket * 16 ** digits:
+def bucket_digits(rows: int, rows_per_bucket: int = 4096) -> int:
+    """Hex digits of the bucket for a table of about ``rows`` rows, 2 to 5.
+
+    A bucket is sorted and buffered as one group, payload included, so it stays
+    small; 16^5 bucket counts are the most that is broadcast.
+    """
+    digits = 2
+    while digits < MAX_DIGITS and rows > rows_per_bucket * 16 ** digits:
         digits += 1
     return digits
 
 
 def hashed_position(df: DataFrame, key: str | Sequence[str], seed: int | Column = DEFAULT_SEED,
                     pos: str = "pos", total: str | None = None, by: Sequence[str] = (),
-                    bucket_hex: int = 3, partitions: int | None = None,
-                    keep_bucket: bool = False, by_values: int = 1) -> DataFrame:
+                    bucket_hex: int | None = None, by_values: int = 1, partitions: int | None = None,
+                    align: int = 1, keep_part: bool = False) -> DataFrame:
     """Add ``pos``: the 0-based rank of each row by ``md5(seed:key)``, ties broken by key.
 
     ``total`` names a column for the row count. ``by`` ranks each group of those
     columns (at most ``by_values`` distinct combinations) on its own. ``key`` must
     be unique; a repeated key raises while the ranks are computed.
 
-    ``partitions`` lays the rows out in that many partitions which follow ``pos``
-    order, so that writing the result needs no further shuffle.
+    ``bucket_hex`` defaults to what the row count asks for (one count, from footers
+    for Parquet); give it where counting ``df`` is expensive.
+
+    ``partitions`` lays the rows out in that many partitions of consecutive
+    positions, each starting at a multiple of ``align``: written out they are in
+    order, and runs of ``align`` rows never straddle two of them. ``keep_part``
+    keeps the partition number as column ``_part``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     by = list(by)
+    if bucket_hex is None:
+        bucket_hex = bucket_digits(df.select(*keys).count() // by_values)
+        while partitions and bucket_hex < MAX_DIGITS and 16 ** bucket_hex < 4 * partitions:
+            bucket_hex += 1
     buckets = 16 ** bucket_hex
     hashed = df.withColumn("_hash", hash_hex(seed, *[F.col(k) for k in keys]))
-    hashed = hashed.withColumn(BUCKET, F.substring("_hash", 1, bucket_hex))
+    hashed = hashed.withColumn(BUCKET, hex_number(F.col("_hash"), 1, bucket_hex).cast("int"))
 
     counts = hashed.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     starts = counts.select(
-        *by, BUCKET,
+        *by, BUCKET, "_n",
         (F.sum("_n").over(up_to) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias(total or "_total"),
+        F.sum("_n").over(Window.partitionBy(*by)).alias("_total"),
     )
-    if not total:
-        starts = starts.drop("_total")
     # At most 16^bucket_hex rows per group of ``by``.
-    if buckets * by_values <= MAX_BUCKET_ROWS:
+    if buckets * by_values <= 16 ** MAX_DIGITS:
         starts = F.broadcast(starts)
 
-    inside = [*by, BUCKET]
     if partitions:
-        if by or partitions > buckets:
-            raise ValueError("partitions needs a single ranking and at most 16^bucket_hex parts")
-        number = hex_number(F.col(BUCKET), 1, bucket_hex)
-        hashed = hashed.withColumn("_part", int_div(number * partitions, buckets).cast("int"))
-        hashed = hashed.repartitionById(partitions, "_part")
-        inside = ["_part", BUCKET]
+        if by:
+            raise ValueError("partitions needs a single ranking")
+        # A bucket on the border of two partitions goes to both; each ranks all of it
+        # and keeps the positions that are its own.
+        span = int_div(int_div(F.col("_total") + (align - 1), align) + (partitions - 1), partitions) * align
+        first, last = int_div("_start", "_span"), int_div(F.col("_start") + F.col("_n") - 1, "_span")
+        routed = hashed.join(starts.withColumn("_span", span), BUCKET)
+        routed = routed.withColumn("_part", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_n")
+        ranked = _ranked(routed.repartitionById(partitions, "_part"), ["_part", BUCKET], keys)
+        placed = ranked.withColumn(pos, F.col("_start") + F.col("_rank") - 1)
+        placed = placed.where(int_div(pos, "_span") == F.col("_part"))
+    else:
+        # Ranked before the starts are joined, so that nothing is shuffled but the rows themselves.
+        ranked = _ranked(hashed, [*by, BUCKET], keys)
+        placed = ranked.join(starts, [*by, BUCKET])
+        placed = placed.withColumn(pos, F.col("_start") + F.col("_rank") - 1)
+    kept = [c for c in df.columns if c not in (pos, total)]
+    return placed.select(
+        *kept, pos, *([F.col("_total").alias(total)] if total else []), *(["_part"] if partitions and keep_part else [])
+    )
+
 
+def _ranked(hashed: DataFrame, inside: list[str], keys: list[str]) -> DataFrame:
+    """Add ``_rank`` (from 1) by hash inside each group; a repeated key raises."""
     order = Window.partitionBy(*inside).orderBy("_hash", *keys)
-    same_as_previous = F.lit(True)
+    repeated = F.lit(True)
     for k in keys:
-        same_as_previous = same_as_previous & (F.col(k) == F.lag(k).over(order))
-    duplicate = F.raise_error(F.concat_ws(" ", F.lit("key is not unique:"), *[F.col(k).cast("string") for k in keys]))
-    # Ranked before the start is joined: the bucket shuffle then feeds both this
-    # window and, through ``keep_bucket``, any grouping inside the bucket.
-    ranked = hashed.withColumn(
-        "_rank",
-        F.when(same_as_previous, duplicate.cast("int")).otherwise(F.row_number().over(order)),
-    )
-    placed = ranked.join(starts, [*by, BUCKET])
-    extra = ["_part"] if partitions else []
-    placed = placed.withColumn(pos, F.col("_start") + F.col("_rank") - 1)
-    kept = [c for c in df.columns if c not in (pos, total)]
-    columns = [*kept, pos] + ([total] if total else [])
-    if keep_bucket:
-        columns += [BUCKET, *extra]
-    return placed.select(*columns)
+        repeated = repeated & (F.col(k) == F.lag(k).over(order))
+    problem = F.raise_error(F.concat_ws(" ", F.lit("key is not unique:"), *[F.col(k).cast("string") for k in keys]))
+    return hashed.withColumn("_rank", F.when(repeated, problem.cast("int")).otherwise(F.row_number().over(order)))
 
 
 def ordered_position(df: DataFrame, order: Sequence[str], pos: str = "pos",
@@ -213,13 +227,12 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         .groupBy(*keys, "_b")
         .agg(F.collect_list(F.struct("_want.name", (F.col("_want.rank") - F.col("_from")).alias("rank"))).alias("_want"))
     )
-    hits = hits.withColumnsRenamed({k: f"_hit_{k}" for k in [*keys, "_b"]})
+    hits = settled(hits.withColumnsRenamed({k: f"_hit_{k}" for k in [*keys, "_b"]}))
     match = F.lit(True)
     for k in [*keys, "_b"]:
         match = match & data[k].eqNullSafe(hits[f"_hit_{k}"])
-    # One row per group and rank bucket: broadcast by AQE when small, else a
-    # sort-merge join whose skewed data side AQE splits.
-    close = data.join(hits, match).select(*keys, "_b", "_v", "_want")
+    # One row per group and rank bucket.
+    close = data.join(broadcast_if_small(hits), match).select(*keys, "_b", "_v", "_want")
     by_value = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
         close.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_want").alias("_want"))
@@ -252,6 +265,6 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median")
 
 
 __all__ = [
-    "BUCKET", "as_col", "bucket_digits", "dense_index", "hashed_position", "medians", "nearest_rank",
+    "bucket_digits", "dense_index", "hashed_position", "medians", "nearest_rank",
     "order_statistics", "ordered_position", "running", "value_bucket",
 ]

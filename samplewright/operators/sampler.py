@@ -25,14 +25,16 @@ def _count(n: int | str | Column) -> Column:
 
 
 def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = DEFAULT_SEED, enabled: bool = True,
-            bucket_hex: int = 3, partitions: int | None = None, keep_bucket: bool = False) -> DataFrame:
+            bucket_hex: int | None = None, partitions: int | None = None, align: int = 1,
+            keep_part: bool = False) -> DataFrame:
     """Add ``pos`` (a seeded permutation of 0..N-1) and ``n_total``.
 
-    ``enabled=False`` keeps the natural order of ``key`` instead.
+    ``enabled=False`` keeps the natural order of ``key`` instead. The other options
+    are those of ``rank.hashed_position``.
     """
     if enabled:
-        return hashed_position(df, key, seed, total=TOTAL, bucket_hex=bucket_hex,
-                               partitions=partitions, keep_bucket=keep_bucket)
+        return hashed_position(df, key, seed, total=TOTAL, bucket_hex=bucket_hex, partitions=partitions,
+                               align=align, keep_part=keep_part)
     keys = [key] if isinstance(key, str) else list(key)
     placed = ordered_position(df.select(*keys), keys, total=TOTAL)
     joined = df.join(placed, keys) if len(df.columns) > len(keys) else placed
@@ -45,7 +47,7 @@ def next_seed(previous: int, seed: int | None = None) -> int:
 
 
 def shuffle_epochs(df: DataFrame, key: str | Sequence[str], seeds: Sequence[int],
-                   bucket_hex: int = 3) -> DataFrame:
+                   bucket_hex: int | None = None) -> DataFrame:
     """One permutation per epoch; adds ``epoch``, ``pos`` and ``n_total``."""
     epochs = F.array(*[F.struct(F.lit(e).alias("epoch"), F.lit(s).alias("seed")) for e, s in enumerate(seeds)])
     spread = df.withColumn("_epoch", F.explode(epochs))
@@ -125,7 +127,7 @@ def assign_batches(df: DataFrame, batch_size: int, n: int | str | Column = TOTAL
 
 
 def replica_shards(df: DataFrame, key: str | Sequence[str], replicas: int, seed: int = 0, epoch: int = 0,
-                   shuffled: bool = True, bucket_hex: int = 3) -> DataFrame:
+                   shuffled: bool = True, bucket_hex: int | None = None) -> DataFrame:
     """Equal shares for ``replicas`` readers: adds ``rank`` and ``local_idx``.
 
     The order is padded from its head to a multiple of ``replicas`` (so some rows

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from samplewright.functions.columns import every_k, int_div
 from samplewright.operators.rank import dense_index, running
-from samplewright.session import broadcast_if_small
+from samplewright.session import broadcast_if_small, settled
 
 __all__ = [
     "byte_offsets", "drop_warmup", "every_k", "new_best", "running_mean", "running_metrics", "speedup_first",
@@ -73,7 +73,7 @@ def drop_warmup(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataF
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     first = df.select(*keys, order).withColumn("_place", place).where(F.col("_place") <= k)
     bound = first.groupBy(*keys).agg(F.max(order).alias("_until"))
-    bound = bound.withColumnsRenamed({c: f"_run_{c}" for c in keys})
+    bound = settled(bound.withColumnsRenamed({c: f"_run_{c}" for c in keys}))
     match = F.lit(True)
     for c in keys:
         match = match & df[c].eqNullSafe(bound[f"_run_{c}"])
@@ -84,6 +84,7 @@ def drop_warmup(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataF
 def speedup_first(df: DataFrame, series: str, order: str = "workers", value: str = "throughput") -> DataFrame:
     """Each value of a series divided by the value at its smallest ``order``."""
     first = df.groupBy(series).agg(F.min_by(value, order).alias("_first")).withColumnRenamed(series, "_series")
+    first = settled(first)
     joined = df.join(broadcast_if_small(first), df[series].eqNullSafe(first["_series"]))
     return joined.select(*[df[c] for c in df.columns], F.try_divide(value, "_first").alias("speedup"))
 

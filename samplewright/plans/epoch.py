@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from samplewright.functions.fixed import DEFAULT_CHUNK, DEFAULT_SEED
 from samplewright.operators import collate as gather
 from samplewright.operators import sampler
-from samplewright.operators.rank import BUCKET
+from samplewright.operators.images import batch_tensors
 
 
 @dataclass(frozen=True)
 class EpochPlan:
     """Settings of a loader; each method adds one step to the plan of ``samples``.
 
-    ``partitions`` sets the number of output files of an epoch written in order.
+    ``partitions`` sets the number of output files of an epoch written in order; each
+    holds whole batches.
     """
 
     key: str
@@ -28,7 +29,7 @@ class EpochPlan:
     n_workers: int = 1
     chunk: int = DEFAULT_CHUNK
     interleave: bool = False
-    bucket_hex: int = 3
+    bucket_hex: int | None = None
     partitions: int | None = None
 
     def __post_init__(self) -> None:
@@ -40,29 +41,47 @@ class EpochPlan:
         """The plan of the following epoch: the given seed, else this one plus 1."""
         return replace(self, seed=sampler.next_seed(self.seed, seed))
 
-    def positions(self, samples: DataFrame, keep_bucket: bool = False) -> DataFrame:
-        return sampler.shuffle(samples, self.key, self.seed, self.shuffle, self.bucket_hex,
-                               self.partitions if self.shuffle else None,
-                               keep_bucket and self.shuffle)
+    def positions(self, samples: DataFrame) -> DataFrame:
+        """``pos`` and ``n_total`` of every sample."""
+        return sampler.shuffle(samples, self.key, self.seed, self.shuffle, self.bucket_hex, self.partitions, self.batch_size)
 
-    def batches(self, samples: DataFrame, keep_bucket: bool = False) -> DataFrame:
+    def batches(self, samples: DataFrame) -> DataFrame:
         """One row per sample with ``pos, worker_id, batch_id, slot``."""
-        placed = sampler.assign_workers(self.positions(samples, keep_bucket), self.n_workers)
+        return self._batched(self.positions(samples))
+
+    def _batched(self, placed: DataFrame) -> DataFrame:
+        placed = sampler.assign_workers(placed, self.n_workers)
         return sampler.assign_batches(
             placed, self.batch_size, drop_last=self.drop_last,
             order="interleaved" if self.interleave else "global",
             n_workers=self.n_workers, chunk=self.chunk,
         )
 
+    def _grouped(self, samples: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Batched samples and, where whole batches share a partition, its column."""
+        if not self.shuffle or self.interleave:
+            return self.batches(samples), []
+        partitions = self.partitions or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = sampler.shuffle(samples, self.key, self.seed, True, self.bucket_hex, partitions, self.batch_size, keep_part=True)
+        return self._batched(placed), ["_part"]
+
     def collated(self, samples: DataFrame, tensor: str | None, label: str, scale: bool = True) -> DataFrame:
-        """One row per batch. Samples move once: batches are put together inside the
-        shuffle's own buckets, and only batches on a bucket border move again."""
+        """One row per batch. The samples are shuffled once: the partitions of the
+        shuffle begin and end at batch borders."""
         narrow = samples.select(*dict.fromkeys([self.key, *([tensor] if tensor else []), label]))
-        within: list[str] = []
-        if self.shuffle and not self.interleave:
-            within = [*(["_part"] if self.partitions else []), BUCKET]
-        return gather.collate(self.batches(narrow, bool(within)), tensor, label, scale,
-                              batch_size=self.batch_size, within=within)
+        placed, within = self._grouped(narrow)
+        return gather.collate(placed, tensor, label, scale, within=within)
+
+    def collated_images(self, samples: DataFrame, label: str = "label", decoder: Callable | None = None,
+                        decoder_columns: Sequence[str] = ("image",), **options) -> DataFrame:
+        """Decoded batches: ``batch_id, size, labels, images`` (an array of binary tensors).
+
+        Encoded images are shuffled, once, and decoded batch by batch where they land.
+        """
+        fields = list(dict.fromkeys([*decoder_columns, label]))
+        placed, within = self._grouped(samples.select(*dict.fromkeys([self.key, *fields])))
+        batches = gather.gather(placed, fields, within=within).withColumnRenamed(label, "labels")
+        return batch_tensors(batches, decoder=decoder, decoder_columns=decoder_columns, **options)
 
     def collated_with(self, samples: DataFrame, fn: Callable, schema: str) -> DataFrame:
         return gather.collate_with(self.batches(samples), fn, schema)

@@ -504,6 +504,21 @@ def eval_crop(spark, sf_dir):
     return tensors.select("sample_idx", "label", values).withColumn("dim", F.col("dim").cast("bigint"))
 
 
+@query(f"""
+    WITH {_LEVELS_SQL},
+    small AS (SELECT sample_idx, label, channel * 16 + (y // 2) * 4 + x // 2 AS dim, floor(sum(v) / 4.0 + 0.5)::INT AS value
+        FROM pixels GROUP BY sample_idx, label, channel, y // 2, x // 2),
+    blobs AS (SELECT sample_idx, label, string_agg(printf('%02X', value), '' ORDER BY dim) AS pixels FROM small GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (ORDER BY md5('11:' || sample_idx::VARCHAR), sample_idx) - 1 AS pos, count(*) OVER () AS n FROM blobs)
+    SELECT pos // 48 AS batch_id, (pos % 48)::INT AS slot, label, pixels FROM placed WHERE pos // 48 < n // 48
+""")
+def epoch_images(spark, sf_dir):
+    """A whole epoch: shuffle, batch, decode, resize, collate."""
+    batches = EpochPlan("sample_idx", 48, seed=11).collated_images(_pixel_images(spark, sf_dir), size=(4, 4), **_RAW)
+    rows = batches.select("batch_id", F.posexplode(F.arrays_zip("images", "labels")).alias("slot", "_s"))
+    return rows.select("batch_id", "slot", F.col("_s.labels").alias("label"), F.hex("_s.images").alias("pixels"))
+
+
 @query()
 def augment_pixels(spark, sf_dir):
     """Random crop and mirror of every image (checked against plain numpy in the tests)."""

@@ -57,11 +57,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/samplewright/{uuid.uuid4().hex}/{name}"
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count that stops at ``max_rows`` proves the table small."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count proves ``dim`` small; else leave it alone."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
+    """Hint a broadcast of a table proved small; leave any other to Spark."""
+    return F.broadcast(dim) if is_small(dim, max_rows) else dim
+
+
+def settled(summary: DataFrame) -> DataFrame:
+    """Compute a summary of a large table once and keep the result in the checkpoint folder.
+
+    For summaries that are looked at twice (their size, then their rows), so that
+    the large table is not scanned again for the second look.
+    """
+    checkpoint_dir(summary.sparkSession)
+    return summary.checkpoint()
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from samplewright.functions.columns import int_div
 
 TASK_BYTES = 128 << 20
-FRAME_BYTES = 32 << 20
+READ_BYTES = 16 << 20
+GAP_BYTES = 64 << 10
 
 
 def open_input(path: str):
@@ -29,6 +30,23 @@ def open_input(path: str):
     return system.open_input_file(name)
 
 
+def _runs(paths: pd.Series, offsets: pd.Series, lengths: pd.Series) -> Iterator[tuple[str, int, int, int, int]]:
+    """``path, first row, last row + 1, start, end`` of the reads that fetch sorted ranges.
+
+    Neighbouring ranges share one read of up to ``READ_BYTES``; gaps of ``GAP_BYTES`` are read over.
+    """
+    first, path, start, end = 0, None, 0, 0
+    for i, (name, offset, length) in enumerate(zip(paths, offsets, lengths)):
+        close = name == path and 0 <= offset - end <= GAP_BYTES and offset + length - start <= READ_BYTES
+        if not close:
+            if i > first:
+                yield path, first, i, start, end
+            first, path, start, end = i, name, int(offset), int(offset)
+        end = int(offset + length)
+    if len(paths) > first:
+        yield path, first, len(paths), start, end
+
+
 def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start", length: str = "length",
                 method: str | None = None, out: str = "payload") -> DataFrame:
     """Add the bytes ``[offset, offset+length)`` of each row's file.
@@ -49,24 +67,21 @@ def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start",
         opened, handle = None, None
         try:
             for frame in frames:
-                first, held, blobs = 0, 0, []
-                methods = frame[method] if method else [0] * len(frame)
-                for i, (name, start, size, how) in enumerate(zip(frame[path], frame[offset], frame[length], methods)):
+                methods = frame[method].to_numpy() if method else None
+                for name, first, last, start, end in _runs(frame[path], frame[offset], frame[length]):
                     if name != opened:
                         if handle is not None:
                             handle.close()
                         opened, handle = name, open_input(name)
-                    handle.seek(int(start))
-                    data = handle.read(int(size))
-                    if len(data) != size:
-                        raise EOFError(f"{name}: range {start}+{size} ends early")
-                    blobs.append(zlib.decompress(data, -15) if how == 8 else data)
-                    held += len(data)
-                    if held >= FRAME_BYTES:
-                        yield frame.iloc[first:i + 1].assign(**{out: blobs})
-                        first, held, blobs = i + 1, 0, []
-                if blobs:
-                    yield frame.iloc[first:].assign(**{out: blobs})
+                    handle.seek(start)
+                    data = handle.read(end - start)
+                    if len(data) != end - start:
+                        raise EOFError(f"{name}: range {start}+{end - start} ends early")
+                    piece = frame.iloc[first:last]
+                    blobs = [data[s - start:s - start + n] for s, n in zip(piece[offset], piece[length])]
+                    if methods is not None:
+                        blobs = [zlib.decompress(b, -15) if how == 8 else b for b, how in zip(blobs, methods[first:last])]
+                    yield piece.assign(**{out: blobs})
         finally:
             if handle is not None:
                 handle.close()

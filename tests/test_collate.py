@@ -17,7 +17,7 @@ def samples(spark):
     )
 
 
-@pytest.mark.parametrize("options", [{}, {"partitions": 3}, {"bucket_hex": 1}, {"drop_last": False}, {"interleave": True, "n_workers": 3, "chunk": 4}])
+@pytest.mark.parametrize("options", [{}, {"partitions": 3}, {"bucket_hex": 1, "partitions": 50}, {"drop_last": False}, {"interleave": True, "n_workers": 3, "chunk": 4}])
 def test_collated_equals_sorted_batches(spark, samples, options):
     plan = EpochPlan("k", 10, **options)
     want = {}

@@ -75,9 +75,10 @@ def test_rejects(spark):
     df = raw_rows(spark, [picture(0), picture(1)])
     df = df.withColumn("image", F.when(F.col("sample_idx") == 0, F.lit(b"xx")).otherwise(F.col("image")))
     df = df.unionByName(df.where("sample_idx = 1").withColumns({"sample_idx": F.lit(2).cast("bigint"), "image": F.lit(None).cast("binary")}))
+    df = df.unionByName(df.where("sample_idx = 1").withColumns({"sample_idx": F.lit(3).cast("bigint"), "height": F.lit(None).cast("int")})).coalesce(1)
     good, bad = images.split_rejects(images.image_tensors(df, **RAW))
     assert [r.sample_idx for r in good.collect()] == [1]
-    assert sorted(r.sample_idx for r in bad.collect()) == [0, 2]
+    assert sorted(r.sample_idx for r in bad.collect()) == [0, 2, 3]
     with pytest.raises(PythonException):
         images.image_tensors(df, on_bad="error", **RAW).collect()
 

@@ -13,7 +13,7 @@ from samplewright.session import broadcast_if_small
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_QUERIES = {
-    "user_collate", "user_transform", "decode_resize", "decode_normalise", "eval_crop", "augment_pixels",
+    "user_collate", "user_transform", "epoch_images", "decode_resize", "decode_normalise", "eval_crop", "augment_pixels",
     "shard_roundtrip", "zip_roundtrip", "tar_roundtrip",
 }
 
@@ -29,19 +29,23 @@ def test_shuffle_plan(spark):
     below = text[text.index("Exchange SinglePartition"):]
     assert below.index("HashAggregate") < below.index("FileScan")
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint>", text)  # the counting pass reads the key alone
-    assert text.count("Exchange hashpartitioning(_bucket") == 2 and "SortMergeJoin" not in text
+    assert len(re.findall(r"\bExchange hashpartitioning\(_bucket", text)) == 2 and "SortMergeJoin" not in text
     # One shuffle of the rows: the rank window sits directly on it.
     assert len(re.findall(r"\bExchange ", text)) == 3
 
 
 def test_collate_moves_rows_once(spark):
     vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
-    batches = EpochPlan("vec_id", 64).collated(vectors, "embedding", "label")
-    batches.collect()
-    text = plan_of(batches)
-    final = text[:text.index("Initial Plan")]
-    moved = re.findall(r"\n[^\n]*Exchange hashpartitioning\(_bucket[^\n]*\n[^\n]*embedding[^\n]*", final)
-    assert len(moved) == 1 and "ReusedExchange" in final
+    text = plan_of(EpochPlan("vec_id", 64).collated(vectors, "embedding", "label"))
+    # The rows' own shuffle, the bucket counts' two, and nothing above the rank window.
+    assert len(re.findall(r"\bExchange ", text)) == 3 and text.count("shufflepartitionidpassthrough") == 1
+    assert "Exchange" not in text[:text.index("Window [")].replace("BroadcastExchange", "")
+
+
+def test_decoded_epoch_moves_encoded_rows_once(spark):
+    text = plan_of(registered.queries()["epoch_images"](spark, SF_DIR))
+    assert text.count("ArrowEvalPython [") == 1 and len(re.findall(r"\bExchange ", text)) == 3
+    assert text.index("ArrowEvalPython") < text.index("shufflepartitionidpassthrough")
 
 
 def test_ordered_layout_needs_no_second_shuffle(spark):

@@ -139,6 +139,6 @@ def test_plan_of_next_epoch():
 
 
 def test_bucket_digits():
-    assert rank.bucket_digits(10) == 1
-    assert rank.bucket_digits(10 ** 9) == 4
+    assert rank.bucket_digits(10) == 2
+    assert rank.bucket_digits(10 ** 8) == 4
     assert rank.bucket_digits(10 ** 13) == 5
