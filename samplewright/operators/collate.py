@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
+
+from samplewright.functions.columns import parse_label
 
 
 
@@ -25,13 +27,21 @@ def gather(df: DataFrame, fields: Sequence[str], batch: str = "batch_id", slot:
     )
 
 
+def with_numeric_label(df: DataFrame, label: str) -> DataFrame:
+    """Class ids as numbers; a label column that is not text is left alone."""
+    return df.withColumn(label, parse_label(label)) if isinstance(df.schema[label].dataType, StringType) else df
+
+
 def collate(df: DataFrame, tensor: str | None, label: str, scale: bool = True, batch: str = "batch_id",
-            slot: str = "slot", within: Sequence[str] = ()) -> DataFrame:
+            slot: str = "slot", within: Sequence[str] = (), parse_labels: bool = True) -> DataFrame:
     """One row per batch: ``batch_id, size, images, labels`` in slot order.
 
+    Text labels are class ids and become numbers, unless ``parse_labels`` is off.
     ``scale`` turns 0..255 into 0..1 after the shuffle, once per batch. Tensors of
     unequal length raise. ``tensor=None`` gathers the labels alone.
     """
+    if parse_labels:
+        df = with_numeric_label(df, label)
     labels = F.col(label).alias("labels")
     if tensor is None:
         return gather(df, [label], batch, slot, within).select(batch, "size", labels)
@@ -50,10 +60,10 @@ def collate(df: DataFrame, tensor: str | None, label: str, scale: bool = True, b
 
 
 def collate_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                 batch: str = "batch_id", slot: str = "slot") -> DataFrame:
+                 batch: str = "batch_id", slot: str = "slot", within: Sequence[str] = ()) -> DataFrame:
     """Apply a user collate function to the slot-ordered samples of each batch."""
 
     def run(samples: pd.DataFrame) -> pd.DataFrame:
-        return fn(samples.sort_values(slot, ignore_index=True))
+        return fn(samples.drop(columns=list(within)).sort_values(slot, ignore_index=True))
 
-    return df.groupBy(batch).applyInPandas(run, schema)
+    return df.groupBy(*within, batch).applyInPandas(run, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from samplewright.functions.columns import int_div
 from samplewright.functions.fixed import FALLBACK_MEAN_MS, FALLBACK_STD_MS
+from samplewright.operators.rank import ordered_position
 from samplewright.session import broadcast_if_small, is_small, same_keys, settled
 
 
@@ -69,9 +70,13 @@ def locate_shard(index_df: DataFrame, shard_counts: DataFrame, idx: str = "sampl
 
 def class_index(df: DataFrame, label: str = "label", out: str = "class_idx") -> DataFrame:
     """Dense number of each class in the order of the sorted class names."""
-    classes = df.select(label).where(F.col(label).isNotNull()).distinct()
-    numbered = classes.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(broadcast_if_small(settled(numbered)), label, "left").select(*df.columns, out)
+    classes = settled(df.select(label).where(F.col(label).isNotNull()).distinct())
+    if is_small(classes):
+        number = F.row_number().over(Window.orderBy(label)) - 1
+        numbered = F.broadcast(classes.withColumn(out, number.cast("int")))
+    else:
+        numbered = ordered_position(classes, [label], out)
+    return df.join(numbered, label, "left").select(*df.columns, F.col(out).cast("int").alias(out))
 
 
 def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tuple[str, str]],
@@ -85,23 +90,20 @@ def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tupl
     if not isinstance(mapping, DataFrame):
         rows = [(i, raw, clean) for i, (raw, clean) in enumerate(mapping)]
         mapping = df.sparkSession.createDataFrame(rows, "ord int, raw string, clean string")
-    # The whole map travels as one array column: a contains test per entry, in map order.
-    entries = mapping.agg(F.array_sort(F.collect_list(F.struct("ord", "raw", "clean")))).scalar()
+
+    def squeezed(text: str | Column) -> Column:
+        return F.replace(F.lower(text), F.lit(" "), F.lit(""))
+
     names = df.select(F.col(name).alias("_name")).where("_name is not null").distinct()
-    names = names.withColumn("_map", entries)
-    squeezed = F.replace(F.lower("_name"), F.lit(" "), F.lit(""))
-    exact = F.filter("_map", lambda e: e["raw"] == F.col("_name"))
-    # A later exact entry for the same text would win in a dictionary; keep the last one.
-    contained = F.filter("_map", lambda e: F.contains(squeezed, F.replace(F.lower(e["raw"]), F.lit(" "), F.lit(""))))
-    cleaned = names.select(
-        "_name",
-        F.coalesce(
-            F.try_element_at(exact, F.lit(-1))["clean"],
-            F.get(contained, F.lit(0))["clean"],
-            F.replace("_name", F.lit(" "), F.lit("_")),
-        ).alias(out),
+    # A name the map holds is done; the contains test is left for the others.
+    exact = mapping.groupBy(F.col("raw").alias("_name")).agg(F.max_by("clean", "ord").alias("_exact"))
+    names = names.join(broadcast_if_small(exact), "_name", "left")
+    entries = broadcast_if_small(mapping.select("ord", "clean", squeezed("raw").alias("_raw")))
+    inside = F.col("_exact").isNull() & F.contains(squeezed("_name"), F.col("_raw"))
+    matched = names.join(entries, inside, "left").groupBy("_name").agg(
+        F.coalesce(F.first("_exact"), F.min_by("clean", "ord")).alias(out)
     )
-    cleaned = settled(cleaned)
+    cleaned = settled(matched.select("_name", F.coalesce(out, F.replace("_name", F.lit(" "), F.lit("_"))).alias(out)))
     joined = df.join(broadcast_if_small(cleaned), df[name] == cleaned["_name"], "left")
     return joined.select(*[df[c] for c in df.columns], out)
 

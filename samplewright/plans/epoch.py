@@ -11,6 +11,7 @@ from samplewright.functions.fixed import DEFAULT_CHUNK, DEFAULT_SEED
 from samplewright.operators import collate as gather
 from samplewright.operators import sampler
 from samplewright.operators.images import batch_tensors
+from samplewright.sinks.tables import write_batches
 
 
 @dataclass(frozen=True)
@@ -65,23 +66,36 @@ class EpochPlan:
         placed = sampler.shuffle(samples, self.key, self.seed, True, self.bucket_hex, partitions, self.batch_size, keep_part=True)
         return self._batched(placed), ["_part"]
 
-    def collated(self, samples: DataFrame, tensor: str | None, label: str, scale: bool = True) -> DataFrame:
+    def collated(self, samples: DataFrame, tensor: str | None, label: str, scale: bool = True,
+                 parse_labels: bool = True) -> DataFrame:
         """One row per batch. The samples are shuffled once: the partitions of the
         shuffle begin and end at batch borders."""
         narrow = samples.select(*dict.fromkeys([self.key, *([tensor] if tensor else []), label]))
         placed, within = self._grouped(narrow)
-        return gather.collate(placed, tensor, label, scale, within=within)
+        return gather.collate(placed, tensor, label, scale, within=within, parse_labels=parse_labels)
 
     def collated_images(self, samples: DataFrame, label: str = "label", decoder: Callable | None = None,
-                        decoder_columns: Sequence[str] = ("image",), **options) -> DataFrame:
+                        decoder_columns: Sequence[str] = ("image",), parse_labels: bool = True,
+                        **options) -> DataFrame:
         """Decoded batches: ``batch_id, size, labels, images`` (an array of binary tensors).
 
         Encoded images are shuffled, once, and decoded batch by batch where they land.
         """
         fields = list(dict.fromkeys([*decoder_columns, label]))
         placed, within = self._grouped(samples.select(*dict.fromkeys([self.key, *fields])))
+        if parse_labels:
+            placed = gather.with_numeric_label(placed, label)
         batches = gather.gather(placed, fields, within=within).withColumnRenamed(label, "labels")
         return batch_tensors(batches, decoder=decoder, decoder_columns=decoder_columns, **options)
 
     def collated_with(self, samples: DataFrame, fn: Callable, schema: str) -> DataFrame:
-        return gather.collate_with(self.batches(samples), fn, schema)
+        """Batches made by a user function of their slot-ordered samples."""
+        placed, within = self._grouped(samples)
+        return gather.collate_with(placed, fn, schema, within=within)
+
+    def write(self, samples: DataFrame, path: str, mode: str = "error") -> None:
+        """The epoch as files to be read one after another, batch by batch."""
+        in_order = self.shuffle and not self.interleave
+        partitions = self.partitions or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        plan = replace(self, partitions=partitions) if in_order else self
+        write_batches(plan.batches(samples), path, None if in_order else partitions, mode)

@@ -82,8 +82,7 @@ def image_table_roundtrip(spark, sf_dir):
 def batches_written(spark, sf_dir):
     """An epoch written in order; positions are read back from the storage order."""
     path = scratch_path(spark, "epoch")
-    plan = EpochPlan("o_orderkey", 64, partitions=6)
-    table_sinks.write_batches(plan.batches(table(spark, sf_dir, "orders").select("o_orderkey")), path)
+    EpochPlan("o_orderkey", 64, partitions=6).write(table(spark, sf_dir, "orders").select("o_orderkey"), path)
     schema = "o_orderkey bigint, batch_id bigint"
     return sources.read_parquet_table(spark, path, schema).select(F.col("sample_idx").alias("pos"), "batch_id", "o_orderkey")
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import columns as C
-from samplewright.operators import collate as gather
 from samplewright.operators import images, lookup, sampler
 from samplewright.operators.rank import hashed_position
 from samplewright.plans.epoch import EpochPlan
@@ -364,10 +363,8 @@ def _first_and_sum(samples: pd.DataFrame) -> pd.DataFrame:
     FROM ({VECTORS}) WHERE pos // 50 < n // 50 GROUP BY 1
 """)
 def user_collate(spark, sf_dir):
-    batches = EpochPlan("vec_id", 50).batches(table(spark, sf_dir, "embeddings"))
-    return gather.collate_with(
-        batches, _first_and_sum, "batch_id bigint, n bigint, first_label int, label_sum bigint, total double"
-    )
+    schema = "batch_id bigint, n bigint, first_label int, label_sum bigint, total double"
+    return EpochPlan("vec_id", 50).collated_with(table(spark, sf_dir, "embeddings"), _first_and_sum, schema)
 
 
 def _weights() -> np.ndarray:

@@ -23,6 +23,8 @@ def build_session(app: str = "samplewright", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Summaries kept in the checkpoint folder go with the DataFrames that hold them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Python tasks receive blobs: bound an Arrow batch by bytes, not only by rows.
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     )

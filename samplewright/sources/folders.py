@@ -11,6 +11,7 @@ from samplewright.functions.columns import file_name, label_from_path
 from samplewright.functions.fixed import IMAGE_EXTENSIONS
 from samplewright.operators.images import spark_image_blobs
 from samplewright.operators.rank import ordered_position
+from samplewright.session import broadcast_if_small
 from samplewright.sources.tables import take_prefix
 
 
@@ -42,7 +43,14 @@ def read_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IM
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
         .load(root).select("path", F.col("content").alias("image"))
     )
-    return listed.join(content, "path")
+    # A listing small enough is sent to the contents, which then stay where they are read.
+    return content.join(broadcast_if_small(listed), "path").select(*listed.columns, "image")
+
+
+def file_sizes(spark: SparkSession, root: str, container: str, glob: str = "*") -> DataFrame:
+    """``container, path, length`` of the files below ``root``, contents unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(F.lit(container).alias("container"), "path", "length")
 
 
 def read_decoded_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from samplewright.session import scratch_path
@@ -43,7 +42,7 @@ def stream_batches(samples: DataFrame, key: str, batch_size: int, lane: str = "l
         held, next_batch = state.get if state.exists else ([], 0)
         held = list(held)
         for frame in frames:
-            held.extend(int(k) for k in frame[key])
+            held.extend(frame[key].tolist())
             full = len(held) // batch_size
             if full:
                 used = full * batch_size
@@ -99,5 +98,6 @@ def run_updates(stream: DataFrame, keys: tuple[str, ...], path: str | None = Non
     )
     query.awaitTermination()
     written = spark.read.schema(schema).option("basePath", path).parquet(path)
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trigger_id")))
-    return written.withColumn("_newest", newest).where("_newest = 1").drop("_newest", "trigger_id")
+    values = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger_id").alias("_newest"))
+    return newest.select(*keys, "_newest.*").select(*stream.columns)

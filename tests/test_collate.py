@@ -41,6 +41,15 @@ def test_unequal_shapes_raise(spark):
         EpochPlan("k", 2).collated(df, "t", "y").collect()
 
 
+def test_text_labels_become_numbers(spark, samples):
+    named = samples.withColumn("y", F.concat(F.lit("n"), F.lpad(F.col("k").cast("string"), 8, "0")))
+    plan = EpochPlan("k", 10)
+    want = {r.batch_id: r.labels for r in plan.collated(samples, None, "y").collect()}
+    assert {r.batch_id: r.labels for r in plan.collated(named, None, "y").collect()} == want
+    kept = plan.collated(named, None, "y", parse_labels=False).first().labels
+    assert all(label.startswith("n") for label in kept)
+
+
 def test_empty(spark, samples):
     assert EpochPlan("k", 10).collated(samples.where("k < 0"), "t", "y").count() == 0
     assert EpochPlan("k", 1000).collated(samples, "t", "y").count() == 0
@@ -60,7 +69,10 @@ def test_user_collate_sees_slot_order(samples):
 @pytest.mark.parametrize("ordered", (True, False))
 def test_written_batches_are_in_order(spark, samples, tmp_path, ordered):
     plan = EpochPlan("k", 10, partitions=4 if ordered else None)
-    write_batches(plan.batches(samples), str(tmp_path / "out"), None if ordered else 3)
+    if ordered:
+        plan.write(samples, str(tmp_path / "out"))
+    else:
+        write_batches(plan.batches(samples), str(tmp_path / "out"), 3)
     read = []
     for part in sorted((tmp_path / "out").glob("part-*")):
         read += [(r.batch_id, r.slot) for r in spark.read.parquet(str(part)).collect()]

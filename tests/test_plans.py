@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from samplewright import EpochPlan
@@ -48,6 +50,18 @@ def test_decoded_epoch_moves_encoded_rows_once(spark):
     assert text.index("ArrowEvalPython") < text.index("shufflepartitionidpassthrough")
 
 
+def test_user_collate_moves_rows_once(spark):
+    text = plan_of(registered.queries()["user_collate"](spark, SF_DIR))
+    assert len(re.findall(r"\bExchange ", text)) == 3
+
+
+def test_warmup_keeps_k_rows_per_run_and_task(spark):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").select("event_type", "event_id")
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    text = plan_of(events.withColumn("p", place).where("p <= 5").groupBy("event_type").agg(F.max("event_id")))
+    assert "WindowGroupLimit" in text[text.index("Exchange"):]
+
+
 def test_ordered_layout_needs_no_second_shuffle(spark):
     orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").select("o_orderkey", "o_totalprice")
     text = plan_of(EpochPlan("o_orderkey", 64, partitions=4).batches(orders))

@@ -79,16 +79,17 @@ def test_epochs(spark):
 def test_workers_and_arrival_match_brute_force(spark):
     cases = [(n, w, c) for n in SIZES for w in (1, 2, 3, 7, 16) for c in (1, 4, 32)]
     table = spark.createDataFrame(cases, "n bigint, w int, c int").where("n > 0")
-    rows = table.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    got = {}
+    rows = table.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).cache()
+    parts_of = []
     for workers in (1, 2, 3, 7, 16):
         for chunk in (1, 4, 32):
             mine = rows.where((F.col("w") == workers) & (F.col("c") == chunk))
             placed = sampler.assign_workers(mine, workers, "n")
             placed = placed.withColumn("seq", sampler.interleaved(F.col("pos"), F.col("n"), workers, chunk))
-            placed = sampler.assign_chunks(placed, chunk, "n", workers)
-            for r in placed.collect():
-                got[(r.n, workers, chunk, r.pos)] = (r.worker_id, r.seq, r.chunk_id)
+            parts_of.append(sampler.assign_chunks(placed, chunk, "n", workers))
+    got = {}
+    for placed in parts_of:
+        got |= {(r.n, r.w, r.c, r.pos): (r.worker_id, r.seq, r.chunk_id) for r in placed.collect()}
     for n, w, c in cases:
         parts, sequence = slices(n, w), arrival(n, w, c)
         assert sorted(sequence) == list(range(n))
@@ -111,15 +112,13 @@ def test_replicas_have_equal_shares(spark, n, replicas):
     assert len(rows) == len(padded)
 
 
-@pytest.mark.parametrize("n", SIZES)
 @pytest.mark.parametrize("size", (1, 10, 64))
-def test_batches(spark, n, size):
-    placed = sampler.shuffle(spark.range(n), "id")
-    dropped = sampler.assign_batches(placed, size).collect()
-    kept = sampler.assign_batches(placed, size, drop_last=False).collect()
-    assert len(dropped) == n - n % size and len(kept) == n
-    assert len({r.batch_id for r in dropped}) == n // size
-    assert len({(r.batch_id, r.slot) for r in kept}) == n
+def test_batches(spark, size):
+    for n in (0, 5, 100, 257):
+        kept = sampler.assign_batches(sampler.shuffle(spark.range(n), "id", bucket_hex=2), size, drop_last=False).collect()
+        assert len(kept) == n == len({(r.batch_id, r.slot) for r in kept})
+        dropped = sampler.assign_batches(spark.range(n).withColumnRenamed("id", "pos"), size, n).collect()
+        assert len(dropped) == n - n % size and len({r.batch_id for r in dropped}) == n // size
 
 
 def test_bad_arguments(spark):
