@@ -36,7 +36,7 @@ def _run(report: DataFrame) -> None:
 def shard_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "shards")
     _run(shard_sinks.write_shards(_blobs(spark, sf_dir), root, "sample_idx", "image", 100, tasks=8))
-    records = shards.read_shards(shards.read_manifest(spark, root))
+    records = shards.read_all_shards(spark, root)
     return records.select("sample_idx", "shard_id", "local_idx", "length", F.md5("payload").alias("digest"))
 
 

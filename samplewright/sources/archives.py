@@ -64,6 +64,9 @@ def list_archives(spark: SparkSession, path_glob: str, kind: str = "zip",
 def read_archive(spark: SparkSession, path_glob: str, kind: str = "zip",
                  exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     """``path, member, label, filename, image``; order by ``member`` for the listing order."""
-    return read_ranges(list_archives(spark, path_glob, kind, exts), method="method", out="image").select(
+    # Sized by the archives themselves, so that their members are listed once.
+    total = spark.read.format("binaryFile").load(path_glob).agg(F.sum("length")).first()[0] or 0
+    members = list_archives(spark, path_glob, kind, exts)
+    return read_ranges(members, method="method", out="image", total_bytes=total).select(
         "path", "member", "label", "filename", "image"
     )

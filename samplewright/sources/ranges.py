@@ -48,14 +48,15 @@ def _runs(paths: pd.Series, offsets: pd.Series, lengths: pd.Series) -> Iterator[
 
 
 def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start", length: str = "length",
-                method: str | None = None, out: str = "payload") -> DataFrame:
+                method: str | None = None, out: str = "payload", total_bytes: int | None = None) -> DataFrame:
     """Add the bytes ``[offset, offset+length)`` of each row's file.
 
     Rows are spread by file and 128 MB block, so one large file is read by many
     tasks; a task reads its ranges in file order through one open handle.
-    ``method`` names a column with the zip compression method (0 or 8).
+    ``method`` names a column with the zip compression method (0 or 8). Without
+    ``total_bytes`` (about what will be read) the manifest is summed first.
     """
-    total = manifest.agg(F.sum(length)).first()[0] or 0
+    total = (manifest.agg(F.sum(length)).first()[0] or 0) if total_bytes is None else total_bytes
     tasks = max(1, ceil(total / TASK_BYTES), min(manifest.sparkSession.sparkContext.defaultParallelism, ceil(total / (1 << 20))))
     spread = (
         manifest.repartition(tasks, F.col(path), int_div(F.col(offset), max(1, min(TASK_BYTES, ceil(total / tasks)))))

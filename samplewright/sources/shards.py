@@ -52,6 +52,13 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
+def read_shards(manifest: DataFrame, total_bytes: int | None = None) -> DataFrame:
     """Add the ``payload`` of each manifest row (any subset of the records)."""
-    return read_ranges(manifest)
+    return read_ranges(manifest, total_bytes=total_bytes)
+
+
+def read_all_shards(spark: SparkSession, root: str) -> DataFrame:
+    """Every record with its payload."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "data.bin").load(root)
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return read_shards(read_manifest(spark, root), total)

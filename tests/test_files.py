@@ -88,6 +88,7 @@ def test_shards_25_10(spark, tmp_path):
     manifest = shards.read_manifest(spark, root)
     back = {r.sample_idx: bytes(r.payload) for r in shards.read_shards(manifest).collect()}
     assert back == {r.sample_idx: bytes(r.image) for r in blobs(spark, 25).collect()}
+    assert {r.sample_idx: bytes(r.payload) for r in shards.read_all_shards(spark, root).collect()} == back
     some = shards.read_shards(manifest.where("sample_idx % 2 = 0")).collect()
     assert len(some) == 13
     planned = shard_sinks.shard_manifest(blobs(spark, 25), "sample_idx", "image", 10).select("sample_idx", "start", "end")
