@@ -511,12 +511,13 @@ def cross_entropy(spark, sf_dir):
 # --- ordered series ---------------------------------------------------------------------
 
 @query("""
-    WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS batch_index FROM events),
+    WITH i AS (SELECT event_type, sqrt(value) AS value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS batch_index FROM events),
     r AS (SELECT *, avg(value) OVER (PARTITION BY event_type ORDER BY batch_index) AS m FROM i)
     SELECT event_type, batch_index, round(m, 9) AS mean_so_far, value AS last_value FROM r WHERE batch_index % 100 = 0
 """)
 def running_mean(spark, sf_dir):
-    e = series.index_rows(_events(spark, sf_dir, "event_id", "event_type", "value"), ["event_type"], "event_id", "batch_index", 1)
+    e = _events(spark, sf_dir, "event_id", "event_type", F.sqrt("value").alias("value"))
+    e = series.index_rows(e, ["event_type"], "event_id", "batch_index", 1)
     return _r(series.running_mean(e, ["event_type"], "batch_index", "value", 100), 9, "mean_so_far")
 
 
