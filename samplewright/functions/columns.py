@@ -96,8 +96,10 @@ def core_equivalents(cpu_seconds, elapsed) -> Column:
 
 # --- tensors as arrays ------------------------------------------------------
 
-def scale_255(values) -> Column:
-    """0..255 to 0..1, element by element."""
+def scale_255(values, depth: int = 1) -> Column:
+    """0..255 to 0..1, element by element of an array, or of nested arrays with ``depth``."""
+    if depth > 1:
+        return F.transform(as_col(values), lambda a: scale_255(a, depth - 1))
     return F.transform(as_col(values), lambda x: x.cast("double") / F.lit(255.0))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from samplewright.functions.columns import parse_label
+from samplewright.functions.columns import parse_label, scale_255
 
 
 
@@ -53,7 +53,7 @@ def collate(df: DataFrame, tensor: str | None, label: str, scale: bool = True, b
     uneven = F.array_max(lengths) != F.array_min(lengths)
     images = F.col(tensor)
     if scale:
-        images = F.transform(images, lambda a: F.transform(a, lambda x: x.cast("double") / F.lit(255.0)))
+        images = scale_255(images, depth=2)
     element = "array<array<double>>" if scale else gathered.schema[tensor].dataType.simpleString()
     problem = F.raise_error(F.concat(F.lit("tensors of unequal length in batch "), F.col(batch).cast("string")))
     return gathered.select(batch, "size", F.when(uneven, problem.cast(element)).otherwise(images).alias("images"), labels)

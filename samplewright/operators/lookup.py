@@ -52,7 +52,7 @@ def locate_shard(index_df: DataFrame, shard_counts: DataFrame, idx: str = "sampl
     Index space is cut into bins as wide as the average shard, which turns the
     range condition into an equi-join with a residual test.
     """
-    ranges = shard_ranges(shard_counts, shard, count).where(F.col(count) > 0)
+    ranges = shard_ranges(settled(shard_counts), shard, count).where(F.col(count) > 0)
     step = ranges.agg(F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.ceil(F.avg(count)), F.lit(1)))).scalar()
     bins = F.sequence(int_div("first_idx", step), int_div(F.col("end_idx") - 1, step))
     binned = ranges.withColumn("_bin", F.explode(bins))
@@ -148,6 +148,7 @@ def tiered_lookup(df: DataFrame, config: DataFrame, gpu: str = "gpu", model: str
     ``config`` is the long table ``gpu, model, mean_ms, std_ms, default_mean_ms,
     default_std_ms``. A device default of NULL or 0 is passed over.
     """
+    config = settled(config)
     by_model = config.where("model is not null").select(
         F.col("gpu").alias("_gpu"), F.col("model").alias("_model"),
         F.col("mean_ms").alias("_mean"), F.col("std_ms").alias("_std"), F.lit(True).alias("_has_model"),

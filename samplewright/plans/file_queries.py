@@ -11,7 +11,7 @@ from samplewright.plans.registry import positions_sql, query, table
 from samplewright.session import scratch_path
 from samplewright.sinks import shards as shard_sinks
 from samplewright.sinks import tables as table_sinks
-from samplewright.sources import archives, runs, shards
+from samplewright.sources import archives, folders, runs, shards
 from samplewright.sources import tables as sources
 from samplewright.streaming import batches as streams
 
@@ -40,6 +40,18 @@ def shard_roundtrip(spark, sf_dir):
     return records.select("sample_idx", "shard_id", "local_idx", "length", F.md5("payload").alias("digest"))
 
 
+@query("""
+    SELECT row_number() OVER (ORDER BY lang, lpad(doc_id::VARCHAR, 8, '0')) - 1 AS sample_idx, lang AS label,
+        lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS filename, strlen(text) AS length, md5(text) AS digest FROM documents
+""")
+def class_folder_scan(spark, sf_dir):
+    """Documents as files in one directory per language, numbered by directory and name."""
+    root = scratch_path(spark, "folder")
+    _run(shard_sinks.write_class_folder(_blobs(spark, sf_dir).repartition(8), root))
+    files = folders.read_class_folder(spark, root)
+    return files.select("sample_idx", "label", "filename", "length", F.md5("image").alias("digest"))
+
+
 _ARCHIVE_SQL = """
     SELECT lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS member, lang AS label,
         lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS filename, md5(text) AS digest FROM documents
@@ -126,6 +138,25 @@ def summary_json_roundtrip(spark, sf_dir):
     return back.select("num_workers", "batch_size", "chunk_size", F.explode("stage_times").alias("stage", "n"))
 
 
+@query("""
+    WITH m AS (SELECT event_type AS gpu, 'm' || (user_id % 16)::VARCHAR AS model, avg(sqrt(value)) AS mean, avg(sqrt(value) / 7) AS std
+        FROM events GROUP BY ALL)
+    SELECT gpu, model, round_even(mean, 2) AS mean_ms, round_even(std, 2) AS std_ms,
+        round_even(avg(mean) OVER g, 2) AS default_mean_ms, round_even(avg(std) OVER g, 2) AS default_std_ms,
+        (count(*) OVER g)::INT AS num_models_benchmarked
+    FROM m WINDOW g AS (PARTITION BY gpu)
+""")
+def delay_config_roundtrip(spark, sf_dir):
+    """The device configuration written as JSON and read back as a long table."""
+    path = scratch_path(spark, "delays")
+    timings = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("gpu"), F.concat(F.lit("m"), (F.col("user_id") % 16).cast("string")).alias("model"),
+        F.sqrt("value").alias("mean_ms"), (F.sqrt("value") / 7).alias("std_ms"),
+    )
+    table_sinks.write_delay_config(metrics.delay_config(timings), path)
+    return runs.read_delay_config(spark, path)
+
+
 # --- streams ------------------------------------------------------------------------
 
 def _event_stream(spark, sf_dir) -> DataFrame:

@@ -33,4 +33,8 @@ def replacing(path: str):
     except BaseException:
         system.delete_file(temporary)
         raise
-    system.move(temporary, target)
+    try:
+        system.move(temporary, target)
+    except OSError:  # a file system whose rename does not replace, after an earlier attempt
+        system.delete_file(target)
+        system.move(temporary, target)

@@ -148,3 +148,17 @@ def write_archives(df: DataFrame, root: str, kind: str, idx: str, payload: str =
     )
     tasks = tasks or df.sparkSession.sparkContext.defaultParallelism * 4
     return _write_grouped(rows, "_order", tasks, lambda shard, stack: _Archive(root, shard, stack, kind))
+
+
+def write_class_folder(df: DataFrame, root: str, payload: str = "image") -> DataFrame:
+    """Write every row as ``<root>/<label>/<filename>``; returns the number of files per task (lazy: run it)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        written = 0
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                with replacing(f"{root}/{row.label}/{row.filename}") as out:
+                    out.write(row.payload)
+                written += 1
+        yield pd.DataFrame({"files": [written]})
+
+    return df.select("label", "filename", F.col(payload).alias("payload")).mapInPandas(run, "files bigint")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.functions.columns import int_div
-
 
 def write_image_table(df: DataFrame, path: str, rows_per_file: int = 100_000,
                       row_group_bytes: int = 64 << 20, mode: str = "error") -> None:
@@ -54,7 +52,7 @@ CSV_DIGITS = {
 def csv_text(df: DataFrame, digits: dict[str, int] = CSV_DIGITS) -> DataFrame:
     """Timing columns as text with a fixed number of digits."""
     return df.withColumns({
-        c: F.format_string(f"%.{digits[c]}f", F.bround(F.col(c).cast("double"), digits[c]))
+        c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits[c]}f", F.bround(F.col(c).cast("double"), digits[c])))
         for c in df.columns if c in digits
     })
 
@@ -64,6 +62,13 @@ def write_timings_csv(df: DataFrame, path: str, digits: dict[str, int] = CSV_DIG
     csv_text(df, digits).write.mode(mode).option("header", True).csv(path)
 
 
+def write_delay_config(config: DataFrame, path: str, gpu: str = "gpu", mode: str = "error") -> None:
+    """The device configuration as one JSON document (one entry per device)."""
+    entry = F.struct(gpu, F.struct(*[c for c in config.columns if c != gpu]))
+    document = config.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    document.coalesce(1).write.mode(mode).text(path)
+
+
 def storage_overhead(containers: DataFrame, raw: DataFrame, key: str = "container", length: str = "length") -> DataFrame:
     """``container_mb, raw_mb, overhead_pct`` per container kind; inputs are file listings."""
     mb = 1024.0 * 1024.0
@@ -73,7 +78,3 @@ def storage_overhead(containers: DataFrame, raw: DataFrame, key: str = "containe
         key, (F.col("_packed") / mb).alias("container_mb"), (F.col("_raw") / mb).alias("raw_mb"),
         ((F.try_divide("_packed", "_raw") - 1) * 100).alias("overhead_pct"),
     )
-
-
-def shard_of(idx: str, size: int):
-    return int_div(F.col(idx), size)

@@ -5,6 +5,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from samplewright import EpochPlan
+from samplewright.functions import columns as C
 from samplewright.operators import collate as gather
 from samplewright.operators import sampler
 from samplewright.sinks.tables import write_batches
@@ -35,6 +36,15 @@ def test_raw_collate_keeps_integers(samples):
     assert row["images"][0] == [row.labels[0] + i for i in range(3)]
 
 
+def test_scaling_gives_the_same_values_wherever_it_is_done(samples):
+    plan = EpochPlan("k", 10)
+    per_sample = plan.collated(samples.withColumn("t", C.scale_255("t")), "t", "y", scale=False)
+    per_batch = plan.collated(samples, "t", "y")
+    after = plan.collated(samples, "t", "y", scale=False).withColumn("images", C.scale_255("images", depth=2))
+    want = {r.batch_id: r["images"] for r in per_batch.collect()}
+    assert want == {r.batch_id: r["images"] for r in per_sample.collect()} == {r.batch_id: r["images"] for r in after.collect()}
+
+
 def test_unequal_shapes_raise(spark):
     df = spark.createDataFrame([(0, [1], 0), (1, [1, 2], 0)], "k bigint, t array<int>, y int")
     with pytest.raises(SparkRuntimeException, match="unequal length"):

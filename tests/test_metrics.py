@@ -139,3 +139,4 @@ def test_queue_counters_and_top(spark):
 def test_csv_text_rounds_half_even(spark):
     row = csv_text(spark.createDataFrame([(0.125, 1.0 / 3, 80.0)], "mean_ms double, time_s double, gpu_mem_gb double")).first()
     assert tuple(row) == ("0.12", "0.333333", "80.0")
+    assert csv_text(spark.createDataFrame([(None,)], "mean_ms double")).first().mean_ms is None
