@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from samplewright.functions.columns import as_col, hash_hex, hex_number, int_div
+from samplewright.functions.columns import hash_hex, hex_number, int_div
 from samplewright.functions.fixed import DEFAULT_SEED
 from samplewright.session import broadcast_if_small, checkpoint_dir, same_keys, settled
 

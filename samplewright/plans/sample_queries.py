@@ -166,11 +166,12 @@ def device_normalise(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, value FROM events WHERE 32 << (user_id % 5)::INT = 256 AND event_type = 'click'
+    SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'
 """)
 def config_filter(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").withColumn("batch_size", F.lit(32).cast("bigint") * F.pow(F.lit(2), F.col("user_id") % 5).cast("bigint"))
-    return runs.where("batch_size = 256 and event_type = 'click'").select("event_id", "value")
+    """Rows of one configuration; both conditions reach the scan."""
+    runs = table(spark, sf_dir, "orders")
+    return runs.where("o_orderstatus = 'F' and o_orderpriority = '5-LOW'").select("o_orderkey", "o_totalprice")
 
 
 @query("""

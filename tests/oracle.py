@@ -49,8 +49,8 @@ def actual(df):
     return rows_of(df.columns, [tuple(r) for r in df.collect()])
 
 
-def difference(spark, con, sf_dir, fn, sql) -> str | None:
-    have, want = actual(fn(spark, sf_dir)), expected(con, sql)
+def difference(con, df, sql) -> str | None:
+    have, want = actual(df), expected(con, sql)
     if have[0] != want[0]:
         return f"columns {have[0]} != {want[0]}"
     if len(have[1]) != len(want[1]):

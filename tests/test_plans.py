@@ -14,10 +14,6 @@ from samplewright.operators import rank, sampler
 from samplewright.session import broadcast_if_small
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {
-    "user_collate", "user_transform", "epoch_images", "decode_resize", "decode_normalise", "eval_crop", "augment_pixels",
-    "shard_roundtrip", "zip_roundtrip", "tar_roundtrip",
-}
 
 
 def plan_of(df) -> str:
@@ -77,13 +73,6 @@ def test_running_has_no_group_wide_row_window(spark):
     assert carried.index("HashAggregate") < carried.index("FileScan")
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - PYTHON_QUERIES))
-def test_relational_queries_stay_in_the_jvm(spark, name):
-    text = plan_of(registered.queries()[name](spark, SF_DIR))
-    assert not re.search("MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython|PythonUDTF", text)
-    assert "CartesianProduct" not in text
-
-
 @pytest.mark.parametrize("name", ["coverage_gap", "config_filter"])
 def test_filters_reach_the_scan(spark, name):
     assert re.search(r"PushedFilters: \[[^\]]*(GreaterThan|EqualTo)", plan_of(registered.queries()[name](spark, SF_DIR)))
