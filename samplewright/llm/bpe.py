@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by batched merge rounds in numpy, decoding by gathering bytes.
 
-A text is cut into added tokens and words; each task keeps the ids of words it has met (up to a byte bound) and encodes
-new words together. The symbols of all of them lie in one flat array. A round looks every neighbouring pair up in the
+A text is cut at single spaces (or, where spaces are less plain, into its words); each task keeps the ids of the parts it
+has met, up to a byte bound, and encodes the words of new parts together. The symbols of all of them lie in one flat array. A round looks every neighbouring pair up in the
 sorted pair keys of the vocabulary, finds each word's lowest rank, and merges its occurrences from the left; words
 without a known pair leave the array.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +26,10 @@ from samplewright.llm.common import bounded_batches, slabs, text_of
 # The pattern that cuts a text into words (fixed value of the vocabulary's pre-tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# White space that is neither a space nor a line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 # Bytes of words whose ids a task keeps; beyond it the memory starts anew. Results do not depend on it.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 160 << 20
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -42,6 +45,14 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def gathered(store: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``begin, size`` of the store with the given numbers side by side, and their sizes."""
+    size = size[number]
+    ends = np.cumsum(size)
+    place = np.repeat(begin[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    return store[place], size
+
+
 class Vocabulary:
     """Arrays made from a tokenizer file: byte ids, sorted pair keys with rank and merged id, bytes of every id."""
 
@@ -81,8 +92,6 @@ class Vocabulary:
         self.known_bytes = 0
         self.store = np.zeros(1 << 16, dtype=np.uint32)
         self.begin, self.size, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
-        for token, number in self.added.items():
-            self.remember([token], np.array([number], dtype=np.uint32), np.array([1]))
 
     def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.store):
@@ -106,28 +115,32 @@ class Vocabulary:
         size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         symbols = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(raw)), size)
+        rank, at = np.full(len(symbols), NO_RANK, dtype=np.int32), np.zeros(len(symbols), dtype=np.int64)
+        changed = np.arange(len(symbols))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             n = len(symbols)
-            rank, at = np.full(n, NO_RANK, dtype=np.int32), np.zeros(n, dtype=np.int64)
-            rank[:-1], at[:-1] = self.look_up(symbols[:-1], symbols[1:])
-            rank[:-1][owner[:-1] != owner[1:]] = NO_RANK
+            # only pairs next to a merge have to be looked up again
+            inner = changed[(changed >= 0) & (changed < n - 1)]
+            rank[changed[changed >= 0]] = NO_RANK
+            inner = inner[owner[inner] == owner[inner + 1]]
+            rank[inner], at[inner] = self.look_up(symbols[inner], symbols[inner + 1])
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             lowest = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.concatenate([first, [n]]))
             over = np.repeat(lowest == NO_RANK, sizes)
             if over.any():
                 done.append((owner[over], symbols[over]))
-            here = (rank == np.repeat(lowest, sizes)) & ~over
             # in a run of overlapping occurrences (aaa) every second one counts, from the left
-            places = np.flatnonzero(here)
+            places = np.flatnonzero((rank == np.repeat(lowest, sizes)) & ~over)
             new_run = np.concatenate([[True], np.diff(places) > 1]) if len(places) else np.zeros(0, bool)
-            run = np.cumsum(new_run) - 1
-            places = places[(np.arange(len(places)) - np.flatnonzero(new_run)[run]) % 2 == 0] if len(places) else places
+            places = places[(np.arange(len(places)) - np.flatnonzero(new_run)[np.cumsum(new_run) - 1]) % 2 == 0]
             symbols[places] = self.made[at[places]]
             keep = ~over
             keep[places + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            moved = (np.cumsum(keep) - 1)[places]
+            changed = np.concatenate([moved, moved - 1])
+            symbols, owner, rank, at = symbols[keep], owner[keep], rank[keep], at[keep]
         if not done:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(words), dtype=np.int64)
         owner, ids = np.concatenate([o for o, _ in done]), np.concatenate([s for _, s in done])
@@ -142,31 +155,55 @@ class Vocabulary:
             out += [part] if i % 2 else self.words.findall(part)
         return out
 
+    def units(self, text: str) -> list[str]:
+        """Keys of the parts of a text that are encoded on their own.
+
+        No word reaches over a single space between other characters, so a text with no other spaces is cut there: the
+        part after a space has itself as key. Other texts are cut into their words. The key of a part that stands as it
+        is begins with a space.
+        """
+        if not text:
+            return []
+        plain = not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text
+                     or OTHER_SPACE.search(text) or any(token in text for token in self.added))
+        if not plain:
+            return [" " + piece for piece in self.pieces(text)]
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+
+    def learn(self, keys: list[str]) -> None:
+        """Encode new parts: the distinct words in them together, then their ids joined."""
+        cut = [[key[1:]] if key[1:] in self.added else self.words.findall(key[1:] if key[0] == " " else " " + key) for key in keys]
+        number: dict[str, int] = {}
+        order = np.array([number.setdefault(w, len(number)) for words in cut for w in words], dtype=np.int64)
+        ids, size = self.encode_words([w for w in number if w not in self.added])
+        if any(w in self.added for w in number):
+            own = iter(np.split(ids, np.cumsum(size)[:-1]))
+            parts = [np.array([self.added[w]], dtype=np.uint32) if w in self.added else next(own) for w in number]
+            ids, size = np.concatenate(parts), np.array([len(p) for p in parts])
+        ids, sizes = gathered(ids, np.cumsum(size) - size, size, order)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(words) for words in cut])]
+        self.remember(keys, ids, np.diff(ends, prepend=0))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         if self.known_bytes > CACHE_BYTES:
             self.forget()
-        cut = [self.pieces(t) for t in texts]
-        words = list(chain.from_iterable(cut))
-        new = list(set(words).difference(self.known))
+        cut = [self.units(t) for t in texts]
+        keys = list(chain.from_iterable(cut))
+        new = list(set(keys).difference(self.known))
         if new:
-            self.remember(new, *self.encode_words(new))
-        number = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        size = self.size[number]
-        ends = np.cumsum(size)
-        place = np.repeat(self.begin[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.store[place]
-        last = np.cumsum([len(c) for c in cut])
-        return np.split(ids, np.concatenate([[0], ends])[last[:-1]]) if texts else []
+            self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+        ids, size = gathered(self.store, self.begin, self.size, number)
+        last = np.cumsum([len(c) for c in cut], dtype=np.int64)
+        return np.split(ids, np.concatenate([[0], np.cumsum(size)])[last[:-1]]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
         ids = ids.astype(np.int64)
-        length = self.length[ids]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(self.start[ids] - (ends - length), length) + np.arange(total)
-        return self.bytes[place].tobytes().decode("utf-8", errors="replace")
+        return gathered(self.bytes, self.start, self.length, ids)[0].tobytes().decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)

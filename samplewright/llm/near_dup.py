@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplewright.llm.common import bounded_batches, slabs, text_of, utf8, written
@@ -308,3 +308,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group is kept, with all columns.
+
+    Of rows that repeat an id one stays (the first text in order); rows with a null id stay.
+    """
+    found = written(near_duplicates(docs), "groups")
+    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = docs.where("doc_id is null")
+    if repeated.isEmpty():
+        return kept.union(rest)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    return once.union(several.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")).union(rest)
