@@ -53,7 +53,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS digest FROM p),
-d AS (SELECT page_id, payload_bytes, digest, list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+d AS (SELECT page_id, payload_bytes, digest, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(digest, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest FROM h),
 o AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
@@ -72,7 +72,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
 n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
 u AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
