@@ -23,6 +23,9 @@ from samplewright.llm.common import bounded_batches, written
 
 # Skeletons of a host that one task aligns; more of them are aligned in rounds.
 GROUP = 256
+# Levels of elements that are told apart, and items on one level up to which their classes are.
+DEPTH = 100
+WIDEST = 200
 # Bytes of the wrapper table up to which it is sent to all tasks; a larger one is joined.
 BROADCAST_BYTES = 8 << 20
 
@@ -74,10 +77,14 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """A tree from any text: unclosed elements end where the next of their kind or their parent does, stray ends are ignored."""
+    """A tree from any text: unclosed elements end where the next of their kind or their parent does, stray ends are ignored.
+
+    Below ``DEPTH`` levels elements have no node; their content belongs to the last one that has.
+    """
     root = Node("#root")
     stack, at = [root], 0
     size = len(text)
+    passed: dict[str, int] = {}  # elements below the deepest level, open but without a node of their own
 
     def add(piece: str) -> None:
         if piece:
@@ -98,6 +105,9 @@ def parse(text: str) -> Node:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if m[1] and passed.get(name):
+            passed[name] -= 1
+            continue
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
@@ -118,6 +128,9 @@ def parse(text: str) -> Node:
                 elif tag in scope.split() or tag not in INLINE and name in CLOSES_P:
                     break
         node = Node(name, m[3])
+        if len(stack) > DEPTH and name not in RAW and name not in VOID and (not node.drop or len(stack) > 2 * DEPTH):
+            passed[name] = passed.get(name, 0) + 1
+            continue
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(text, at)
@@ -179,7 +192,19 @@ def align(left: list[list], right: list[list]) -> list[list]:
         else:
             out.append([right[j][0], right[j][1], True, right[j][3]])
             j += 1
-    return _fold(out)
+    return _narrowed(_fold(out))
+
+
+def _narrowed(items: list[list]) -> list[list]:
+    """A level with more than ``WIDEST`` items, as random class names make, is reduced to one repeated item for each name."""
+    if len(items) <= WIDEST:
+        return items
+    out: dict[str, list] = {}
+    for item in items:
+        for sig, _, _, inner in item[3] if item[0] == "*" else [item]:
+            name = re.split(r"[.@]", sig, maxsplit=1)[0]
+            out[name] = [name, True, True, align(out[name][3], inner) if name in out else inner]
+    return list(out.values())
 
 
 def skeleton(node: Node) -> list[list]:
