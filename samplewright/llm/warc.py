@@ -8,6 +8,7 @@ record, so any file system of Spark can hold the archives and the commit protoco
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from math import ceil
@@ -92,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     """Write one record per row of ``pages`` (``page_id, url, html``) to archive files below ``path``.
 
     Payloads of originals are stored once; revisit records hold headers only, all of them fresh. Files are about
-    ``file_bytes`` large, as many as the stored bytes ask for. Rows may be null in any column or repeat; a missing address
+    ``file_bytes`` large before compression, as many as the stored bytes ask for. Rows may be null in any column or repeat; a missing address
     becomes ``urn:page:<id>``, spaces and control characters in one are escaped.
     """
     kept = written(headers(pages), "headers")
@@ -100,9 +101,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     stored = plan.agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), base32_sha1(html).alias("digest"), html.alias("html"))
-    rows = rows.join(plan, rows["id"].eqNullSafe(plan["page_id"]) & (rows["digest"] == plan["payload_digest"]))
     files = max(1, ceil(stored / file_bytes))
-    rows.select(_record(date).alias("value")).repartition(files, F.xxhash64("value")).write.option("lineSep", "\r\n").text(path)
+
+    def key(number: str, digest: str):
+        return F.concat_ws(":", F.coalesce(F.col(number).cast("string"), F.lit("none")), F.col(digest))
+
+    # payloads move once: the join's partitions are the files
+    rows = rows.withColumn("key", key("id", "digest")).repartition(files, "key").join(
+        plan.withColumn("key", key("page_id", "payload_digest")).repartition(files, "key"), "key")
+    rows.select(_record(date).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -133,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for fields, block in _records(content.as_py()):
+                for fields, block in _records(gzip.decompress(content.as_py())):
                     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                     payload = block.split(b"\r\n\r\n", 1)[1]
                     if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest
