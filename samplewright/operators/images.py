@@ -171,7 +171,10 @@ def batch_tensors(batches: DataFrame, size: tuple[int, int] | None = DEFAULT_IMA
                     if error:
                         raise ValueError(error)
                     arrays.append(array)
-                done.append(_tensors(arrays, None, make, scale, mean, std)[0])
+                data, shape = _tensors(arrays, None, make, scale, mean, std)
+                if len(np.unique(shape, axis=0)) > 1:
+                    raise ValueError("images of one batch differ in shape; give a size")
+                done.append(data)
             yield pd.Series(done)
 
     return batches.withColumn(out, tensors(*decoder_columns)).drop(*[c for c in decoder_columns if c != out])
@@ -197,16 +200,13 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tensor_values(data: str | Column, dtype: str = "uint8") -> Column:
     """The numbers of a ``data`` blob as an array column."""
-    if dtype == "uint8":
-        text = F.hex(as_col(data))
-        index = F.sequence(F.lit(0), F.octet_length(as_col(data)) - 1)
-        return F.transform(index, lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("smallint"))
+    stored, kind, read = ("u1", "array<smallint>", "i2") if dtype == "uint8" else ("<f4", "array<float>", "f4")
 
-    @F.pandas_udf("array<float>")
-    def floats(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: np.frombuffer(b, dtype="<f4"))
+    @F.pandas_udf(kind)
+    def values(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype=stored).astype(read))
 
-    return floats(as_col(data))
+    return values(as_col(data))
 
 
 def spark_image_blobs(images: DataFrame) -> DataFrame:
@@ -252,7 +252,10 @@ def eval_crop(df: DataFrame, resize: int = 256, crop: int = 224, **options) -> D
         else:
             target = (int(resize * height / width), resize)
         stack = resize_bilinear(stack, target)
-        top, left = round((target[0] - crop) / 2), round((target[1] - crop) / 2)
+        short = [max(0, crop - n) for n in target]
+        if any(short):  # a crop larger than the image is filled up with zeros around it
+            stack = np.pad(stack, ((0, 0), *((n // 2, n - n // 2) for n in short), (0, 0)))
+        top, left = (round((n - crop) / 2) for n in stack.shape[1:3])
         return stack[:, top:top + crop, left:left + crop]
 
     return _image_pass(df, options.pop("keep", ("sample_idx", "label")), options.pop("decoder", None),

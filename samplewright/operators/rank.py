@@ -107,8 +107,10 @@ def _ranked(hashed: DataFrame, inside: list[str], keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*inside).orderBy("_hash", *keys)
     repeated = F.lit(True)
     for k in keys:
-        repeated = repeated & (F.col(k) == F.lag(k).over(order))
+        repeated = repeated & F.col(k).eqNullSafe(F.lag(k).over(order))
     problem = F.raise_error(F.concat_ws(" ", F.lit("key is not unique:"), *[F.col(k).cast("string") for k in keys]))
+    # the row before the first one is no NULL key
+    repeated = repeated & (F.row_number().over(order) > 1)
     return hashed.withColumn("_rank", F.when(repeated, problem.cast("int")).otherwise(F.row_number().over(order)))
 
 

@@ -35,7 +35,7 @@ def _run(report: DataFrame) -> None:
 """)
 def shard_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "shards")
-    _run(shard_sinks.write_shards(_blobs(spark, sf_dir), root, "sample_idx", "image", 100, tasks=8))
+    _run(shard_sinks.write_shards(_blobs(spark, sf_dir), root, "sample_idx", "image", 100))
     records = shards.read_all_shards(spark, root)
     return records.select("sample_idx", "shard_id", "local_idx", "length", F.md5("payload").alias("digest"))
 
@@ -47,7 +47,7 @@ def shard_roundtrip(spark, sf_dir):
 def class_folder_scan(spark, sf_dir):
     """Documents as files in one directory per language, numbered by directory and name."""
     root = scratch_path(spark, "folder")
-    _run(shard_sinks.write_class_folder(_blobs(spark, sf_dir).repartition(8), root))
+    _run(shard_sinks.write_class_folder(_blobs(spark, sf_dir).repartition("sample_idx"), root))
     files = folders.read_class_folder(spark, root)
     return files.select("sample_idx", "label", "filename", "length", F.md5("image").alias("digest"))
 
@@ -60,7 +60,7 @@ _ARCHIVE_SQL = """
 
 def _archive(spark, sf_dir, kind: str) -> DataFrame:
     root = scratch_path(spark, kind)
-    _run(shard_sinks.write_archives(_blobs(spark, sf_dir), root, kind, "sample_idx", max_members=250, tasks=8))
+    _run(shard_sinks.write_archives(_blobs(spark, sf_dir), root, kind, "sample_idx", max_members=250))
     members = archives.read_archive(spark, f"{root}/*.{kind}", kind)
     return members.select("member", "label", "filename", F.md5("image").alias("digest"))
 
@@ -81,7 +81,7 @@ def tar_roundtrip(spark, sf_dir):
 """)
 def image_table_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "images")
-    blobs = _blobs(spark, sf_dir).repartitionByRange(4, "sample_idx").sortWithinPartitions("sample_idx")
+    blobs = _blobs(spark, sf_dir).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx")
     table_sinks.write_image_table(blobs, path, rows_per_file=100)
     images = sources.read_image_table(spark, path)
     return images.select("sample_idx", "label", "filename", F.md5("image").alias("digest"))
@@ -94,7 +94,7 @@ def image_table_roundtrip(spark, sf_dir):
 def batches_written(spark, sf_dir):
     """An epoch written in order; positions are read back from the storage order."""
     path = scratch_path(spark, "epoch")
-    EpochPlan("o_orderkey", 64, partitions=6).write(table(spark, sf_dir, "orders").select("o_orderkey"), path)
+    EpochPlan("o_orderkey", 64).write(table(spark, sf_dir, "orders").select("o_orderkey"), path)
     schema = "o_orderkey bigint, batch_id bigint"
     return sources.read_parquet_table(spark, path, schema).select(F.col("sample_idx").alias("pos"), "batch_id", "o_orderkey")
 
@@ -164,11 +164,20 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return streams.read_sample_stream(spark, sf_dir, schema, glob="events.parquet")
 
 
-@query("SELECT 0 AS lane, i AS batch_id, 64::BIGINT AS size FROM (SELECT unnest(range((SELECT count(*) // 64 FROM events))) AS i)")
+_LANES = 16
+
+
+@query(f"""
+    WITH l AS (SELECT (('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % {_LANES})::INT AS lane, count(*) AS n FROM events GROUP BY 1)
+    SELECT lane, unnest(range(n // 64)) AS batch_id, 64::BIGINT AS members, 64::BIGINT AS own, 0 AS first_slot, 63 AS last_slot FROM l
+""")
 def stream_batches(spark, sf_dir):
-    """Full batches of one lane: as many as fit, all of the same size."""
-    stream = streams.stream_batches(streams.with_lane(_event_stream(spark, sf_dir), "event_id"), "event_id", 64)
-    return streams.run_to_files(stream).groupBy("lane", "batch_id").agg(F.countDistinct("event_id").alias("size"))
+    """Full batches of every lane: as many as fit, of distinct keys that belong to the lane, in slots 0 to 63."""
+    stream = streams.stream_batches(streams.with_lane(_event_stream(spark, sf_dir), "event_id", _LANES), "event_id", 64)
+    rows = streams.with_lane(streams.run_to_files(stream).withColumnRenamed("lane", "given"), "event_id", _LANES)
+    return rows.groupBy(F.col("given").alias("lane"), "batch_id").agg(
+        F.countDistinct("event_id").alias("members"), F.count(F.when(F.col("given") == F.col("lane"), 1)).alias("own"),
+        F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
 @query("""

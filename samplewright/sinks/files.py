@@ -9,6 +9,8 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from samplewright.sources.ranges import known_scheme
+
 
 def output_system(path: str):
     """File system and bare path of a plain path or a URI."""
@@ -17,7 +19,7 @@ def output_system(path: str):
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(known_scheme(path))
     return fs.LocalFileSystem(), path
 
 

@@ -96,6 +96,11 @@ class _Archive:
         pass
 
 
+def _shard_tasks(rows: DataFrame) -> int:
+    """A task for about every shard, as shards are what a task can write alone; one pass over the shard numbers."""
+    return int(rows.agg(F.max("shard_id")).first()[0] or 0) + 1
+
+
 def _write_grouped(rows: DataFrame, order: str, tasks: int, make: Callable) -> DataFrame:
     laid_out = rows.repartition(tasks, "shard_id").sortWithinPartitions("shard_id", order)
 
@@ -133,8 +138,7 @@ def write_shards(df: DataFrame, root: str, idx: str, payload: str, max_shard_siz
     rows = df.select(
         int_div(F.col(idx), max_shard_size).alias("shard_id"), F.col(idx).alias("_order"), F.col(payload).alias("payload")
     )
-    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism * 4
-    return _write_grouped(rows, "_order", tasks, lambda shard, stack: _BlobShard(root, shard, stack))
+    return _write_grouped(rows, "_order", tasks or _shard_tasks(rows), lambda shard, stack: _BlobShard(root, shard, stack))
 
 
 def write_archives(df: DataFrame, root: str, kind: str, idx: str, payload: str = "image",
@@ -146,8 +150,7 @@ def write_archives(df: DataFrame, root: str, kind: str, idx: str, payload: str =
         int_div(F.col(idx), max_members).alias("shard_id"), F.col(idx).alias("_order"),
         "label", "filename", F.col(payload).alias("payload"),
     )
-    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism * 4
-    return _write_grouped(rows, "_order", tasks, lambda shard, stack: _Archive(root, shard, stack, kind))
+    return _write_grouped(rows, "_order", tasks or _shard_tasks(rows), lambda shard, stack: _Archive(root, shard, stack, kind))
 
 
 def write_class_folder(df: DataFrame, root: str, payload: str = "image") -> DataFrame:

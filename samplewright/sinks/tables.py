@@ -70,11 +70,14 @@ def write_delay_config(config: DataFrame, path: str, gpu: str = "gpu", mode: str
 
 
 def storage_overhead(containers: DataFrame, raw: DataFrame, key: str = "container", length: str = "length") -> DataFrame:
-    """``container_mb, raw_mb, overhead_pct`` per container kind; inputs are file listings."""
+    """``container_mb, raw_mb, overhead_pct`` per container kind; inputs are file listings.
+
+    A kind that only one listing has keeps its row, with nulls for the other side.
+    """
     mb = 1024.0 * 1024.0
     packed = containers.groupBy(key).agg(F.sum(length).alias("_packed"))
     plain = raw.groupBy(key).agg(F.sum(length).alias("_raw"))
-    return packed.join(plain, key).select(
+    return packed.join(plain, key, "full").select(
         key, (F.col("_packed") / mb).alias("container_mb"), (F.col("_raw") / mb).alias("raw_mb"),
         ((F.try_divide("_packed", "_raw") - 1) * 100).alias("overhead_pct"),
     )

@@ -18,7 +18,7 @@ from samplewright.functions.columns import file_name, has_extension, label_from_
 from samplewright.functions.fixed import IMAGE_EXTENSIONS
 from samplewright.sources.ranges import open_input, read_ranges
 
-_MEMBER = "member string, start bigint, length bigint, method int"
+_MEMBER = "member string, start bigint, length bigint, method int, crc bigint"
 
 
 class ZipMembers:
@@ -33,7 +33,9 @@ class ZipMembers:
                 # may differ from those in the directory.
                 raw.seek(info.header_offset + 26)
                 name, extra = struct.unpack("<HH", raw.read(4))
-                yield info.filename, info.header_offset + 30 + name + extra, info.compress_size, info.compress_type
+                if info.flag_bits & 1:
+                    raise ValueError(f"{path}: member {info.filename} is encrypted")
+                yield info.filename, info.header_offset + 30 + name + extra, info.compress_size, info.compress_type, info.CRC
 
 
 class TarMembers:
@@ -43,7 +45,7 @@ class TarMembers:
         with open_input(path) as raw, tarfile.open(fileobj=raw, mode="r:") as archive:
             for info in archive:
                 if info.isfile():
-                    yield info.name, info.offset_data, info.size, 0
+                    yield info.name, info.offset_data, info.size, 0, None
 
 
 _LISTERS = {"zip": ZipMembers, "tar": TarMembers}
@@ -51,13 +53,13 @@ _LISTERS = {"zip": ZipMembers, "tar": TarMembers}
 
 def list_archives(spark: SparkSession, path_glob: str, kind: str = "zip",
                   exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
-    """``path, member, label, filename, start, length, method`` of the matching members."""
+    """``path, member, label, filename, start, length, method, crc`` of the matching members."""
     members = F.udtf(_LISTERS[kind], returnType=_MEMBER)
     archives = spark.read.format("binaryFile").load(path_glob).select("path")
     listed = archives.lateralJoin(members(F.col("path").outer())).where(has_extension("member", exts))
     return listed.select(
         "path", "member", label_from_path("member", "first").alias("label"), file_name("member").alias("filename"),
-        "start", "length", "method",
+        "start", "length", "method", "crc",
     )
 
 
@@ -67,6 +69,6 @@ def read_archive(spark: SparkSession, path_glob: str, kind: str = "zip",
     # Sized by the archives themselves, so that their members are listed once.
     total = spark.read.format("binaryFile").load(path_glob).agg(F.sum("length")).first()[0] or 0
     members = list_archives(spark, path_glob, kind, exts)
-    return read_ranges(members, method="method", out="image", total_bytes=total).select(
+    return read_ranges(members, method="method", crc="crc", out="image", total_bytes=total).select(
         "path", "member", "label", "filename", "image"
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+import lzma
 import zlib
 from collections.abc import Iterator
 from math import ceil
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +21,12 @@ READ_BYTES = 16 << 20
 GAP_BYTES = 64 << 10
 
 
+def known_scheme(path: str) -> str:
+    """The URI with the scheme pyarrow has for it: Hadoop's names of the object store are one store."""
+    scheme, mark, rest = path.partition("://")
+    return f"s3://{quote(rest, safe='/=+-._~%')}" if mark and scheme in ("s3a", "s3n") else path
+
+
 def open_input(path: str):
     """A seekable file for a plain path or a URI."""
     from pyarrow import fs
@@ -26,7 +35,7 @@ def open_input(path: str):
         return fs.LocalFileSystem().open_input_file(path)
     if path.startswith("file:"):
         return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = fs.FileSystem.from_uri(known_scheme(path))
     return system.open_input_file(name)
 
 
@@ -47,13 +56,34 @@ def _runs(paths: pd.Series, offsets: pd.Series, lengths: pd.Series) -> Iterator[
         yield path, first, len(paths), start, end
 
 
+def _unpacked(data: bytes, method: int, name: str) -> bytes:
+    """Content of a zip member from its stored bytes."""
+    if method == 0:
+        return data
+    if method == 8:
+        return zlib.decompress(data, -15)
+    if method == 12:
+        return bz2.decompress(data)
+    if method == 14:
+        # a version, the size of the filter properties and these come before the raw stream
+        size = int.from_bytes(data[2:4], "little")
+        properties, body = data[4:4 + size], data[4 + size:]
+        rest, place = divmod(properties[0], 9)
+        chain = [{"id": lzma.FILTER_LZMA1, "lc": place, "lp": rest % 5, "pb": rest // 5, "dict_size": int.from_bytes(properties[1:5], "little")}]
+        return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=chain).decompress(body)
+    raise ValueError(f"{name}: compression method {method} is not supported")
+
+
 def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start", length: str = "length",
-                method: str | None = None, out: str = "payload", total_bytes: int | None = None) -> DataFrame:
+                method: str | None = None, out: str = "payload", total_bytes: int | None = None,
+                crc: str | None = None) -> DataFrame:
     """Add the bytes ``[offset, offset+length)`` of each row's file.
 
     Rows are spread by file and 128 MB block, so one large file is read by many
     tasks; a task reads its ranges in file order through one open handle.
-    ``method`` names a column with the zip compression method (0 or 8). Without
+    ``method`` names a column with the zip compression method (0 stored, 8 deflate,
+    12 bzip2, 14 LZMA; any other raises), ``crc`` one with the checksum that the
+    content must have where it is not null. Without
     ``total_bytes`` (about what will be read) the manifest is summed first.
     """
     total = (manifest.agg(F.sum(length)).first()[0] or 0) if total_bytes is None else total_bytes
@@ -69,6 +99,7 @@ def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start",
         try:
             for frame in frames:
                 methods = frame[method].to_numpy() if method else None
+                sums = frame[crc].to_numpy() if crc else None
                 for name, first, last, start, end in _runs(frame[path], frame[offset], frame[length]):
                     if name != opened:
                         if handle is not None:
@@ -81,7 +112,11 @@ def read_ranges(manifest: DataFrame, path: str = "path", offset: str = "start",
                     piece = frame.iloc[first:last]
                     blobs = [data[s - start:s - start + n] for s, n in zip(piece[offset], piece[length])]
                     if methods is not None:
-                        blobs = [zlib.decompress(b, -15) if how == 8 else b for b, how in zip(blobs, methods[first:last])]
+                        blobs = [_unpacked(b, how, name) for b, how in zip(blobs, methods[first:last])]
+                    if sums is not None:
+                        for blob, wanted in zip(blobs, sums[first:last]):
+                            if not pd.isna(wanted) and zlib.crc32(blob) != int(wanted):
+                                raise ValueError(f"{name}: a member does not match its checksum")
                     yield piece.assign(**{out: blobs})
         finally:
             if handle is not None:

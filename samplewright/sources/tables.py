@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -17,18 +17,27 @@ def with_sample_idx(table: DataFrame, out: str = "sample_idx") -> DataFrame:
     """Add the 0-based storage position of every row of a Parquet table.
 
     The position inside a file comes from the reader. Several files follow one
-    another by path; their row counts come from the footers alone.
+    another in the order they were written (``write_order``); their row counts come
+    from the footers alone.
     """
-    if len(table.inputFiles()) <= 1:
-        return table.select(*table.columns, F.col("_metadata.row_index").alias(out))
     counts = table.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*write_order("_file")).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     placed = table.select(*table.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     joined = placed.join(broadcast_if_small(starts), "_file")
     return joined.select(*table.columns, (F.col("_start") + F.col("_row")).alias(out))
 
 
+def write_order(path: str) -> list[Column]:
+    """Sort keys of written files: directory, part number, file counter of the task, then the path itself.
+
+    Writers pad numbers to a fixed width and go on past it, so paths as text are not in write order.
+    """
+    directory = F.regexp_replace(path, "[^/]*$", "")
+    numbers = [F.regexp_extract(path, pattern, 1).try_cast("bigint") for pattern in (r"/part-(\d+)[^/]*$", r"-c(\d+)[^/]*$")]
+    return [directory, *[F.coalesce(n, F.lit(-1)) for n in numbers], F.col(path)]
+
+
 def take_prefix(df: DataFrame, max_samples: int | None, idx: str = "sample_idx") -> DataFrame:
     """The first ``max_samples`` rows in storage order; ``None`` keeps all."""
     return df if max_samples is None else df.where(F.col(idx) < max_samples)

@@ -24,9 +24,14 @@ def read_sample_stream(spark: SparkSession, path: str, schema: T.StructType, fil
     return reader.parquet(path)
 
 
-def with_lane(df: DataFrame, key: str, lanes: int = 1) -> DataFrame:
-    """Spread samples evenly over ``lanes`` assemblers, whatever their key distribution."""
-    return df.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int"))
+def with_lane(df: DataFrame, key: str, lanes: int | None = None) -> DataFrame:
+    """Spread samples evenly over ``lanes`` assemblers, whatever their key distribution.
+
+    A lane is one state group; by default there are as many as the session has shuffle partitions.
+    """
+    lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    return df.withColumn("lane", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % lanes).cast("int"))
 
 
 def stream_batches(samples: DataFrame, key: str, batch_size: int, lane: str = "lane") -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as registered
+from samplewright.plans.registry import QUERIES
 from tests.oracle import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,7 +25,7 @@ PYTHON_QUERIES = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df, sql = registered.queries()[name](spark, SF_DIR), registered.oracle_sql().get(name)
     plan = df._jdf.queryExecution().toString()
