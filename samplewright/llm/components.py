@@ -29,12 +29,15 @@ def _signature(edges: DataFrame):
     return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``node, component`` for every node of the edges ``a > b``; the component is its smallest node.
 
+    ``known`` is an earlier result that further edges are added to: its stars stand for the edges it was made from.
     Each round halves path lengths at least; a round ends in the shared scratch folder, so a lost executor costs
     one round. An edge table without rows gives no rows.
     """
+    if known is not None:
+        edges = edges.select("a", "b").union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, size = None, _signature(now)
     while size != before and size[0]:

@@ -286,8 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(confirmed(best, sets).union(same), "links")
     labels = written(components(links), "labels")
     rest = written(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), "rest")
-    links = links.union(written(confirmed(rest, sets), "links"))
-    labels = written(components(links), "labels")
+    labels = written(components(confirmed(rest, sets), labels), "labels")
 
     # Buckets of four and more whose inner members (all but lo and hi, which were compared with all) are in several components.
     inner = members.where("members > 3 and id <> lo and id <> hi").select("key", "id").join(
@@ -299,8 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = left.join(right, "key").where("x > y and c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     across = likely(across.join(pairs, ["a", "b"], "left_anti"), distinct).select("a", "b")
     across = written(across.union(_across_blocks(inner.where(F.col("inside") > PAIRED), sets)).distinct(), "across")
-    links = links.union(written(confirmed(across, sets), "links"))
-    labels = written(components(links), "labels")
+    labels = written(components(confirmed(across, sets), labels), "labels")
 
     named = drawn.select("doc_id", "n", "h1", "h2").join(owners, ["h1", "h2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
