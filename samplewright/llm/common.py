@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Text bytes that one step inside a Python task works on at a time. A single longer text is a step of its own.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes for tables of texts (a setting of the session, read when a plan runs)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
