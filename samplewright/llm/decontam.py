@@ -79,6 +79,16 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
         width, power = width * 2, power * power % (1 << 64)
 
 
+def _least_so_far(values: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Running minimum along each row that begins anew where the number of the stretch changes; by doubling."""
+    out, shift = values.copy(), 1
+    while shift < out.shape[1]:
+        same = stretch[:, shift:] == stretch[:, :-shift]
+        out[:, shift:] = np.where(same, np.minimum(out[:, shift:], out[:, :-shift]), out[:, shift:])
+        shift *= 2
+    return out
+
+
 class Items:
     """One block of benchmark items: their codes, edit budgets and the index of their q-grams."""
 
@@ -151,6 +161,7 @@ class Items:
         """Edits (or -1 beyond the budget), start and end of the best alignment of each item within its band.
 
         All regions advance together, one item character a step; cells hold cost and start in one integer.
+        An alignment lies within one text: none leads over a border.
         """
         n = len(item)
         edits, left, right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -186,11 +197,16 @@ class Items:
                 break
             letter = padded[np.where((column >= 0) & (column < len(codes)), column, len(codes))]
             step = cell + np.where(letter == pattern[live, row][:, None], 0, unit)
-            step[letter < 0] = far
+            # no step leads over the border of two texts
+            wall = letter == BORDER
+            step[(letter < 0) | wall] = far
             # the item's character has no partner: from the next lane of the row before
             step[:, :-1] = np.minimum(step[:, :-1], cell[:, 1:] + unit)
             # a text character has no partner: along the row, one edit a lane
             cell = np.minimum.accumulate(step - climb, axis=1) + climb
+            walled = np.flatnonzero(wall.any(axis=1))
+            if len(walled):
+                cell[walled] = _least_so_far(step[walled] - climb, np.cumsum(wall[walled], axis=1)) + climb
             column = column + 1
             cell[~(own & (column >= 0) & (column <= len(codes)))] = far
         cost = best[:, 0] // unit

@@ -82,6 +82,28 @@ def test_leaks_in_long_texts_and_spans(monkeypatch):
     assert text[found[3]:found[4]] == "the ANSWER of course is forty two apples and nine pears" and found[2] == 0
 
 
+def test_leaks_stay_within_one_text():
+    rng = random.Random(11)
+    item = "".join(rng.choices(string.ascii_lowercase, k=100))
+    items = decontam.Items([(7, item)])
+    budget = int(items.budget[0])
+    clean = "a clean text without any of it zzzz"
+    for missing in range(1, budget + 1):
+        assert items.search([clean, item[missing:] + " tail"]) == [(1, 7, missing, 0, 100 - missing)]
+        assert items.search([clean, item[missing:] + " tail"]) == [(t + 1, *x) for t, *x in items.search([item[missing:] + " tail"])]
+        assert items.search([item[:-missing], "qqqq" + clean]) == [(0, 7, missing, 0, 100 - missing)]
+        # short texts between, so that several borders lie within the band
+        assert items.search([clean, "z", "", "z", item[missing:], "z"]) == [(4, 7, missing, 0, 100 - missing)]
+    # an item in two texts, half in each, is quoted in neither
+    assert items.search([clean + item[:50], item[50:] + clean]) == []
+    for _ in range(200):
+        short = "".join(rng.choices("ab", k=40))
+        one = decontam.Items([(1, short)])
+        texts = ["".join(rng.choices("ab", k=rng.randint(0, 3))) + short[rng.randint(0, 2):40 - rng.randint(0, 2)] if rng.random() < 0.4
+                 else "".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(6)]
+        assert one.search(texts) == [(t, *x) for t, text in enumerate(texts) for _, *x in one.search([text])]
+
+
 def test_leaks_on_tables(spark):
     docs, items = documents(spark), spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()}
