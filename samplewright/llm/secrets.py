@@ -33,7 +33,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20}")
 # Candidates for a structural look: a token of three parts, a marked key block, runs of encoded bytes.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?KEY)-----((?:(?!-----)[\s\S])*?)-----END \1-----")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+URL_SAFE = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 DIGITS = re.compile(r"(?:[0-9A-Fa-f]{2}){20,}")
 
 # Kinds in the order of spans that begin together.
@@ -179,7 +180,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
             if is_key(unbase64(body)) or ("ENCRYPTED" in m[2] and len(unbase64(body) or b"") >= 64):
                 found.append((m.start(), "key", m.end()))
                 covered.append(m.span())
-    for pattern, decode in ((BASE64, unbase64), (DIGITS, bytes.fromhex)) if RUN.search(text) else ():
+    for pattern, decode in ((BASE64, unbase64), (URL_SAFE, unbase64), (DIGITS, bytes.fromhex)) if RUN.search(text) else ():
         for m in pattern.finditer(text):
             if any(a <= m.start() and m.end() <= b for a, b in covered):
                 continue

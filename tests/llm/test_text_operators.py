@@ -252,6 +252,20 @@ def test_secrets_confirmed_by_structure():
         assert secrets.confirmed_spans(f"x {text} y") == []
 
 
+def test_secrets_in_url_safe_letters():
+    rng = random.Random(12)
+    for n in range(60):
+        private = der(0x30, integer(0), der(0x30, der(0x06, bytes([0x2A, 0x86, 0x48]))), der(0x04, rng.randbytes(1200)))
+        public = der(0x30, der(0x30, der(0x06, bytes([0x2A, 0x86, 0x48]))), der(0x03, b"\0" + rng.randbytes(65)))
+        field = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+        openssh = b"openssh-key-v1\0" + field + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (rng.randbytes(51), rng.randbytes(300)))
+        for data in (private, public, openssh):
+            for key in (base64.urlsafe_b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="), base64.b64encode(data).decode()):
+                text = f"see {key}, it is set"
+                assert secrets.confirmed_spans(text) == [(4, "key", 4 + len(key))]
+                assert secrets.redacted(text, secrets.all_spans(text)[1]) == "see [SECRET], it is set"
+
+
 def test_secret_base_spans_match_plain_search(spark):
     rng = random.Random(2)
     parts = ["password", "Token", "api_key", "APIKEY", "ſecret", "secret", "passwd", ":", "=", " ", '"', "'", "abc", "abcdef12", "AKIA", "ABCDEFGH12345678", "é", "0123456789abcdef", "\n", "Kelvin"]
