@@ -23,9 +23,11 @@ from samplewright.llm.common import bounded_batches, written
 
 # Skeletons of a host that one task aligns; more of them are aligned in rounds.
 GROUP = 256
-# Levels of elements that are told apart, and items on one level up to which their classes are.
+# Levels of elements that are told apart, and items on one level up to which their classes are. Beyond, a level's elements are
+# told apart by name only, and their signatures in wrappers and paths are the name and ``BY_NAME``.
 DEPTH = 100
 WIDEST = 200
+BY_NAME = ".*"
 # Bytes of the wrapper table up to which it is sent to all tasks; a larger one is joined.
 BROADCAST_BYTES = 8 << 20
 
@@ -73,7 +75,8 @@ class Node:
                 or named.get("aria-hidden") == "true"
             mark = re.sub(r"\d+", "0", named.get("class") or named.get("id") or "")
             role = named.get("role") or named.get("itemprop") or ""
-            self.sig = tag + ("." + ".".join(sorted(mark.split())) if mark.strip() else "") + (f"@{role}" if role else "")
+            # a slash parts the steps of a path
+            self.sig = (tag + ("." + ".".join(sorted(mark.split())) if mark.strip() else "") + (f"@{role}" if role else "")).replace("/", "|")
 
 
 def parse(text: str) -> Node:
@@ -174,6 +177,8 @@ def _fold(items: list[list]) -> list[list]:
 
 def align(left: list[list], right: list[list]) -> list[list]:
     """One sequence for both: common items merged in order, others optional."""
+    if _is_narrow(left) or _is_narrow(right):
+        return _by_name([*left, *right])
     a, b = [_key(i) for i in left], [_key(i) for i in right]
     if a == b:
         return [_merge(x, y) for x, y in zip(left, right)]
@@ -195,18 +200,37 @@ def align(left: list[list], right: list[list]) -> list[list]:
     return _narrowed(_fold(out))
 
 
-def _narrowed(items: list[list]) -> list[list]:
-    """A level with more than ``WIDEST`` items, as random class names make, is reduced to one repeated item for each name."""
-    if len(items) <= WIDEST:
-        return items
-    out: dict[str, list] = {}
+def _flat(items: list[list]) -> Iterator[list]:
+    """The items with those of repeated groups in place of the groups."""
     for item in items:
-        for sig, _, _, inner in item[3] if item[0] == "*" else [item]:
-            name = re.split(r"[.@]", sig, maxsplit=1)[0]
-            out[name] = [name, True, True, align(out[name][3], inner) if name in out else inner]
+        if item[0] == "*":
+            yield from _flat(item[3])
+        else:
+            yield item
+
+
+def _named(sig: str) -> str:
+    return sig if sig == "#" else re.split(r"[.@]", sig, maxsplit=1)[0] + BY_NAME
+
+
+def _is_narrow(items: list[list]) -> bool:
+    return any(item[0].endswith(BY_NAME) for item in items)
+
+
+def _by_name(items: list[list]) -> list[list]:
+    """One repeated item for each name."""
+    out: dict[str, list] = {}
+    for sig, _, _, inner in _flat(items):
+        name = _named(sig)
+        out[name] = [name, True, True, align(out[name][3], inner) if name in out else inner]
     return list(out.values())
 
 
+def _narrowed(items: list[list]) -> list[list]:
+    """A level with more than ``WIDEST`` items, as random class names make, is reduced to names; what is aligned with it later, too."""
+    return _by_name(items) if len(items) > WIDEST else items
+
+
 def skeleton(node: Node) -> list[list]:
     """Items of an element: blocks with their items, and one slot for each stretch of text and inline marks."""
     items: list[list] = []
@@ -254,14 +278,25 @@ def masses(root: Node) -> list[tuple[str, int, int, int]]:
     return [(path, *entry) for path, entry in out.items()]
 
 
-def paths(items: list[list], above: str = "") -> Iterator[str]:
-    """Paths of all elements of a wrapper."""
-    for sig, _, _, inner in items:
-        if sig == "*":
-            yield from paths(inner, above)
-        elif sig != "#":
-            yield f"{above}/{sig}"
-            yield from paths(inner, f"{above}/{sig}")
+def levels(items: list[list], above: str = "") -> Iterator[tuple[str, bool]]:
+    """Paths of a wrapper and of all its elements, and whether the elements one level below each are told apart by name only."""
+    flat = list(_flat(items))
+    narrow = _is_narrow(flat)
+    yield above, narrow
+    inner: dict[str, list] = {}
+    for sig, _, _, below in flat:
+        if sig != "#":
+            inner.setdefault(_named(sig) if narrow else sig, []).extend(below)
+    for sig, below in inner.items():
+        yield from levels(below, f"{above}/{sig}")
+
+
+def narrow_path(path: str, narrow: set[str]) -> str:
+    """The wrapper's path for one of a page; ``narrow`` holds the paths below which elements are told apart by name only."""
+    out = ""
+    for sig in path.split("/")[1:]:
+        out += "/" + (_named(sig) if out in narrow else sig)
+    return out
 
 
 def _name(path: str) -> str:
@@ -275,17 +310,27 @@ def region(wrapper: str, text: list[tuple[str, int, int, bool]]) -> str:
     articles come first; else it is the innermost element that holds nine tenths of the plain text, where text that never
     differs counts little.
     """
-    mass = {path: max(0, chars - 2 * links) * (1.0 if varies else 0.1) for path, chars, links, varies in text}
+    shape = list(levels(json.loads(wrapper)))
+    narrow = {path for path, by_name in shape if by_name}
+    sums: dict[str, float] = {}
+    for path, chars, links, varies in text:
+        mass = max(0, chars - 2 * links) * (1.0 if varies else 0.1)
+        at = narrow_path(path, narrow)
+        while True:
+            sums[at] = sums.get(at, 0.0) + mass
+            if not at:
+                break
+            at = at[:at.rindex("/")]
 
     def below(path: str) -> float:
-        return sum(v for p, v in mass.items() if p == path or p.startswith(path + "/"))
+        return sums.get(path, 0.0)
 
-    known = [p for p in dict.fromkeys(paths(json.loads(wrapper))) if below(p) > 0]
+    known = [p for p, _ in shape if p and below(p) > 0]
     for test in (lambda p: p.endswith("@articleBody"), lambda p: _name(p) == "article", lambda p: _name(p) == "main" or p.endswith("@main")):
         fit = [p for p in known if test(p)]
         if fit:
             return max(fit, key=lambda p: (below(p), -len(p)))
-    total = sum(mass.values())
+    total = below("")
     rest = [p for p in known if below(p) >= 0.9 * total]
     holders = [p for p in rest if _name(p) not in HEADINGS | {"p", "li", "td", "pre", "blockquote"}]
     return max(holders or [""], key=lambda p: p.count("/"))
@@ -303,7 +348,7 @@ def read_out(root: Node, path: str) -> str:
             if not isinstance(child, str):
                 if child.tag in INLINE:
                     seek(child, left)
-                elif child.sig == left[0]:
+                elif left[0] in (child.sig, child.tag + BY_NAME):
                     seek(child, left[1:])
 
     seek(root, path.split("/")[1:] if path else [])

@@ -103,6 +103,26 @@ def test_wrappers_of_random_classes_stay_small():
     assert len(wrapper[0][3]) <= html.WIDEST
 
 
+@pytest.mark.parametrize("count", (40, 300, 700))
+@pytest.mark.parametrize("label", ("class='post category-{x}'", "id='{x}'"))
+def test_main_text_beside_a_block_where_each_article_has_its_own_class(spark, count, label):
+    def page(i):
+        x = "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+        return (f"<html><body><div class=block>Unlabelled words of page {i} that are no article and run on and on, as blocks do</div>"
+                f"<article {label.format(x=x)}><h1>Title {i}</h1><div class='w-1/2'><p>Text {i} of it.</p></div></article></body></html>")
+
+    pages = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(count)], "page_id long, url string, html string")
+    assert {r.text for r in html.main_text(pages).collect()} == {f"Title {i}\nText {i} of it." for i in range(count)}
+
+
+def test_wrappers_keep_a_narrow_level_narrow():
+    one, other = ([html.json.dumps(html.skeleton(html.parse(f"<body><p class={c}{chr(97 + i % 26)}{chr(97 + i // 26)}><b>t</b></p></body>"))) for i in range(n)]
+                  for c, n in (("x", 300), ("y", 150)))
+    wide, thin = html.infer(one), html.infer(other)
+    for wrapper in (html.infer([wide, thin]), html.infer([thin, wide]), html.infer(one + other)):
+        assert [p for p, _ in html.levels(html.json.loads(wrapper))] == ["", "/body", "/body/p.*"]
+
+
 # ---- op7
 
 
