@@ -60,19 +60,22 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its name, its signature (name, class and role), whether it is boilerplate by itself, its children."""
+    """An element: its name, its signature (name, class and role), whether it is boilerplate by itself, its children.
 
-    __slots__ = ("tag", "sig", "drop", "children")
+    ``word`` says that a word of its class or id names boilerplate, which ``_settle`` weighs against what the element holds.
+    """
+
+    __slots__ = ("tag", "sig", "drop", "word", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.sig, self.children = tag, tag, []
-        self.drop = tag in BOILERPLATE
+        self.drop, self.word = tag in BOILERPLATE, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             named = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in NAMED}
             label = " ".join(named.get(k, "") for k in ("class", "id"))
             words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()))
-            self.drop |= bool(words & BOILERPLATE_WORDS) or named.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in named \
-                or named.get("aria-hidden") == "true"
+            self.word = bool(words & BOILERPLATE_WORDS)
+            self.drop |= named.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in named or named.get("aria-hidden") == "true"
             mark = re.sub(r"\d+", "0", named.get("class") or named.get("id") or "")
             role = named.get("role") or named.get("itemprop") or ""
             # a slash parts the steps of a path
@@ -85,7 +88,7 @@ def parse(text: str) -> Node:
     Below ``DEPTH`` levels elements have no node; their content belongs to the last one that has.
     """
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, words = [root], 0, False
     size = len(text)
     passed: dict[str, int] = {}  # elements below the deepest level, open but without a node of their own
 
@@ -131,18 +134,66 @@ def parse(text: str) -> Node:
                 elif tag in scope.split() or tag not in INLINE and name in CLOSES_P:
                     break
         node = Node(name, m[3])
-        if len(stack) > DEPTH and name not in RAW and name not in VOID and (not node.drop or len(stack) > 2 * DEPTH):
+        if len(stack) > DEPTH and name not in RAW and name not in VOID and (not (node.drop or node.word) or len(stack) > 2 * DEPTH):
             passed[name] = passed.get(name, 0) + 1
             continue
         stack[-1].children.append(node)
+        words |= node.word
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(text, at)
             at = end.end() if end else size
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    if words:
+        _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Drop the elements that a word of their class or id names as boilerplate, unless they hold the page's own text.
+
+    Words like ``has-sidebar`` also stand at what is around the article. So these stay: html, body, main and any article outside
+    another one; what holds html, body or main; what holds the longest article, as its only one or with most of the page's
+    plain text; and, where no other main or article has text, what holds most of the plain text.
+    """
+    named: list[tuple[Node, int, tuple[Node, ...]]] = []  # with plain text and the elements around
+    marks: list[tuple[Node, int, tuple[Node, ...]]] = []  # main and outer articles
+    stay: set[Node] = set()
+
+    def weigh(node: Node, around: tuple[Node, ...], link: bool) -> int:
+        total = 0
+        for child in node.children:
+            if isinstance(child, str):
+                total += 0 if link else len(child.strip())
+            elif not child.drop:
+                n = weigh(child, (*around, child), link or child.tag == "a")
+                total += n
+                if child.word:
+                    named.append((child, n, around))
+                if child.tag in ("html", "body", "main"):
+                    stay.update((*around, child))
+                if child.tag == "article" and all(a.tag != "article" for a in around):
+                    stay.add(child)
+                    marks.append((child, n, around))
+                elif child.tag == "main":
+                    marks.append((child, n, around))
+        return total
+
+    total = weigh(root, (), False)
+    articles = [m for m in marks if m[0].tag == "article"]
+    longest = max(articles, key=lambda m: m[1], default=None)
+    for node, n, around in named:
+        if longest and node in longest[2]:
+            # articles in a named element further in are its own
+            alone = sum(node in a and not any(x.word and x not in stay for x in a[a.index(node) + 1:]) for _, _, a in articles) <= 1
+            if alone or 2 * n > total:
+                stay.add(node)
+        if 2 * n > total and not any(size and node not in a and mark is not node and mark not in around for mark, size, a in marks):
+            stay.add(node)
+    for node, _, _ in named:
+        node.drop = node not in stay
+
+
 # ---- skeletons and wrappers: [signature, repeated, optional, items]; the signature "#" is a text slot, "*" a repeated group
 
 

@@ -115,6 +115,28 @@ def test_main_text_beside_a_block_where_each_article_has_its_own_class(spark, co
     assert {r.text for r in html.main_text(pages).collect()} == {f"Title {i}\nText {i} of it." for i in range(count)}
 
 
+def test_main_text_in_elements_named_like_boilerplate(spark):
+    story = "<h1>Title {i}</h1><p>Text {i} of the page, which is all of it and long enough.</p>"
+    around = "<div class=menu>Home</div>{}<div class=sidebar>Other words {{i}}</div><div id=comments>Reader {{i}} says so</div>"
+    article, cards = f"<article>{story}</article>", "<article class=card><h2>Card</h2></article>" * 3
+    templates = [
+        "<html><body class='single has-sidebar comments-open'>" + around.format(article),
+        "<html class='no-comments'><body id='no-comments'>" + around.format(f"<main class=with-sidebar>{story}</main>"),
+        "<body>" + around.format(f"<div class='content-sidebar-wrap'>{article}<div class=sidebar>More</div></div>"),
+        "<body>" + around.format(f"<div class='content-sidebar-wrap'><main>{story}</main></div>") + f"<div class=related>{cards}</div>",
+        "<body>" + around.format(f"<div class='content-sidebar-wrap'><div class=entry>{story}</div></div>"),
+        "<body>" + around.format(f"<article class='post category-social'>{story}</article>") + f"<div class=related>{cards}</div>",
+        "<body>" + around.format(f"<div class=no-sidebar>{article}<div class=related>{cards}</div></div>"),
+        # an article's comments stay out, also where they are longer, and articles themselves
+        "<body>" + around.format(article) + "<div class=comments>" + "<article class=comment>A reader's view {i}, longer than it should be</article>" * 5 + "</div>",
+        "<body>" + around.format(f"<article>{story}<section class=comments><article class=comment>I agree {{i}}</article></section></article>"),
+        "<body>" + around.format(article) + "<div class=comments>" + "Nobody asked for that much {i} " * 30 + "</div>",
+    ]
+    rows = [(t * 100 + i, f"http://h{t}.example/x", template.replace("{i}", f"{i}")) for t, template in enumerate(templates) for i in range(6)]
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: f"Title {k % 100}\nText {k % 100} of the page, which is all of it and long enough." for k, *_ in rows}
+
+
 def test_wrappers_keep_a_narrow_level_narrow():
     one, other = ([html.json.dumps(html.skeleton(html.parse(f"<body><p class={c}{chr(97 + i % 26)}{chr(97 + i // 26)}><b>t</b></p></body>"))) for i in range(n)]
                   for c, n in (("x", 300), ("y", 150)))
