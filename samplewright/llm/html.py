@@ -453,11 +453,38 @@ def _pages(pages: DataFrame) -> DataFrame:
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host().alias("host"))
 
 
+def path_sums(outlined: DataFrame, merged: DataFrame) -> DataFrame:
+    """``host, path, chars, links, varies``: text of all pages summed up by the paths of their host's wrapper.
+
+    Pages' paths are the wrapper's but below narrowed levels, where each page can have paths of its own.
+    """
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[p for p, by_name in levels(json.loads(w)) if by_name] for w in batch.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, type=pa.list_(pa.string()))], names=["host", "narrow"])
+
+    text = outlined.select("host", F.explode("text").alias("t")).select(
+        "host", "t.path", "t.chars", "t.links", F.col("t.hash").alias("lo"), F.col("t.hash").alias("hi"))
+    text = summed(text)
+    narrow = written(merged.select("host", "wrapper").mapInArrow(find, "host string, narrow array<string>").where(F.size("narrow") > 0), "narrow")
+    size = narrow.agg(F.sum(F.octet_length("host") + F.octet_length(F.concat_ws(" ", "narrow")) + 32)).first()[0] or 0
+    if size:
+        # as in narrow_path
+        step = F.aggregate(F.slice(F.split("path", "/"), 2, 1 << 20), F.lit(""), lambda out, sig: F.concat(
+            out, F.lit("/"), F.when(F.array_contains("narrow", out), F.concat(F.regexp_extract(sig, "^[^.@]*", 0), F.lit(BY_NAME))).otherwise(sig)))
+        text = text.join(F.broadcast(narrow) if size <= BROADCAST_BYTES else narrow, "host", "left")
+        text = summed(text.withColumn("path", F.when(F.col("narrow").isNull(), F.col("path")).otherwise(step)))
+    return text.select("host", "path", "chars", "links", (F.col("lo") != F.col("hi")).alias("varies"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper, region`` of every host.
 
     Only distinct skeletons are gathered, at most about ``GROUP`` in one task: a host with more is aligned in rounds. Text is
-    summed up by path before it is shuffled.
+    summed up by the wrapper's paths, so what is gathered of a host's text is no longer than its wrapper.
     """
     bounded_batches(pages.sparkSession)
 
@@ -487,10 +514,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if salts <= 1:
             break
 
-    text = outlined.select("host", F.explode("text").alias("t")).groupBy("host", "t.path").agg(
-        F.sum("t.chars").alias("chars"), F.sum("t.links").alias("links"), (F.min("t.hash") != F.max("t.hash")).alias("varies"))
-    # paths differ by structure only, so a host's list is as long as its wrapper
-    by_host = text.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "chars", "links", "varies"))).alias("text"))
+    now = written(now, "merged")
+    by_host = path_sums(outlined, now).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "chars", "links", "varies"))).alias("text"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -137,6 +137,28 @@ def test_main_text_in_elements_named_like_boilerplate(spark):
     assert found == {k: f"Title {k % 100}\nText {k % 100} of the page, which is all of it and long enough." for k, *_ in rows}
 
 
+def test_text_is_gathered_by_the_wrappers_paths(spark, monkeypatch):
+    lengths = spark.sparkContext.accumulator(0)
+    plain, written = html.region, html.written
+    monkeypatch.setattr(html, "region", lambda w, text: (lengths.add(len(text)), plain(w, text))[1])
+    kept = {}
+    monkeypatch.setattr(html, "written", lambda df, name: kept.setdefault(name, written(df, name)) if name in ("outlines", "merged") else written(df, name))
+    rows = []
+    for i in range(1500):
+        x = "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+        rows.append((i, f"http://{'one' if i % 3 else 'two'}.example/x", f"<body><div id={x}><section class=s{x}><p>Text {i}</p></section><i>{i}</i></div><p id=end>Same</p></body>"))
+    pages = spark.createDataFrame([*rows, (-1, "http://small.example", "<body><div id=a><p>Text</p></div></body>")], "page_id long, url string, html string")
+    assert {r.host: r.region for r in html.wrappers(pages).collect()}["small.example"] == "/body/div.a"
+    assert lengths.value <= 2 * 4 + 1
+    sums = {(r.host, r.path): (r.chars, r.varies) for r in html.path_sums(kept["outlines"], kept["merged"]).collect()}
+    assert set(sums) == {(f"{h}.example", f"/body/{p}") for h in ("one", "two") for p in ("div.*", "div.*/section.*/p", "p.*")} | {("small.example", "/body/div.a/p")}
+    assert sums["one.example", "/body/div.*/section.*/p"] == (sum(len(f"Text {i}") for i in range(1500) if i % 3), True)
+    assert sums["two.example", "/body/p.*"] == (500 * 4, False)
+    for path in ("", "/body", "/body/div.a.b/section@x/p.c"):
+        for narrow in ({""}, {"/body"}, {"/body", "/body/div.*"}):
+            assert html.narrow_path(html.narrow_path(path, narrow), narrow) == html.narrow_path(path, narrow)
+
+
 def test_wrappers_keep_a_narrow_level_narrow():
     one, other = ([html.json.dumps(html.skeleton(html.parse(f"<body><p class={c}{chr(97 + i % 26)}{chr(97 + i // 26)}><b>t</b></p></body>"))) for i in range(n)]
                   for c, n in (("x", 300), ("y", 150)))
