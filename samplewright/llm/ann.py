@@ -44,10 +44,16 @@ class Index:
         gap = (self.centroids ** 2).sum(axis=1) - 2 * vectors @ self.centroids.T
         return gap.argmin(axis=1).astype(np.int32)
 
-    def probed(self, queries: np.ndarray) -> np.ndarray:
-        """The lists each query looks at: those whose centroids have the largest products with it."""
+    def probed(self, queries: np.ndarray, held: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of the lists each query looks at: those whose centroids have the largest products with it.
+
+        A query goes on until its lists hold the vectors it needs; ``held`` has the vectors of each list.
+        """
         product = queries @ self.centroids.T
-        return np.argsort(-product, axis=1, kind="stable")[:, :self.probes].astype(np.int32)
+        order = np.argsort(-product, axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        row, place = np.nonzero((np.arange(len(held)) < self.probes) | (before < need[:, None]))
+        return row, order[row, place].astype(np.int32)
 
 
 def fit(sample: np.ndarray, lists: int, k: int = 20, seed: int = 11, rounds: int = 12) -> Index:
@@ -172,7 +178,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE
     """``query_id, rank, vec_id, score``: the ``k`` vectors found with the largest inner products for each query.
 
     ``is_query`` is a condition on the rows of ``vectors`` (``vec_id, embedding``). A row is no neighbour of a query with its
-    id; equal products go to the smaller id; a query with fewer than ``k`` candidates gets all that its lists hold. Rows that
+    id; equal products go to the smaller id; a query with fewer than ``k`` candidates gets all of them. Rows that
     repeat an id are candidates each; repeated queries are asked once, queries with one id and different vectors each.
     A table without usable vectors gives no rows.
     """
@@ -194,21 +200,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE
                 data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.lists(data))], names=["vec_id", "embedding", "list"])
 
+    listed = rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int")
+    # blocks of each list: at most MOST_LISTS rows of counts
+    counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
+    blocks = {name: max(1, ceil(n / block)) for name, n in counts.items()}
+    count = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
+    held = np.array([counts.get(name, 0) for name in range(len(index.centroids))], dtype=np.int64)
+
     def probe(batches):
         for batch in batches:
             if batch.num_rows:
                 data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                lists = shared.value.probed(data)
-                line = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(line) for c in batch.columns), pa.array(lists.ravel())], names=["vec_id", "embedding", "list"])
+                # rows with the query's own id are no neighbours
+                line, lists = shared.value.probed(data, held, k + batch.column("own").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(line)) for c in ("vec_id", "embedding")), pa.array(lists)],
+                                                 names=["vec_id", "embedding", "list"])
 
-    listed = rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int")
-    # blocks of each list: at most MOST_LISTS rows of counts
-    blocks = {r["list"]: max(1, ceil(r["count"] / block)) for r in listed.groupBy("list").count().collect()}
-    count = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
     strips = max(1, ceil(number / queries_block))
     data = listed.withColumn("block", F.pmod(F.xxhash64("vec_id"), count[F.col("list")]).cast("int")).withColumn(
         "strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    asked = asked.join(repeated, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
     lookups = asked.mapInArrow(probe, "vec_id long, embedding array<double>, list int").where(F.col("list").isin(list(blocks))).withColumn(
         "strip", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(strips)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), count[F.col("list")] - 1)))

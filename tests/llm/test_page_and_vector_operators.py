@@ -242,6 +242,28 @@ def test_nearest_ties_and_odd_rows(spark):
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_goes_on_until_there_are_enough(spark, monkeypatch):
+    plain = ann.fit
+
+    def one_probe(*args):
+        index = plain(*args)
+        index.probes = 1
+        return index
+
+    monkeypatch.setattr(ann, "fit", one_probe)
+    rng = np.random.default_rng(8)
+    # small groups far apart, one list or two each, none of which has k others
+    rows = [(i, [float(x) for x in rng.standard_normal(8) + 40 * np.eye(8)[i % 8]]) for i in range(1024)]
+    rows += [(0, [float(x) for x in rng.standard_normal(8) + 40 * np.eye(8)[0]])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, each in ((20, 20), (300, 300), (2000, None)):
+        got: dict = {}
+        for r in ann.nearest(vectors, F.col("vec_id") % 100 == 0, k=k).collect():
+            got[r.query_id] = got.get(r.query_id, 0) + 1
+        # id 0 is asked with two vectors
+        assert got == {i * 100: 2 * (each or 1023) if i == 0 else each or 1024 for i in range(11)}
+
+
 def test_scan_abandons_and_keeps_near_all():
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((5000, 64))
