@@ -199,17 +199,16 @@ def _across_blocks(inner: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: for each document of a large bucket and each other component of the bucket, the likeliest link between them.
 
     A bucket is cut into blocks of about ``BLOCK`` documents and each pair of blocks is one group. Overlaps are counted on
-    the upper halves of the shingle hashes, which can only raise them; ``confirmed`` then looks at the full sets.
+    the whole shingle hashes, as ``confirmed`` counts them, so a link that is found here is one there.
     """
-    halves = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("half"))
     blocks = F.ceil(F.col("inside") / BLOCK).cast("int")
     dealt = inner.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(halves, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "c", "half")
+    dealt = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "c", "shingles")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.array([len(h) for h in group["half"]])
-        flat = np.concatenate(group["half"].to_list()).astype(np.int32)
+        sizes = np.array([len(h) for h in group["shingles"]])
+        flat = np.concatenate(group["shingles"].to_list()).astype(np.int64)
         row = np.repeat(np.arange(len(group)), sizes)
         ids, block = group["id"].to_numpy(), group["block"].to_numpy()
         names, c = np.unique(group["c"].to_numpy(), return_inverse=True)

@@ -424,6 +424,15 @@ def test_near_duplicates_of_near_copies(spark, monkeypatch):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_links_across_blocks_are_counted_on_whole_hashes(spark):
+    high = 1 << 32
+    # two shingles of one set with equal upper halves, and a set that has only upper halves in common with another
+    sets = [(1, [high + 1, high + 2, 3 * high]), (2, [high + 1, high + 2, 3 * high, 4 * high]), (3, [high + 7, 3 * high + 7, 5 * high])]
+    inner = spark.createDataFrame([(9, i, i if i != 3 else 2, 3) for i in (1, 2, 3)], "key long, id long, c long, inside long")
+    found = near_dup._across_blocks(inner, spark.createDataFrame(sets, "id long, shingles array<long>"))
+    assert {(r.a, r.b) for r in found.collect()} == {(2, 1)}
+
+
 def test_near_duplicates_of_small_sets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))) for i in range(300)]
