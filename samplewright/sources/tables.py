@@ -31,10 +31,11 @@ def with_sample_idx(table: DataFrame, out: str = "sample_idx") -> DataFrame:
 def write_order(path: str) -> list[Column]:
     """Sort keys of written files: directory, part number, file counter of the task, then the path itself.
 
-    Writers pad numbers to a fixed width and go on past it, so paths as text are not in write order.
+    Writers pad numbers to a fixed width and go on past it, so paths as text are not in write order. The counter stands
+    right before the extension; the hexadecimal groups of the writer's identifier may look like one.
     """
     directory = F.regexp_replace(path, "[^/]*$", "")
-    numbers = [F.regexp_extract(path, pattern, 1).try_cast("bigint") for pattern in (r"/part-(\d+)[^/]*$", r"-c(\d+)[^/]*$")]
+    numbers = [F.regexp_extract(path, pattern, 1).try_cast("bigint") for pattern in (r"/part-(\d+)[^/]*$", r"-c(\d+)\.[^/]*$")]
     return [directory, *[F.coalesce(n, F.lit(-1)) for n in numbers], F.col(path)]
 
 

@@ -13,6 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from samplewright.session import scratch_path
 
 
+# Assemblers of a stream unless it names their number.
+LANES = 64
+
+
 def read_sample_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None,
                        glob: str | None = None) -> DataFrame:
     """Samples as their Parquet files arrive."""
@@ -24,12 +28,12 @@ def read_sample_stream(spark: SparkSession, path: str, schema: T.StructType, fil
     return reader.parquet(path)
 
 
-def with_lane(df: DataFrame, key: str, lanes: int | None = None) -> DataFrame:
+def with_lane(df: DataFrame, key: str, lanes: int = LANES) -> DataFrame:
     """Spread samples evenly over ``lanes`` assemblers, whatever their key distribution.
 
-    A lane is one state group; by default there are as many as the session has shuffle partitions.
+    A lane is one state group. Their number belongs to the stream, not to the session: a restart must find every key's
+    state in the lane it was left in, so it takes the same number.
     """
-    lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digest = F.md5(F.col(key).cast("string").cast("binary"))
     return df.withColumn("lane", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % lanes).cast("int"))
 

@@ -31,6 +31,12 @@ def test_write_order_reads_numbers(spark):
     assert rows == ["c/part-00009-u.x", "d/plain.x", "d/part-00001-u-c999.x", "d/part-00001-u-c1000.x", "d/part-99999-u-c000.x", "d/part-100000-u-c000.x"]
 
 
+def test_write_order_is_not_read_from_an_identifier(spark):
+    name = "d/part-00000-9d1f2a3b-c1f0-4c22-8a00-c12aa0b1c2d3-c{:03d}.snappy.parquet"
+    rows = spark.createDataFrame([(name.format(i), i) for i in range(1100)], "p string, i int").orderBy(*write_order("p")).collect()
+    assert [r.i for r in rows] == list(range(1100))
+
+
 def test_null_keys_repeat(spark):
     one = spark.createDataFrame([(1,), (None,)], "k long")
     assert sorted(r.pos for r in hashed_position(one, "k").collect()) == [0, 1]

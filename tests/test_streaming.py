@@ -11,7 +11,7 @@ def arrivals(spark, path, n=1000, files=3):
 
 
 def test_one_lane(spark, tmp_path):
-    stream = streams.with_lane(arrivals(spark, str(tmp_path / "in")), "k")
+    stream = streams.with_lane(arrivals(spark, str(tmp_path / "in")), "k", 1)
     rows = streams.run_to_files(streams.stream_batches(stream, "k", 64)).collect()
     sizes = {}
     for r in rows:
@@ -31,7 +31,7 @@ def test_lanes_keep_their_own_remainder(spark, tmp_path):
 
 def test_restart_continues_from_the_state(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    stream = streams.with_lane(arrivals(spark, path, 100, 1), "k")
+    stream = streams.with_lane(arrivals(spark, path, 100, 1), "k", 1)
     first = streams.run_to_files(streams.stream_batches(stream, "k", 64), out).count()
     spark.range(100, 128).select(F.col("id").alias("k"), F.lit(0).cast("bigint").alias("worker_id"), F.lit(0.5).alias("busy_s")).write.mode("append").parquet(path)
     rows = streams.run_to_files(streams.stream_batches(stream, "k", 64), out).collect()
