@@ -23,8 +23,21 @@ from pyspark.sql import functions as F
 
 from samplewright.llm.common import bounded_batches, slabs, text_of
 
+# Letters and numbers of later Unicode versions than the vocabulary's pre-tokenizer knows. To it they are
+# neither, whatever version the regular expressions of an executor have.
+NEWER_LETTERS = (
+    "\u0558 \u058B-\u058C \u088F \u0C5C \u0CDC \u208F \u209D-\u209F \uA7CE-\uA7CF \uA7D2 \uA7D4 \uA7DD \uA7E2 \uA7F1 \uAB6C-\uAB6D "
+    "\U000107BB-\U000107BF \U00010940-\U00010959 \U00010EC5-\U00010EC7 \U00010ED9-\U00010EEE \U00011B0A \U00011DB0-\U00011DDB "
+    "\U00011DF1 \U00016EA0-\U00016EB8 \U00016EBB-\U00016ED3 \U00016FF2-\U00016FF3 \U000187F8-\U000187FF \U00018CD6-\U00018CDA "
+    "\U00018D09-\U00018D20 \U00018D80-\U00018DF2 \U00018E00-\U00019191 \U000191A0-\U000191D2 \U0001B123-\U0001B128 \U0001B168 "
+    "\U0001D6A6 \U0001DF1F-\U0001DF24 \U0001DF2B-\U0001DF81 \U0001DF90-\U0001DF96 \U0001DFCD-\U0001DFFF \U0001E6C0-\U0001E6DE "
+    "\U0001E6E0-\U0001E6E2 \U0001E6E4-\U0001E6E5 \U0001E6E7-\U0001E6ED \U0001E6F0-\U0001E6F4 \U0001E6FE-\U0001E6FF \U0002B73A-\U0002B73F "
+    "\U0002B81E \U0002CEA2-\U0002CEAD \U000323B0-\U00033479 \U0003D000-\U0003FC3F"
+)
+NEWER_NUMBERS = "\U00011DE0-\U00011DE9 \U0001246F \U00012475-\U0001247F \U00012550-\U00012686 \U00016FF4-\U00016FF6"
+LETTER, NUMBER = (r"[\p{%s}--[%s]]" % (name, newer.replace(" ", "")) for name, newer in (("L", NEWER_LETTERS), ("N", NEWER_NUMBERS)))
 # The pattern that cuts a text into words (fixed value of the vocabulary's pre-tokenizer).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = rf"""(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"""
 
 # White space that is neither a space nor a line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")

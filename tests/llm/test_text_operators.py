@@ -146,6 +146,16 @@ def test_bpe_is_the_library(spark):
     assert mine.decode(np.array([mine.byte_id[0xC3]])) == "�"
 
 
+def test_bpe_letters_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    tokens, library = bpe.Vocabulary(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for first in range(0, len(points), 20_000):
+        text = " ".join(f"{chr(c)}'s{chr(c)}1" for c in points[first:first + 20_000])
+        assert tokens.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_rows(spark):
     rows = bpe.encode(odd_docs(spark), tokenizer_path(), with_ids=True).collect()
     assert len(rows) == len(ODD) + 3
