@@ -41,8 +41,12 @@ PATTERN = rf"""(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?[^\s{LETTE
 
 # White space that is neither a space nor a line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
-# Bytes of words whose ids a task keeps; beyond it the memory starts anew. Results do not depend on it.
-CACHE_BYTES = 160 << 20
+# Bytes of words and their ids that a task keeps; beyond it the memory starts anew. Results do not depend on it.
+CACHE_BYTES = 32 << 20
+# A kept word takes this besides its letters and ids: a string, a number and their place in a table that may just have doubled.
+WORD_BYTES = 260
+# Ids that are turned into bytes at a time.
+DECODED_IDS = 1 << 16
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -58,6 +62,15 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def enlarged(array: np.ndarray, length: int) -> np.ndarray:
+    """The array with room for ``length`` values, its own first."""
+    if length <= len(array):
+        return array
+    out = np.zeros(max(length, 2 * len(array)), dtype=array.dtype)
+    out[:len(array)] = array
+    return out
+
+
 def gathered(store: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``begin, size`` of the store with the given numbers side by side, and their sizes."""
     size = size[number]
@@ -103,18 +116,20 @@ class Vocabulary:
         """Start the memory of words anew: a word's number, and where its ids lie in one flat array."""
         self.known: dict[str, int] = {}
         self.known_bytes = 0
-        self.store = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin, self.size, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
     def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        first, last = len(self.known), len(self.known) + len(words)
+        self.store = enlarged(self.store, self.used + len(ids))
+        self.begin, self.size = enlarged(self.begin, last), enlarged(self.size, last)
         self.store[self.used:self.used + len(ids)] = ids
-        self.known.update(zip(words, range(len(self.begin), len(self.begin) + len(words))))
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        self.begin[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:last] = sizes
+        self.known.update(zip(words, range(first, last)))
         self.used += len(ids)
-        self.known_bytes += sum(map(len, words)) + 4 * len(ids) + 160 * len(words)
+        # letters beyond Latin-1 take up to four bytes each; the arrays may just have doubled
+        self.known_bytes += sum(len(w) if w.isascii() else 4 * len(w) for w in words) + 8 * len(ids) + WORD_BYTES * len(words)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NO_RANK`` where unknown) and index of each pair, by binary search."""
@@ -199,8 +214,8 @@ class Vocabulary:
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(words) for words in cut])]
         self.remember(keys, ids, np.diff(ends, prepend=0))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit integers."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts as unsigned 32-bit integers side by side, and the ``n + 1`` offsets of the texts in them."""
         if self.known_bytes > CACHE_BYTES:
             self.forget()
         cut = [self.units(t) for t in texts]
@@ -211,12 +226,17 @@ class Vocabulary:
         number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
         ids, size = gathered(self.store, self.begin, self.size, number)
         last = np.cumsum([len(c) for c in cut], dtype=np.int64)
-        return np.split(ids, np.concatenate([[0], np.cumsum(size)])[last[:-1]]) if texts else []
+        return ids, np.concatenate([[0], np.concatenate([[0], np.cumsum(size)])[last]]).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        ids, offsets = self.encode_flat(texts)
+        return np.split(ids, offsets[1:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
-        ids = ids.astype(np.int64)
-        return gathered(self.bytes, self.start, self.length, ids)[0].tobytes().decode("utf-8", errors="replace")
+        parts = (ids[first:first + DECODED_IDS].astype(np.int64) for first in range(0, len(ids), DECODED_IDS))
+        return b"".join(gathered(self.bytes, self.start, self.length, part)[0].tobytes() for part in parts).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -238,17 +258,20 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         tokens = vocabulary(path)
         for batch in batches:
             for slab in slabs(batch):
-                ids = tokens.encode(slab.column("text").to_pylist())
+                flat, offsets = tokens.encode_flat(slab.column("text").to_pylist())
+                flat = flat.astype("<u4", copy=False)
+                ids = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 columns = [
-                    slab.column("doc_id"), pa.array([len(i) for i in ids], type=pa.int64()),
-                    pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], type=pa.string()),
+                    slab.column("doc_id"), pa.array(np.diff(offsets)),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], type=pa.string()),
                     pa.array([hashlib.sha256(tokens.decode(i).encode()).hexdigest() for i in ids], type=pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([i.astype(np.int32) for i in ids], type=pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, schema)

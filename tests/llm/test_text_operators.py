@@ -8,6 +8,7 @@ import json
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -156,6 +157,18 @@ def test_bpe_letters_of_every_code_point():
         assert tokens.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_memory_is_counted():
+    tokens = bpe.Vocabulary(tokenizer_path())
+    words = [f"w{i:07d}{i * 7919 % 1000003}" for i in range(60_000)]
+    tracemalloc.start()
+    for first in range(0, len(words), 5000):
+        tokens.learn([" " + w for w in words[first:first + 5000]])
+    del words
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.5 * held < tokens.known_bytes and held < 1.1 * tokens.known_bytes
+
+
 def test_bpe_rows(spark):
     rows = bpe.encode(odd_docs(spark), tokenizer_path(), with_ids=True).collect()
     assert len(rows) == len(ODD) + 3
