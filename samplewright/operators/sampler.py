@@ -26,7 +26,7 @@ def _count(n: int | str | Column) -> Column:
 
 def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = DEFAULT_SEED, enabled: bool = True,
             bucket_hex: int | None = None, partitions: int | None = None, align: int = 1,
-            keep_part: bool = False) -> DataFrame:
+            keep_part: bool = False, part_bytes: int | None = None) -> DataFrame:
     """Add ``pos`` (a seeded permutation of 0..N-1) and ``n_total``.
 
     ``enabled=False`` keeps the natural order of ``key`` instead. The other options
@@ -34,7 +34,7 @@ def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = DEFAULT_SEED, e
     """
     if enabled:
         return hashed_position(df, key, seed, total=TOTAL, bucket_hex=bucket_hex, partitions=partitions,
-                               align=align, keep_part=keep_part)
+                               align=align, keep_part=keep_part, part_bytes=part_bytes)
     keys = [key] if isinstance(key, str) else list(key)
     placed = ordered_position(df.select(*keys), keys, total=TOTAL)
     joined = df.join(placed, keys) if len(df.columns) > len(keys) else placed

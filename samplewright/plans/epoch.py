@@ -6,20 +6,26 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from samplewright.functions.fixed import DEFAULT_CHUNK, DEFAULT_SEED
 from samplewright.operators import collate as gather
 from samplewright.operators import sampler
 from samplewright.operators.images import batch_tensors
+from samplewright.session import row_bytes
 from samplewright.sinks.tables import write_batches
 
+# Bytes of the samples of one partition, about.
+PART_BYTES = 128 << 20
+
 
 @dataclass(frozen=True)
 class EpochPlan:
     """Settings of a loader; each method adds one step to the plan of ``samples``.
 
-    ``partitions`` sets the number of output files of an epoch written in order; each
-    holds whole batches.
+    Shuffled samples are laid out in partitions of about ``part_bytes`` of payload, at
+    least one for each core, that hold whole batches; these are also the files of an
+    epoch written in order. ``partitions`` sets their number instead.
     """
 
     key: str
@@ -32,9 +38,10 @@ class EpochPlan:
     interleave: bool = False
     bucket_hex: int | None = None
     partitions: int | None = None
+    part_bytes: int = PART_BYTES
 
     def __post_init__(self) -> None:
-        for name in ("batch_size", "n_workers", "chunk"):
+        for name in ("batch_size", "n_workers", "chunk", "part_bytes"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be > 0")
 
@@ -58,13 +65,15 @@ class EpochPlan:
             n_workers=self.n_workers, chunk=self.chunk,
         )
 
+    def _laid_out(self, samples: DataFrame, keep_part: bool = False) -> DataFrame:
+        return sampler.shuffle(samples, self.key, self.seed, True, self.bucket_hex, self.partitions, self.batch_size,
+                               keep_part=keep_part, part_bytes=self.part_bytes)
+
     def _grouped(self, samples: DataFrame) -> tuple[DataFrame, list[str]]:
         """Batched samples and, where whole batches share a partition, its column."""
         if not self.shuffle or self.interleave:
             return self.batches(samples), []
-        partitions = self.partitions or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = sampler.shuffle(samples, self.key, self.seed, True, self.bucket_hex, partitions, self.batch_size, keep_part=True)
-        return self._batched(placed), ["_part"]
+        return self._batched(self._laid_out(samples, keep_part=True)), ["_part"]
 
     def collated(self, samples: DataFrame, tensor: str | None, label: str, scale: bool = True,
                  parse_labels: bool = True) -> DataFrame:
@@ -95,7 +104,9 @@ class EpochPlan:
 
     def write(self, samples: DataFrame, path: str, mode: str = "error") -> None:
         """The epoch as files to be read one after another, batch by batch."""
-        in_order = self.shuffle and not self.interleave
-        partitions = self.partitions or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        plan = replace(self, partitions=partitions) if in_order else self
-        write_batches(plan.batches(samples), path, None if in_order else partitions, mode)
+        if self.shuffle and not self.interleave:
+            write_batches(self._batched(self._laid_out(samples)), path, mode=mode)
+        else:
+            size = samples.agg(F.coalesce(F.sum(row_bytes(samples)), F.lit(0))).first()[0]
+            least = samples.sparkSession.sparkContext.defaultParallelism
+            write_batches(self.batches(samples), path, self.partitions or max(least, -(-size // self.part_bytes)), mode)

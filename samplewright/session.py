@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A dimension table is broadcast only up to this many rows; past it the join
-# is left to Spark (sort-merge, with AQE splitting skewed partitions).
+# A dimension table is broadcast only up to this many rows and bytes; past them the
+# join is left to Spark (sort-merge, with AQE splitting skewed partitions).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "samplewright", master: str | None = None,
@@ -59,9 +61,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/samplewright/{uuid.uuid4().hex}/{name}"
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a count that stops past ``max_rows`` proves the table small."""
-    return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+# Bytes that a value of a type takes, for estimates.
+_WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, estimated from its type and its length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        inner = _WIDTHS.get(type(kind.elementType), 8)
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            size = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + value_bytes(x, kind.elementType))
+        else:
+            size = F.size(value) * inner
+    elif isinstance(kind, T.MapType):
+        size = value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum((value_bytes(value[field.name], field.dataType) for field in kind), F.lit(0))
+    else:
+        size = F.lit(_WIDTHS.get(type(kind), 8))
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, estimated from the types and lengths of its values."""
+    return sum((value_bytes(F.col(f"`{field.name}`"), field.dataType) for field in df.schema), F.lit(0).cast("bigint"))
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a count that stops past ``max_rows`` proves the table small, in rows and in bytes."""
+    first = df.select(row_bytes(df).alias("bytes")).limit(max_rows + 1)
+    rows, size = first.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,6 +111,13 @@ def settled(summary: DataFrame) -> DataFrame:
     return summary.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the checkpoint folder as Parquet and read back; columns stay prunable."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):
     """Null-safe equality on ``keys``, so that rows with NULL keys are kept."""
     condition = F.lit(True)

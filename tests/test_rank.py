@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from samplewright.operators import rank, series
@@ -70,12 +71,91 @@ def test_order_statistics_odd_values(spark):
     assert {r.g: r.percentile for r in rank.nearest_rank(df, ["g"], "v", 0.5).collect()}[2] == 0.0
 
 
-def test_value_bucket_never_falls(spark):
+def test_order_image_is_the_stored_bits(spark):
     rng = np.random.default_rng(0)
-    values = np.sort(np.concatenate([rng.normal(0, 1, 500), rng.lognormal(0, 20, 500), -rng.lognormal(0, 20, 500)]))
+    powers = 2.0 ** np.arange(-1074, 1024)
+    values = np.unique(np.concatenate([np.abs(rng.normal(0, 1, 500)), rng.lognormal(0, 20, 500), powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), [np.inf]]))
+    values = np.concatenate([-values[::-1], values[values > 0]])
     df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(values)), "v": values}))
-    buckets = [r.b for r in df.select("i", rank.value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert buckets == sorted(buckets)
+    image = np.array([r.b for r in df.select("i", rank.order_image(F.col("v")).alias("b")).orderBy("i").collect()])
+    bits = np.abs(values).view(np.int64)
+    assert (image == np.where(values < 0, -bits, bits)).all() and (np.diff(image) > 0).all()
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "v double").select(rank.order_image(F.col("v")).alias("b")).collect()
+    assert [r.b for r in zeros] == [0, 0]
+
+
+def test_selection_narrows_to_few_rows(spark, monkeypatch):
+    """300,000 values that share their first 14 bits: each task gets a bounded number of them."""
+    monkeypatch.setattr(rank, "RANKED_ROWS", 2000)
+    seen = []
+    with_prefix = rank._with_prefix
+    monkeypatch.setattr(rank, "_with_prefix", lambda *a: seen.append((with_prefix(*a), a[4])) or seen[-1][0])
+    df = spark.range(300_000).select(F.lit("hot").alias("g"), (F.lit(1.7e9) + F.col("id") * 7919 % 300_000 / 8).alias("v"))
+    found = rank.order_statistics(df, ["g"], "v", {"x": lambda n: F.bround((n - 1) * F.lit(0.95), 0), "y": lambda n: F.lit(3), "z": lambda n: n - 1}).collect()
+    assert [(r.x, r.y, r.z) for r in found] == [(1.7e9 + 284_999 / 8, 1.7e9 + 3 / 8, 1.7e9 + 299_999 / 8)]
+    assert len(seen) > 1
+    close = [rows for rows, columns in seen if columns]
+    assert max(r["count"] for r in close[0].groupBy("g", "_prefix").count().collect()) <= 2000
+
+
+def test_selection_of_equal_and_long_values(spark, monkeypatch):
+    monkeypatch.setattr(rank, "RANKED_ROWS", 10)
+    big = (1 << 62) + 5
+    df = spark.range(1000).select(F.when(F.col("id") < 600, F.lit(big)).otherwise(F.lit(big) + F.col("id") % 7).alias("v"), F.lit(None).cast("string").alias("g"))
+    want = sorted([big] * 600 + [big + i % 7 for i in range(600, 1000)])
+    for at in (0, 599, 700, 999):
+        assert [r.x for r in rank.order_statistics(df, ["g"], "v", {"x": lambda n, at=at: F.lit(at)}).collect()] == [want[at]]
+
+
+def test_running_over_a_sparse_order(spark):
+    """Steps of a million: blocks hold as many rows as asked for, not one each."""
+    df = spark.range(4000).select(F.when(F.col("id") % 8 > 0, "hot").otherwise("other").alias("g"), (F.col("id") * 1_000_000).alias("i"), F.lit(1).alias("one"))
+    out = rank.running(df, ["g"], "i", {"n": ("one", "sum"), "before": ("i", "max")}, block=250)
+    sizes = [r["count"] for r in df.repartitionByRange(16, "g", "i").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) <= 16 and max(sizes) <= 1000
+    for r in out.collect():
+        k = r.i // 1_000_000
+        assert r.before == r.i and r.n == (k // 8 + 1 if r.g == "other" else k - k // 8)
+    dates = df.select("g", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("i") / 1_000_000).cast("int")).alias("day"), "one")
+    assert rank.running(dates, [], "day", {"n": ("one", "sum")}, block=500).agg(F.max("n")).first()[0] == 4000
+
+
+@pytest.mark.parametrize("block", [1, 1000])
+def test_repeated_order_raises(spark, block):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("a", 2, 3.0), ("b", 2, 3.0)], "g string, i int, v double")
+    with pytest.raises(PySparkException):
+        rank.running(df, ["g"], "i", {"s": ("v", "sum")}, block=block).collect()
+
+
+def test_partitions_follow_the_bytes(spark):
+    """Twice the bytes, twice the partitions; each begins with a batch and holds about what was asked for."""
+    def parts(n, width):
+        df = spark.range(n).select("id", F.repeat(F.lit("x"), F.lit(width)).alias("payload"))
+        rows = rank.hashed_position(df, "id", part_bytes=20_000, align=16, keep_part=True).groupBy("_part").agg(
+            F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n")).orderBy("_part").collect()
+        assert all(r.first % 16 == 0 and r.last - r.first + 1 == r.n for r in rows) and sum(r.n for r in rows) == n
+        assert [r.first for r in rows[1:]] == [r.last + 1 for r in rows[:-1]] and max(r.n * (width + 8) for r in rows) < 40_000
+        return len(rows)
+
+    assert parts(2000, 92) == pytest.approx(10, abs=1) and parts(4000, 92) == pytest.approx(20, abs=1) and parts(2000, 192) == pytest.approx(20, abs=1)
+
+
+def test_border_rows_are_found_in_the_digit_tree(spark, monkeypatch):
+    """Few buckets with many rows: borders inside them are narrowed down by digits, and positions stay the hash ranks."""
+    df = spark.range(3000)
+    want = {r.id: r.pos for r in rank.hashed_position(df, "id").collect()}
+    for ranked in (5, 100_000):
+        monkeypatch.setattr(rank, "RANKED_ROWS", ranked)
+        got = rank.hashed_position(df, "id", bucket_hex=1, partitions=7, align=10, keep_part=True).collect()
+        assert {r.id: r.pos for r in got} == want and {r._part for r in got} == set(range(7))
+        assert all(r.pos // 430 == r._part for r in got)
+
+
+def test_rows_are_shuffled_once_each(spark):
+    from tests.test_plans import plan_of
+
+    rows = rank.hashed_position(spark.range(5000), "id", bucket_hex=1, partitions=9)
+    assert rows.count() == 5000 and "Generate explode" not in plan_of(rows)
 
 
 def test_ordered_position(spark):
