@@ -21,7 +21,7 @@ from samplewright.session import broadcast_if_small
 
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 # Words of a cell, about, and their letters; keys with more words are dealt to several cells.
-CELL_WORDS = 8192
+CELL_WORDS = 2048
 CELL_LETTERS = 1 << 17
 QUERIES = 64
 POSITION = 21  # code points have 21 bits
