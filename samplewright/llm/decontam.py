@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,15 @@ EDIT_RATE = 0.05
 BLOCK_CHARS = 4 << 20
 # Characters of text filtered in one step; longer texts are cut with an overlap that no quotation exceeds.
 STEP_CHARS = 2 << 20
+# Shared grams, and cells of alignments, that one step holds.
+STEP_HITS = 1 << 20
+STEP_CELLS = 1 << 22
 TABLE_BITS = 22
 BORDER = 1
 BASE = 0x9E3779B97F4A7C15
 
 _FORM: list[np.ndarray] = []
+_HELD: dict[str, Items] = {}
 
 
 def _forms() -> np.ndarray:
@@ -117,44 +122,58 @@ class Items:
         names, first = np.unique(hashes, return_index=True)
         return table, names, np.concatenate([first, [len(hashes)]]), item, place
 
-    def hits(self, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, item and item position of all shared grams."""
+    def hits(self, codes: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Text position, item and item position of all shared grams, and the position that the next hits begin at.
+
+        In text order and at most ``STEP_HITS`` at a time, for a gram may recur in an item as often as in the text.
+        """
         table, names, first, item, place = self.index[width]
         hashes = mix(gram_hashes(codes, width))
         at = np.flatnonzero(table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         found = np.minimum(np.searchsorted(names, hashes[at]), len(names) - 1)
         same = names[found] == hashes[at]
         at, found = at[same], found[same]
-        count = first[found + 1] - first[found]
-        ends = np.cumsum(count)
-        run = np.repeat(first[found] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(at, count), item[run], place[run]
+        ends = np.cumsum(first[found + 1] - first[found])
+        total = int(ends[-1]) if len(ends) else 0
+        for begin in range(0, total, STEP_HITS):
+            hit = np.arange(begin, min(begin + STEP_HITS, total))
+            owner = np.searchsorted(ends, hit, side="right")
+            run = first[found[owner] + 1] - ends[owner] + hit
+            following = int(at[np.searchsorted(ends, hit[-1] + 1, side="right")]) if hit[-1] + 1 < total else len(codes)
+            yield at[owner], item[run], place[run], following
 
     def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and first diagonals of the bands that reach the lemma's bound."""
+        """Items and first diagonals of the bands that reach the lemma's bound.
+
+        Bands are counted while the text is gone through; one that no further position can add to is judged and
+        forgotten, so that no more are held than an item's length of text has.
+        """
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        span = 2 * len(codes) + 3
         for width in self.index:
-            at, item, place = self.hits(codes, width)
-            if not len(at):
-                continue
-            stride = self.budget[item] + 1
-            diagonal = at - place + len(codes)  # kept positive
-            band = diagonal // stride
-            # a band of width 2k + 1 starts at each multiple of k + 1; a diagonal lies in one or two of them
-            second = diagonal - band * stride < self.budget[item]
-            item, band, place = (np.concatenate([x, y[second]]) for x, y in ((item, item), (band, band - 1), (place, place)))
-            key = item * (2 * len(codes) + 3) + band
-            names, number, count = np.unique(key, return_inverse=True, return_counts=True)
-            item_of = names // (2 * len(codes) + 3)
-            enough = count >= self.need[item_of]
-            # a gram of the item counts once in a band
-            chosen = enough[number]
-            longest = int(self.size.max()) + 1
-            once = np.unique(number[chosen] * longest + place[chosen]) // longest
-            count = np.bincount(once, minlength=len(names))
-            good = enough & (count >= self.need[item_of])
-            band_of = names - item_of * (2 * len(codes) + 3)
-            found.append((item_of[good], band_of[good] * (self.budget[item_of[good]] + 1) - len(codes)))
+            key, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at, item, own, following in self.hits(codes, width):
+                stride = self.budget[item] + 1
+                diagonal = at - own + len(codes)  # kept positive
+                band = diagonal // stride
+                # a band of width 2k + 1 starts at each multiple of k + 1; a diagonal lies in one or two of them
+                second = diagonal - band * stride < self.budget[item]
+                key = np.concatenate([key, item * span + band, (item * span + band - 1)[second]])
+                place = np.concatenate([place, own, own[second]])
+                # a gram of the item counts once in a band
+                order = np.lexsort((place, key))
+                key, place = key[order], place[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+                key, place = key[new], place[new]
+                item = key // span
+                last = (key - item * span) * (self.budget[item] + 1) - len(codes) + 2 * self.budget[item] + self.size[item]
+                done = last < following if following < len(codes) else np.ones(len(key), bool)
+                names, count = np.unique(key[done], return_counts=True)
+                good = names[count >= self.need[names // span]]
+                item = good // span
+                found.append((item, (good - item * span) * (self.budget[item] + 1) - len(codes)))
+                key, place = key[~done], place[~done]
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def align(self, codes: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +185,10 @@ class Items:
         n = len(item)
         edits, left, right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
         order = np.argsort(self.size[item], kind="stable")
-        for first in range(0, n, 4096):
-            part = order[first:first + 4096]
+        while len(order):
+            # the longest item sets the width of a part's tables
+            rows = int(np.searchsorted(np.arange(1, len(order) + 1) * (self.size + 16 * self.budget)[item[order]], STEP_CELLS, side="right"))
+            part, order = order[:max(rows, 1)], order[max(rows, 1):]
             edits[part], left[part], right[part] = self._align(codes, item[part], start[part])
         return edits, left, right
 
@@ -227,16 +248,32 @@ class Items:
             codes = np.concatenate([x for _, _, piece in parts for x in (piece, border)])
             begin = np.concatenate([[0], np.cumsum([len(piece) + 1 for _, _, piece in parts])])
             item, start = self.regions(codes)
-            edits, left, right = self.align(codes, item, start)
-            for i in np.flatnonzero(edits >= 0):
-                k = int(np.searchsorted(begin, left[i], side="right")) - 1
-                text, offset, piece = parts[k]
-                low, high = left[i] - begin[k], min(right[i] - begin[k], len(piece))
-                at = places[text]
-                entry = (int(edits[i]), int(at[offset + low]) if offset + low < len(at) else 0, int(at[offset + max(high - 1, low)]) + 1)
-                key = (text, int(item[i]))
-                if key not in found or entry < found[key]:
-                    found[key] = entry
+            order = np.lexsort((start, item))
+            item, start = item[order], start[order]
+            # texts that a region's first and last character lie in
+            ends = [np.searchsorted(begin, np.clip(x, 0, len(codes) - 1), side="right") - 1 for x in (start, start + 2 * self.budget[item] + self.size[item])]
+            inside = np.where(ends[0] == ends[1], ends[0], -1)
+            left_over, most = np.arange(len(item)), 4
+            while len(left_over):
+                # first regions first: behind a quotation without edits none of its text is better
+                turn = np.arange(len(left_over)) - np.searchsorted(item[left_over], item[left_over])
+                now, left_over = left_over[turn < most], left_over[turn >= most]
+                edits, left, right = self.align(codes, item[now], start[now])
+                exact = set()
+                for i in np.flatnonzero(edits >= 0):
+                    k = int(np.searchsorted(begin, left[i], side="right")) - 1
+                    text, offset, piece = parts[k]
+                    low, high = left[i] - begin[k], min(right[i] - begin[k], len(piece))
+                    at = places[text]
+                    entry = (int(edits[i]), int(at[offset + low]) if offset + low < len(at) else 0, int(at[offset + max(high - 1, low)]) + 1)
+                    key = (text, int(item[now[i]]))
+                    if key not in found or entry < found[key]:
+                        found[key] = entry
+                    if not edits[i]:
+                        exact.add((int(item[now[i]]), k))
+                if exact and len(left_over):
+                    left_over = left_over[[pair not in exact for pair in zip(item[left_over].tolist(), inside[left_over].tolist())]]
+                most *= 8
 
         for number, text in enumerate(texts):
             if not text:
@@ -255,6 +292,15 @@ class Items:
         return [(text, int(self.ids[item]), *entry) for (text, item), entry in sorted(found.items())]
 
 
+def _held(block: tuple[str, list[tuple[int, str]]], rate: float) -> Items:
+    """The index of a block's items; a Python worker makes it once for all its tasks and holds one at a time."""
+    name = f"{block[0]} {rate}"
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Items(block[1], rate)
+    return _HELD[name]
+
+
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The distinct items with a text, block by block; an item longer than a block is a block of its own, roughly."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
@@ -279,10 +325,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
     schema = "doc_id long, item_id long, edits int, start long, end long"
 
     def pass_over(block: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, rate)
+            items = _held(shared.value, rate)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = items.search(batch.column("text").to_pylist())
@@ -307,10 +353,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RAT
     """
     bounded_batches(docs.sparkSession)
     for block in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, rate)
+            items = _held(shared.value, rate)
             for batch in batches:
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 keep = np.ones(batch.num_rows, dtype=bool)

@@ -8,6 +8,7 @@ import json
 import random
 import re
 import string
+import time
 import tracemalloc
 import zlib
 
@@ -105,6 +106,43 @@ def test_leaks_stay_within_one_text():
         assert one.search(texts) == [(t, *x) for t, text in enumerate(texts) for _, *x in one.search([text])]
 
 
+def test_bands_are_counted_alike_in_steps(monkeypatch):
+    """Small steps cut positions, bands and texts; the regions and what is found stay the same."""
+    rng = random.Random(2)
+    for _ in range(12):
+        rows = [(i, "".join(rng.choices("ab ", k=rng.randint(1, 90)))) for i in range(6)] + [(9, "ha " * rng.randint(5, 40))]
+        texts = ["".join(rng.choices("ab ", k=rng.randint(0, 200))) + rows[rng.randrange(7)][1] + "ha " * rng.randint(0, 60) for _ in range(4)]
+        codes = decontam.normalised(" ".join(texts))[0]
+        whole = decontam.Items(rows)
+        wanted, found = sorted(zip(*map(list, whole.regions(codes)))), whole.search(texts)
+        plain = set()
+        for i, m in enumerate(whole.size):
+            k, q = int(whole.budget[i]), int(whole.q[i])
+            grams = [whole.codes[i][p:p + q].tobytes() for p in range(m - q + 1)]
+            places = {}
+            for at in range(len(codes) - q + 1):
+                places.setdefault(codes[at:at + q].tobytes(), []).append(at)
+            for first in range(-(len(codes) // (k + 1) + 2) * (k + 1), len(codes) + k + 1):
+                if (first + len(codes)) % (k + 1) == 0 and sum(any(first <= at - p <= first + 2 * k for at in places.get(g, [])) for p, g in enumerate(grams)) >= whole.need[i]:
+                    plain.add((i, first))
+        assert set(wanted) == plain
+        monkeypatch.setattr(decontam, "STEP_HITS", rng.choice([1, 7, 50]))
+        monkeypatch.setattr(decontam, "STEP_CELLS", 1000)
+        assert sorted(zip(*map(list, whole.regions(codes)))) == wanted and whole.search(texts) == found
+        monkeypatch.undo()
+
+
+def test_a_repeated_phrase_stays_in_memory():
+    items = decontam.Items([(7, "ha " * 100)])
+    text = "well " + "ha " * 160_000
+    tracemalloc.start()
+    begin = time.perf_counter()
+    assert items.search([text]) == [(0, 7, 0, 5, 5 + 299)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and time.perf_counter() - begin < 60
+
+
 def test_leaks_on_tables(spark):
     docs, items = documents(spark), spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()}
