@@ -39,9 +39,12 @@ LETTER, NUMBER = (r"[\p{%s}--[%s]]" % (name, newer.replace(" ", "")) for name, n
 # The pattern that cuts a text into words (fixed value of the vocabulary's pre-tokenizer).
 PATTERN = rf"""(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"""
 
+# A word of Latin letters after a space, perhaps with a full stop or comma: cut as the pattern would, without it.
+PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,]?)").fullmatch
 # White space that is neither a space nor a line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
-# Bytes of words and their ids that a task keeps; beyond it the memory starts anew. Results do not depend on it.
+# Bytes of words and their ids that a task keeps: those met since the newer half of the memory was begun, and those of the half
+# before. Results do not depend on it.
 CACHE_BYTES = 32 << 20
 # A kept word takes this besides its letters and ids: a string, a number and their place in a table that may just have doubled.
 WORD_BYTES = 260
@@ -79,6 +82,33 @@ def gathered(store: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.
     return store[place], size
 
 
+class Memory:
+    """Words with a number each, and where a word's ids lie in one flat array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.bytes = 0
+        self.store, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+
+    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(words)
+        self.store = enlarged(self.store, self.used + len(ids))
+        self.begin, self.size = enlarged(self.begin, last), enlarged(self.size, last)
+        self.store[self.used:self.used + len(ids)] = ids
+        self.begin[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:last] = sizes
+        self.known.update(zip(words, range(first, last)))
+        self.used += len(ids)
+        # letters beyond Latin-1 take up to four bytes each; the arrays may just have doubled
+        self.bytes += sum(len(w) if w.isascii() else 4 * len(w) for w in words) + 8 * len(ids) + WORD_BYTES * len(words)
+
+    def recall(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words side by side, and how many each has."""
+        number = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        return gathered(self.store, self.begin, self.size, number)
+
+
 class Vocabulary:
     """Arrays made from a tokenizer file: byte ids, sorted pair keys with rank and merged id, bytes of every id."""
 
@@ -110,26 +140,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.forget()
-
-    def forget(self) -> None:
-        """Start the memory of words anew: a word's number, and where its ids lie in one flat array."""
-        self.known: dict[str, int] = {}
-        self.known_bytes = 0
-        self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, last = len(self.known), len(self.known) + len(words)
-        self.store = enlarged(self.store, self.used + len(ids))
-        self.begin, self.size = enlarged(self.begin, last), enlarged(self.size, last)
-        self.store[self.used:self.used + len(ids)] = ids
-        self.begin[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.size[first:last] = sizes
-        self.known.update(zip(words, range(first, last)))
-        self.used += len(ids)
-        # letters beyond Latin-1 take up to four bytes each; the arrays may just have doubled
-        self.known_bytes += sum(len(w) if w.isascii() else 4 * len(w) for w in words) + 8 * len(ids) + WORD_BYTES * len(words)
+        self.old, self.young = Memory(), Memory()
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NO_RANK`` where unknown) and index of each pair, by binary search."""
@@ -202,7 +213,15 @@ class Vocabulary:
 
     def learn(self, keys: list[str]) -> None:
         """Encode new parts: the distinct words in them together, then their ids joined."""
-        cut = [[key[1:]] if key[1:] in self.added else self.words.findall(key[1:] if key[0] == " " else " " + key) for key in keys]
+        cut = []
+        for key in keys:
+            plain = PLAIN(key)
+            if plain:
+                cut.append([" " + plain[1], plain[2]] if plain[2] else [" " + key])
+            elif key[1:] in self.added:
+                cut.append([key[1:]])
+            else:
+                cut.append(self.words.findall(key[1:] if key[0] == " " else " " + key))
         number: dict[str, int] = {}
         order = np.array([number.setdefault(w, len(number)) for words in cut for w in words], dtype=np.int64)
         ids, size = self.encode_words([w for w in number if w not in self.added])
@@ -212,19 +231,26 @@ class Vocabulary:
             ids, size = np.concatenate(parts), np.array([len(p) for p in parts])
         ids, sizes = gathered(ids, np.cumsum(size) - size, size, order)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(words) for words in cut])]
-        self.remember(keys, ids, np.diff(ends, prepend=0))
+        self.young.remember(keys, ids, np.diff(ends, prepend=0))
+
+    @property
+    def known_bytes(self) -> int:
+        return self.young.bytes + self.old.bytes
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as unsigned 32-bit integers side by side, and the ``n + 1`` offsets of the texts in them."""
-        if self.known_bytes > CACHE_BYTES:
-            self.forget()
+        if 2 * self.young.bytes > CACHE_BYTES:
+            self.old, self.young = self.young, Memory()
         cut = [self.units(t) for t in texts]
         keys = list(chain.from_iterable(cut))
-        new = list(set(keys).difference(self.known))
+        missing = set(keys).difference(self.young.known)
+        again = [key for key in missing if key in self.old.known]
+        if again:
+            self.young.remember(again, *self.old.recall(again))
+        new = list(missing.difference(again))
         if new:
             self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-        ids, size = gathered(self.store, self.begin, self.size, number)
+        ids, size = self.young.recall(keys)
         last = np.cumsum([len(c) for c in cut], dtype=np.int64)
         return ids, np.concatenate([[0], np.concatenate([[0], np.cumsum(size)])[last]]).astype(np.int64)
 
