@@ -11,8 +11,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -23,9 +25,10 @@ from samplewright.llm.common import bounded_batches, written
 
 # Skeletons of a host that one task aligns; more of them are aligned in rounds.
 GROUP = 256
-# Levels of elements that are told apart, and items on one level up to which their classes are. Beyond, a level's elements are
-# told apart by name only, and their signatures in wrappers and paths are the name and ``BY_NAME``.
-DEPTH = 100
+# Levels of elements that wrappers have; the text of deeper ones belongs to their last level there. Trees have any depth.
+LEVELS = 2000
+# Items on one level up to which their classes tell them apart. Beyond, a level's elements are told apart by name only, and
+# their signatures in wrappers and paths are the name and ``BY_NAME``.
 WIDEST = 200
 BY_NAME = ".*"
 # Bytes of the wrapper table up to which it is sent to all tasks; a larger one is joined.
@@ -44,6 +47,11 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal sidebar "
     "menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus share sharing social "
     "related recommended newsletter subscribe signup login pagination pager widget toolbar".split())
+# Words that say where or how an element stands; with them alone beside it, a word above still names the whole element.
+PLACE_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer first last box block area section region zone wrap "
+    "wrapper container holder content body group list item items link links bar row col column cell panel unit slot frame post posts article "
+    "articles story stories button buttons icon icons text title head heading label form user reader desktop mobile sticky fixed js x".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
@@ -53,12 +61,20 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
             "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tr td th", "table")}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens a value right after the equals sign only; anywhere else it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 NAMED = frozenset(("class", "id", "role", "itemprop", "hidden", "aria-hidden"))
 SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _names_boilerplate(token: str) -> bool:
+    """Whether a class or id names boilerplate as a whole: ``sidebar`` and ``sidebar-left`` do, ``share-price`` does not."""
+    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())) - {""}
+    return bool(words & BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | PLACE_WORDS
+
+
 class Node:
     """An element: its name, its signature (name, class and role), whether it is boilerplate by itself, its children.
 
@@ -72,9 +88,7 @@ class Node:
         self.drop, self.word = tag in BOILERPLATE, False
         if attributes and ("=" in attributes or "hidden" in attributes):
             named = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in NAMED}
-            label = " ".join(named.get(k, "") for k in ("class", "id"))
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()))
-            self.word = bool(words & BOILERPLATE_WORDS)
+            self.word = any(_names_boilerplate(token) for k in ("class", "id") for token in named.get(k, "").split())
             self.drop |= named.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in named or named.get("aria-hidden") == "true"
             mark = re.sub(r"\d+", "0", named.get("class") or named.get("id") or "")
             role = named.get("role") or named.get("itemprop") or ""
@@ -83,19 +97,21 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """A tree from any text: unclosed elements end where the next of their kind or their parent does, stray ends are ignored.
-
-    Below ``DEPTH`` levels elements have no node; their content belongs to the last one that has.
-    """
+    """A tree from any text: unclosed elements end where the next of their kind or their parent does, stray ends are ignored."""
     root = Node("#root")
     stack, at, words = [root], 0, False
     size = len(text)
-    passed: dict[str, int] = {}  # elements below the deepest level, open but without a node of their own
+    opened: dict[str, int] = {}  # open elements by name
 
     def add(piece: str) -> None:
         if piece:
             stack[-1].children.append(piece)
 
+    def end_from(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     while at < size:
         begin = text.find("<", at)
         if begin < 0:
@@ -111,32 +127,26 @@ def parse(text: str) -> Node:
         if m[2] is None:
             continue
         name = m[2].lower()
-        if m[1] and passed.get(name):
-            passed[name] -= 1
-            continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened.get(name) else 0, 0, -1):
                 if stack[k].tag == name:
-                    del stack[k:]
+                    end_from(k)
                     break
                 # an inline end mark does not reach over a block
                 if name in INLINE and stack[k].tag not in INLINE:
                     break
             continue
-        if name in CLOSES_P or name in SIBLINGS:
-            kinds, scope = SIBLINGS.get(name, ("", ""))
+        kinds, scope = (x.split() for x in SIBLINGS.get(name, ("", "")))
+        if any(opened.get(kind) for kind in (*kinds, *(("p",) if name in CLOSES_P else ()))):
             for k in range(len(stack) - 1, 0, -1):
                 tag = stack[k].tag
-                if tag == "p" and name in CLOSES_P or tag in kinds.split():
-                    del stack[k:]
-                    if tag == "p":
+                if tag == "p" and name in CLOSES_P or tag in kinds:
+                    end_from(k)
+                    if tag == "p" or not any(map(opened.get, kinds)):
                         break
-                elif tag in scope.split() or tag not in INLINE and name in CLOSES_P:
+                elif tag in scope or tag not in INLINE and name in CLOSES_P:
                     break
         node = Node(name, m[3])
-        if len(stack) > DEPTH and name not in RAW and name not in VOID and (not (node.drop or node.word) or len(stack) > 2 * DEPTH):
-            passed[name] = passed.get(name, 0) + 1
-            continue
         stack[-1].children.append(node)
         words |= node.word
         if name in RAW:
@@ -144,6 +154,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else size
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[name] = opened.get(name, 0) + 1
     if words:
         _settle(root)
     return root
@@ -156,42 +167,54 @@ def _settle(root: Node) -> None:
     another one; what holds html, body or main; what holds the longest article, as its only one or with most of the page's
     plain text; and, where no other main or article has text, what holds most of the plain text.
     """
-    named: list[tuple[Node, int, tuple[Node, ...]]] = []  # with plain text and the elements around
-    marks: list[tuple[Node, int, tuple[Node, ...]]] = []  # main and outer articles
-    stay: set[Node] = set()
-
-    def weigh(node: Node, around: tuple[Node, ...], link: bool) -> int:
-        total = 0
-        for child in node.children:
-            if isinstance(child, str):
-                total += 0 if link else len(child.strip())
-            elif not child.drop:
-                n = weigh(child, (*around, child), link or child.tag == "a")
-                total += n
-                if child.word:
-                    named.append((child, n, around))
-                if child.tag in ("html", "body", "main"):
-                    stay.update((*around, child))
-                if child.tag == "article" and all(a.tag != "article" for a in around):
-                    stay.add(child)
-                    marks.append((child, n, around))
-                elif child.tag == "main":
-                    marks.append((child, n, around))
-        return total
-
-    total = weigh(root, (), False)
-    articles = [m for m in marks if m[0].tag == "article"]
-    longest = max(articles, key=lambda m: m[1], default=None)
-    for node, n, around in named:
-        if longest and node in longest[2]:
-            # articles in a named element further in are its own
-            alone = sum(node in a and not any(x.word and x not in stay for x in a[a.index(node) + 1:]) for _, _, a in articles) <= 1
-            if alone or 2 * n > total:
-                stay.add(node)
-        if 2 * n > total and not any(size and node not in a and mark is not node and mark not in around for mark, size, a in marks):
-            stay.add(node)
-    for node, _, _ in named:
-        node.drop = node not in stay
+    # elements in page order; those inside element i have the numbers from i + 1 to last[i]
+    nodes: list[Node] = []
+    above: list[int] = []
+    plain: list[int] = []
+    in_article: list[bool] = []
+    stack = [(root, -1, False, False)]
+    while stack:
+        node, up, link, inside = stack.pop()
+        i = len(nodes)
+        nodes.append(node)
+        above.append(up)
+        in_article.append(inside)
+        plain.append(0 if link else sum(len(child.strip()) for child in node.children if isinstance(child, str)))
+        for child in reversed(node.children):
+            if not isinstance(child, str) and not child.drop:
+                stack.append((child, i, link or child.tag == "a", inside or node.tag == "article"))
+    last = list(range(len(nodes)))
+    core = [node.tag in ("html", "body", "main") for node in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        plain[above[i]] += plain[i]
+        last[above[i]] = max(last[above[i]], last[i])
+        core[above[i]] |= core[i]
+    articles = [i for i, node in enumerate(nodes) if node.tag == "article" and not in_article[i]]
+    marks = articles + [i for i, node in enumerate(nodes) if node.tag == "main"]
+    stay = {i for i, holds in enumerate(core) if holds} | set(articles)
+    longest = max(articles, key=plain.__getitem__, default=None)
+    total = plain[0]
+
+    def holds(i: int, j: int) -> bool:
+        return i < j <= last[i]
+
+    def reaches(i: int, article: int) -> bool:
+        """Whether an element holds an article and no other named element in between does."""
+        j = above[article] if holds(i, article) else -1
+        while j > i and (not nodes[j].word or j in stay):
+            j = above[j]
+        return j == i
+
+    named = [i for i, node in enumerate(nodes) if node.word]
+    for i in reversed(named):
+        most = 2 * plain[i] > total
+        # articles in a named element further in are its own
+        if longest is not None and holds(i, longest) and (most or sum(reaches(i, a) for a in articles) <= 1):
+            stay.add(i)
+        if most and not any(plain[m] and m != i and not holds(i, m) and not holds(m, i) for m in marks):
+            stay.add(i)
+    for i in named:
+        nodes[i].drop = i not in stay
 
 
 # ---- skeletons and wrappers: [signature, repeated, optional, items]; the signature "#" is a text slot, "*" a repeated group
@@ -285,23 +308,33 @@ def _narrowed(items: list[list]) -> list[list]:
 def skeleton(node: Node) -> list[list]:
     """Items of an element: blocks with their items, and one slot for each stretch of text and inline marks."""
     items: list[list] = []
-
-    def walk(children: list) -> None:
-        for child in children:
-            if isinstance(child, str):
-                if not child.isspace() and (not items or items[-1][0] != "#"):
-                    items.append(["#", False, False, []])
-            elif child.tag in INLINE:
-                walk(child.children)
-            elif child.tag not in RAW and child.tag not in VOID:
-                items.append([child.sig, False, False, skeleton(child)])
-
-    walk(node.children)
-    return _fold(items)
+    # open elements: what is left of their children, their items (an inline mark's are those around it) and signature
+    stack = [(iter(node.children), items, None)]
+    depth = 0
+    while True:
+        left, inside, sig = stack[-1]
+        child = next(left, None)
+        if child is None:
+            stack.pop()
+            if not stack:
+                return _fold(items)
+            if sig is not None:
+                depth -= 1
+                stack[-1][1].append([sig, False, False, _fold(inside)])
+        elif isinstance(child, str):
+            if not child.isspace() and (not inside or inside[-1][0] != "#"):
+                inside.append(["#", False, False, []])
+        elif child.tag in INLINE:
+            stack.append((iter(child.children), inside, None))
+        elif child.tag not in RAW and child.tag not in VOID and depth < LEVELS:
+            depth += 1
+            stack.append((iter(child.children), [], child.sig))
 
 
 def infer(skeletons: list[str]) -> str:
     """The wrapper that fits all given skeletons or wrappers."""
+    # aligning goes down level by level
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * LEVELS))
     wrapper = None
     for text in sorted(set(skeletons)):
         wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
@@ -311,35 +344,38 @@ def infer(skeletons: list[str]) -> str:
 def masses(root: Node) -> list[tuple[str, int, int, int]]:
     """For every path of blocks with text outside boilerplate: the path, its characters, those in links, a hash of the text."""
     out: dict[str, list] = {}
-
-    def walk(node: Node, path: str, link: bool) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if not child.isspace():
-                    entry = out.setdefault(path, [0, 0, 0])
-                    n = len(child.strip())
-                    entry[0] += n
-                    entry[1] += n if link else 0
-                    entry[2] = zlib.crc32(child.encode("utf-8", "replace"), entry[2])
-            elif not child.drop:
-                inline = child.tag in INLINE
-                walk(child, path if inline else f"{path}/{child.sig}", link or child.tag == "a")
-
-    walk(root, "", False)
+    stack = [(iter(root.children), "", False, 0)]
+    while stack:
+        left, path, link, depth = stack[-1]
+        child = next(left, None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            if not child.isspace():
+                entry = out.setdefault(path, [0, 0, 0])
+                n = len(child.strip())
+                entry[0] += n
+                entry[1] += n if link else 0
+                entry[2] = zlib.crc32(child.encode("utf-8", "replace"), entry[2])
+        elif not child.drop:
+            deeper = child.tag not in INLINE and depth < LEVELS
+            stack.append((iter(child.children), f"{path}/{child.sig}" if deeper else path, link or child.tag == "a", depth + deeper))
     return [(path, *entry) for path, entry in out.items()]
 
 
 def levels(items: list[list], above: str = "") -> Iterator[tuple[str, bool]]:
     """Paths of a wrapper and of all its elements, and whether the elements one level below each are told apart by name only."""
-    flat = list(_flat(items))
-    narrow = _is_narrow(flat)
-    yield above, narrow
-    inner: dict[str, list] = {}
-    for sig, _, _, below in flat:
-        if sig != "#":
-            inner.setdefault(_named(sig) if narrow else sig, []).extend(below)
-    for sig, below in inner.items():
-        yield from levels(below, f"{above}/{sig}")
+    stack = [(items, above)]
+    while stack:
+        items, above = stack.pop()
+        flat = list(_flat(items))
+        narrow = _is_narrow(flat)
+        yield above, narrow
+        inner: dict[str, list] = {}
+        for sig, _, _, below in flat:
+            if sig != "#":
+                inner.setdefault(_named(sig) if narrow else sig, []).extend(below)
+        stack.extend((below, f"{above}/{sig}") for sig, below in reversed(inner.items()))
 
 
 def narrow_path(path: str, narrow: set[str]) -> str:
@@ -358,7 +394,7 @@ def region(wrapper: str, text: list[tuple[str, int, int, bool]]) -> str:
     """Path of the wrapper's element that holds the article.
 
     ``text`` has, by path, characters, characters in links and whether the text differs between pages. Elements made for
-    articles come first; else it is the innermost element that holds nine tenths of the plain text, where text that never
+    articles come first if they hold most of what could be one; else it is the innermost element that holds nine tenths of the plain text, where text that never
     differs counts little.
     """
     shape = list(levels(json.loads(wrapper)))
@@ -377,11 +413,15 @@ def region(wrapper: str, text: list[tuple[str, int, int, bool]]) -> str:
         return sums.get(path, 0.0)
 
     known = [p for p, _ in shape if p and below(p) > 0]
-    for test in (lambda p: p.endswith("@articleBody"), lambda p: _name(p) == "article", lambda p: _name(p) == "main" or p.endswith("@main")):
+    total = below("")
+    mains = [p for p in known if _name(p) == "main" or p.endswith("@main")]
+    for test in (lambda p: p.endswith("@articleBody"), lambda p: _name(p) == "article", mains.__contains__):
         fit = [p for p in known if test(p)]
         if fit:
-            return max(fit, key=lambda p: (below(p), -len(p)))
-    total = below("")
+            best = max(fit, key=lambda p: (below(p), -len(p)))
+            # cards with other stories' titles are articles too: the article is at least half of any main element around or beside it
+            if best in mains or 2 * below(best) >= max((below(m) for m in mains if not m.startswith(best + "/")), default=0.0):
+                return best
     rest = [p for p in known if below(p) >= 0.9 * total]
     holders = [p for p in rest if _name(p) not in HEADINGS | {"p", "li", "td", "pre", "blockquote"}]
     return max(holders or [""], key=lambda p: p.count("/"))
@@ -390,19 +430,19 @@ def region(wrapper: str, text: list[tuple[str, int, int, bool]]) -> str:
 def read_out(root: Node, path: str) -> str:
     """Blocks of text in the elements at ``path``, or in the page's own region where it has none there."""
     found: list[Node] = []
-
-    def seek(node: Node, left: list[str]) -> None:
-        if not left:
+    steps = path.split("/")[1:] if path else []
+    ways = [(root, 0)]
+    while ways:
+        node, done = ways.pop()
+        if done == len(steps):
             found.append(node)
-            return
-        for child in node.children:
+            continue
+        for child in reversed(node.children):
             if not isinstance(child, str):
                 if child.tag in INLINE:
-                    seek(child, left)
-                elif left[0] in (child.sig, child.tag + BY_NAME):
-                    seek(child, left[1:])
-
-    seek(root, path.split("/")[1:] if path else [])
+                    ways.append((child, done))
+                elif steps[done] in (child.sig, child.tag + BY_NAME):
+                    ways.append((child, done + 1))
     if not found:
         return read_out(root, region(json.dumps(skeleton(root)), [(p, c, n, True) for p, c, n, _ in masses(root)]))
     blocks: list[str] = []
@@ -414,29 +454,27 @@ def read_out(root: Node, path: str) -> str:
             blocks.append(text)
         current.clear()
 
-    def walk(node: Node, only_headings: bool = False) -> None:
-        for child in node.children:
-            if isinstance(child, str):
+    for node in found:
+        # what is still to be read, the next last: text, elements, and None where a block ends
+        ahead = [(child, False) for child in reversed(node.children)]
+        while ahead:
+            child, only_headings = ahead.pop()
+            if child is None:
+                close()
+            elif isinstance(child, str):
                 if not only_headings:
                     current.append(child)
             elif child.tag == "br":
                 current.append(" ")
-            elif child.tag == "header":
-                close()
-                walk(child, True)
-                close()
-            elif child.drop:
+            elif child.drop and child.tag != "header":
                 if child.tag not in INLINE:
                     close()
-            elif child.tag in INLINE:
-                walk(child, only_headings)
             else:
-                close()
-                walk(child, only_headings and child.tag not in HEADINGS)
-                close()
-
-    for node in found:
-        walk(node)
+                if child.tag not in INLINE:
+                    close()
+                    ahead.append((None, False))
+                only_headings = child.tag == "header" or only_headings and child.tag not in HEADINGS
+                ahead.extend((inner, only_headings) for inner in reversed(child.children))
         close()
     return "\n".join(blocks)
 

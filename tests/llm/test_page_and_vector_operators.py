@@ -8,6 +8,7 @@ import hashlib
 import html as entities
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -137,6 +138,53 @@ def test_main_text_in_elements_named_like_boilerplate(spark):
     assert found == {k: f"Title {k % 100}\nText {k % 100} of the page, which is all of it and long enough." for k, *_ in rows}
 
 
+def one_host(spark, template, count=6):
+    """Texts of pages made from a template, by number."""
+    rows = [(i, "http://h.example/x", template.replace("{i}", str(i))) for i in range(count)]
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_main_text_beside_cards_that_are_articles(spark):
+    story = "<h1>Title {i}</h1><p>The text {i} of this page, longer than any card beside it.</p><p>It goes on {i} for another block.</p>"
+    cards = "<div class=cards>" + "<article><h2>Other story {i}</h2></article>" * 2 + "</div>"
+    want = "Title {i}\nThe text {i} of this page, longer than any card beside it.\nIt goes on {i} for another block."
+    found = one_host(spark, f"<html><body><main>{story}{cards}</main></body></html>")
+    assert all(found[i].startswith(want.replace("{i}", str(i))) for i in found)
+    found = one_host(spark, f"<html><body><main>{story}</main>{cards}</body></html>")
+    assert all(found[i] == want.replace("{i}", str(i)) for i in found)
+    found = one_host(spark, f"<html><body><main><p>Lead</p><article>{story}</article></main></body></html>")
+    assert all(found[i] == want.replace("{i}", str(i)) for i in found)
+
+
+@pytest.mark.parametrize("markup, text", [
+    ('<p class="a"">Hello first block</p><p>Second</p>', "Hello first block\nSecond"),
+    ("<p data-x=it's>Hello first</p><p>Second it's</p><p>Third</p>", "Hello first\nSecond it's\nThird"),
+    ('<p title="a > b">One</p><p x=a="b>c">Two</p>', 'One\nc">Two'),
+    ("<p title = 'a > \"b'>One</p><p\n\tid\n=\nx>Two</p>", "One\nTwo"),
+    ('<p title="never closed>One</p><p>Two</p>', "One\nTwo"),
+    ("<p class=notice-period>Three months</p><p class='share-price up'>12</p><p id=reply-rate>9</p><section class=social-history>Then</section>", "Three months\n12\n9\nThen"),
+    ("<p>One</p><div class=notice>Out</div><div class='box cookie-banner'>Out</div><div id=sidebar-left>Out</div><ul class=relatedPosts><li>Out</ul><p>Two</p>", "One\nTwo"),
+])
+def test_main_text_of_odd_tags_and_class_words(spark, markup, text):
+    assert one_host(spark, f"<html><body><article>{markup}</article></body></html>", 3) == {i: text for i in range(3)}
+
+
+def test_main_text_at_any_depth(spark):
+    for depth in (150, 3000):
+        deep = "<div>" * depth + "<p>one {i}</p><p>two</p>" + "</div>tail" * 3 + "</div>" * (depth - 3)
+        assert one_host(spark, f"<html><body><article>{deep}</article></body></html>", 3) == {i: f"one {i}\ntwo\ntail\ntail\ntail" for i in range(3)}
+        nav = "<div>" * depth + "<div class=sidebar>" + "<div>" * depth + "out</div>" + "</div>" * depth + "in {i}"
+        assert one_host(spark, f"<html><body><article>{nav}</article></body></html>", 3) == {i: f"in {i}" for i in range(3)}
+
+
+def test_tags_are_read_in_linear_time():
+    begin = time.perf_counter()
+    for piece in ("= ", "a='", '="', "x=y ", "='\"", "\t=\n"):
+        html.parse("<p " + piece * 60_000)
+    html.parse("<div>" * 30_000 + "<li>" * 30_000 + "</ul>" * 30_000 + "<b>x" * 30_000 + "</div>" * 30_000)
+    assert time.perf_counter() - begin < 20
+
+
 def test_text_is_gathered_by_the_wrappers_paths(spark, monkeypatch):
     lengths = spark.sparkContext.accumulator(0)
     plain, written = html.region, html.written
@@ -242,6 +290,23 @@ def test_nearest_ties_and_odd_rows(spark):
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_are_copied_in_proportion(spark, monkeypatch):
+    """Twice the vectors and queries: about twice the rows meet, since strips are counted for each list."""
+    copied = []
+    dealt = ann.dealt
+    monkeypatch.setattr(ann, "dealt", lambda *a: copied.append(dealt(*a)) or copied[-1])
+    monkeypatch.setattr(ann, "MOST_LISTS", 64)
+    random = np.random.default_rng(1)
+    centres = random.standard_normal((40, 16)) * 5
+    rows = spark.createDataFrame([(i, (centres[i * 7919 % 40] + random.standard_normal(16)).tolist()) for i in range(8000)], "vec_id long, embedding array<double>")
+    copies = []
+    for n in (2000, 4000, 8000):
+        ann.nearest(rows.where(F.col("vec_id") < n), F.col("vec_id") % 20 == 0, k=5, queries_block=60)
+        copies.append(copied[-1][0].count() / n)
+    # strips of all queries would be 2, 4 and 7 copies of every vector
+    assert copies[1] < 1.5 * copies[0] and copies[2] < 2 * copies[0]
+
+
 def test_nearest_goes_on_until_there_are_enough(spark, monkeypatch):
     plain = ann.fit
 
