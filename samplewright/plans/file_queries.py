@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.operators import metrics
+from samplewright.functions.columns import file_name
+from samplewright.operators import images, metrics
 from samplewright.plans.epoch import EpochPlan
 from samplewright.plans.registry import positions_sql, query, table
 from samplewright.session import scratch_path
@@ -83,8 +84,55 @@ def image_table_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "images")
     blobs = _blobs(spark, sf_dir).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx")
     table_sinks.write_image_table(blobs, path, rows_per_file=100)
-    images = sources.read_image_table(spark, path)
-    return images.select("sample_idx", "label", "filename", F.md5("image").alias("digest"))
+    read = sources.read_image_table(spark, path)
+    return read.select("sample_idx", "label", "filename", F.md5("image").alias("digest"))
+
+
+_LEVEL = "floor(abs(e::DOUBLE) * 1000)::BIGINT % 256"
+_SHAPES_SQL = """
+    shapes AS (SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 3 END AS channels, 2 + vec_id % 4 AS height, 5 - vec_id % 2 AS width, embedding FROM embeddings)
+"""
+
+
+def _png_folder(spark, sf_dir) -> str:
+    """Vectors as PNG files of eight shapes, grey and in colour, in one directory per label."""
+    root = scratch_path(spark, "png")
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    shaped = e.select(
+        F.concat("vec_id", F.lit(".png")).alias("filename"), F.col("label").cast("string").alias("label"),
+        (2 + F.col("vec_id") % 4).cast("int").alias("height"), (5 - F.col("vec_id") % 2).cast("int").alias("width"),
+        F.when(F.col("vec_id") % 3 == 0, 1).otherwise(3).alias("channels"),
+        F.transform("embedding", lambda x: F.lpad(F.hex((F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("int")), 2, "0")).alias("levels"))
+    raw = shaped.withColumn("image", F.unhex(F.array_join(F.slice("levels", F.lit(1), F.col("height") * F.col("width") * F.col("channels")), "")))
+    _run(shard_sinks.write_class_folder(images.png_files(raw), root))
+    return root
+
+
+@query(f"""
+    WITH {_SHAPES_SQL},
+    levels AS (SELECT vec_id, label, channels, height, width, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS e FROM shapes),
+    pixels AS (SELECT *, {_LEVEL} AS v, i // channels AS p FROM levels WHERE i < height * width * channels)
+    SELECT label::VARCHAR AS label, vec_id || '.png' AS filename, height::INT AS height, width::INT AS width,
+        c * height * width + p AS dim, v::SMALLINT AS value
+    FROM pixels JOIN (SELECT unnest(range(3)) AS c) ON channels = 1 OR c = i % channels
+""")
+def decode_files(spark, sf_dir):
+    """Image files decoded by Spark's image source; grey ones get three equal channels."""
+    files = folders.read_decoded_folder(spark, _png_folder(spark, sf_dir), ("png",))
+    tensors = images.image_tensors(files, size=None, decoder=images.spark_image_decoder, decoder_columns=("height", "width", "channels", "image"),
+                                   keep=("path", "label"), on_bad="error")
+    values = F.posexplode(images.tensor_values("data")).alias("dim", "value")
+    return tensors.select("label", file_name("path").alias("filename"), "height", "width", values).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query(f"""
+    WITH {_SHAPES_SQL}
+    SELECT 'size' AS kind, width::INT AS width, height::INT AS height, NULL::INT AS channels, count(*) AS n FROM shapes GROUP BY width, height
+    UNION ALL SELECT 'mode', NULL, NULL, channels, count(*) FROM shapes GROUP BY channels
+""")
+def image_file_profile(spark, sf_dir):
+    """Sizes and channels of image files as the image source finds them."""
+    return images.image_profile(folders.read_decoded_folder(spark, _png_folder(spark, sf_dir), ("png",)))
 
 
 @query(f"""

@@ -517,9 +517,61 @@ def epoch_images(spark, sf_dir):
     return rows.select("batch_id", "slot", F.col("_s.labels").alias("label"), F.hex("_s.images").alias("pixels"))
 
 
-@query()
-def augment_pixels(spark, sf_dir):
-    """Random crop and mirror of every image (checked against plain numpy in the tests)."""
+def _filter_sql(lengths: str, size: int) -> str:
+    """Weights of the triangle filter from every length of ``lengths`` to ``size``: ``length, o, k, weight``."""
+    return f"""
+        raw AS (SELECT length, o, k, greatest(length / {size}.0::DOUBLE, 1.0::DOUBLE) AS support, (o + 0.5::DOUBLE) * (length / {size}.0::DOUBLE) AS centre
+            FROM (SELECT unnest({lengths}) AS length), (SELECT unnest(range({size})) AS o), (SELECT unnest(range(16)) AS k) WHERE k < length),
+        near AS (SELECT *, greatest(1 - abs((k - centre + 0.5::DOUBLE) * (1 / support)), 0::DOUBLE) AS t FROM raw
+            WHERE k >= trunc(centre - support + 0.5::DOUBLE) AND k < trunc(centre + support + 0.5::DOUBLE)),
+        weights AS (SELECT length, o, k, floor(t / sum(t) OVER (PARTITION BY length, o) * 4194304 + 0.5::DOUBLE)::BIGINT AS weight FROM near)"""
+
+
+@query(f"""
+    WITH {_LEVELS_SQL}, {_filter_sql('[8]', 6)},
+    wide AS (SELECT sample_idx, label, channel, y, o AS x, (sum(weight * v)::BIGINT + 2097152) // 4194304 AS v
+        FROM pixels JOIN weights ON k = x GROUP BY sample_idx, label, channel, y, o),
+    small AS (SELECT sample_idx, label, channel, o AS y, x, (sum(weight * v)::BIGINT + 2097152) // 4194304 AS v
+        FROM wide JOIN weights ON k = y GROUP BY sample_idx, label, channel, o, x)
+    SELECT sample_idx, label, channel * 16 + (y - 1) * 4 + x - 1 AS dim, v::SMALLINT AS value FROM small WHERE y BETWEEN 1 AND 4 AND x BETWEEN 1 AND 4
+""")
+def eval_crop_shrunk(spark, sf_dir):
+    """Every image to 6x6 with an antialiasing filter, then its centre 4x4."""
+    tensors = images.eval_crop(_pixel_images(spark, sf_dir), 6, 4, **_RAW)
+    values = F.posexplode(images.tensor_values("data")).alias("dim", "value")
+    return tensors.select("sample_idx", "label", values).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+_BOXES_SQL = (_AUG_SQL.replace("'42:3:'", "'42:0:'").replace("doc_id", "vec_id")
+              .replace("SELECT vec_id, 32 + n_chars % 200 AS h, 32 + vec_id % 200 AS w FROM documents", "SELECT vec_id, 8 AS h, 8 AS w FROM embeddings"))
+
+
+def _augment_sql(size: int) -> str:
+    return f"""
+    WITH {_LEVELS_SQL}, {_filter_sql('range(1, 9)', size)}, boxes AS ({_BOXES_SQL}),
+    cut AS (SELECT p.sample_idx, p.label, channel, y - crop_top AS y, x - crop_left AS x, v, crop_h AS h, crop_w AS w, flip
+        FROM pixels p JOIN boxes ON vec_id = sample_idx AND y >= crop_top AND y < crop_top + crop_h AND x >= crop_left AND x < crop_left + crop_w),
+    wide AS (SELECT sample_idx, label, channel, y, o AS x, h, flip, (sum(weight * v)::BIGINT + 2097152) // 4194304 AS v
+        FROM cut JOIN weights ON length = w AND k = x GROUP BY sample_idx, label, channel, y, o, h, flip),
+    small AS (SELECT sample_idx, label, channel, o AS y, CASE WHEN flip THEN {size - 1} - x ELSE x END AS x, (sum(weight * v)::BIGINT + 2097152) // 4194304 AS v
+        FROM wide JOIN weights ON length = h AND k = y GROUP BY sample_idx, label, channel, o, x, flip)
+    SELECT sample_idx, label, string_agg(printf('%02X', v), '' ORDER BY channel, y, x) AS pixels FROM small GROUP BY sample_idx, label
+    """
+
+
+def _augmented(spark, sf_dir, size: int) -> DataFrame:
     boxed = images.augment_params(_pixel_images(spark, sf_dir), "sample_idx", "height", "width", seed=42, epoch=0)
-    tensors = images.augment(boxed, (8, 8), **_RAW)
+    tensors = images.augment(boxed, (size, size), **_RAW)
     return tensors.select("sample_idx", "label", F.hex("data").alias("pixels"))
+
+
+@query(_augment_sql(8))
+def augment_pixels(spark, sf_dir):
+    """Random crop and mirror of every image."""
+    return _augmented(spark, sf_dir, 8)
+
+
+@query(_augment_sql(5))
+def augment_pixels_shrunk(spark, sf_dir):
+    """The same, to a size that some crops are shrunk to with an antialiasing filter and some enlarged."""
+    return _augmented(spark, sf_dir, 5)

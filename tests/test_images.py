@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions.fixed import CHANNEL_MEAN, CHANNEL_STD
 from samplewright.operators import images
+from samplewright.sources.folders import read_decoded_folder
 from tests.pictures import picture
 
 RAW = {"decoder": images.raw_decoder, "decoder_columns": ("height", "width", "channels", "image")}
@@ -83,10 +84,57 @@ def test_rejects(spark):
         images.image_tensors(df, on_bad="error", **RAW).collect()
 
 
+def triangle(a, size):
+    """Triangle filter pixel by pixel, columns before rows, each in whole levels."""
+    for axis, n in ((1, size[1]), (0, size[0])):
+        a = np.moveaxis(a, axis, 0)
+        m = a.shape[0]
+        out = []
+        for i in range(n):
+            scale = m / n
+            support, centre = max(scale, 1.0), (i + 0.5) * scale
+            taps = range(max(0, int(centre - support + 0.5)), min(m, int(centre + support + 0.5)))
+            weight = [max(0.0, 1 - abs((k - centre + 0.5) * (1 / support))) for k in taps]
+            whole = [int(w / sum(weight) * 2 ** 22 + 0.5) for w in weight]
+            out.append(np.clip((sum(a[k].astype(np.int64) * w for k, w in zip(taps, whole)) + 2 ** 21) >> 22, 0, 255))
+        a = np.moveaxis(np.array(out), 0, axis) if n != m else np.moveaxis(a, 0, axis)
+    return a
+
+
+@pytest.mark.parametrize("shape, size", [((9, 7), (3, 4)), ((5, 6), (11, 6)), ((64, 48), (7, 5)), ((1, 1), (4, 3)), ((8, 8), (8, 8)), ((300, 2), (1, 1))])
+def test_antialiased_resize_is_the_triangle_filter(shape, size):
+    stack = np.random.default_rng(3).integers(0, 256, (2, *shape, 3), dtype=np.uint8)
+    assert all((got == triangle(a, size)).all() for got, a in zip(images.resize_antialiased(stack, size), stack))
+    flat = np.full((1, *shape, 3), 255, dtype=np.uint8)
+    assert (images.resize_antialiased(flat, size) == 255).all()
+
+
+def test_shrinking_looks_at_every_pixel():
+    """A checkerboard becomes grey; two taps would keep single pixels."""
+    board = (np.indices((64, 64)).sum(axis=0) % 2 * 255).astype(np.uint8)[None, :, :, None]
+    assert np.abs(images.resize_antialiased(board, (4, 4)).astype(int) - 128).max() <= 2
+
+
+def test_png_files_are_read_by_the_image_source(spark, tmp_path):
+    arrays = [picture(i, 3 + i, 5) for i in range(4)] + [picture(9)[:, :, :1]]
+    rows = spark.createDataFrame([(i, a.shape[0], a.shape[1], a.shape[2], bytearray(a.tobytes())) for i, a in enumerate(arrays)] + [(9, 1, 1, 3, None)],
+                                 "i int, height int, width int, channels int, image binary")
+    files = images.png_files(rows).collect()
+    assert files[-1].image is None
+    (tmp_path / "a").mkdir()
+    for r in files[:-1]:
+        (tmp_path / "a" / f"{r.i}.png").write_bytes(r.image)
+    for r in read_decoded_folder(spark, str(tmp_path), ("png",)).collect():
+        a = arrays[int(r.path.split("/")[-1][0])]
+        assert (images.spark_image_decoder(r.height, r.width, r.channels, r.image) == np.broadcast_to(a, (*a.shape[:2], 3))).all()
+    with pytest.raises(ValueError):
+        images.png_bytes(np.zeros((2, 2, 4), np.uint8))
+
+
 def test_eval_crop(spark):
     a = picture(5, 20, 10)
     row = images.eval_crop(raw_rows(spark, [a]), 8, 6, **RAW).first()
-    want = images.resize_bilinear(a[None], (16, 8))[0, 5:11, 1:7]
+    want = triangle(a, (16, 8))[5:11, 1:7]
     assert (np.frombuffer(row.data, np.uint8).reshape(3, 6, 6).transpose(1, 2, 0) == want).all()
 
 
@@ -101,7 +149,7 @@ def test_augment(spark):
         assert 0 <= p.crop_top and p.crop_top + p.crop_h <= a.shape[0] and p.crop_h > 0
         assert 0 <= p.crop_left and p.crop_left + p.crop_w <= a.shape[1] and p.crop_w > 0
         cut = a[p.crop_top:p.crop_top + p.crop_h, p.crop_left:p.crop_left + p.crop_w]
-        want = images.resize_bilinear(cut[None], (5, 5))[0]
+        want = triangle(cut, (5, 5))
         want = want[:, ::-1] if p.flip else want
         assert (np.frombuffer(r.data, np.uint8).reshape(3, 5, 5).transpose(1, 2, 0) == want).all()
     again = images.augment_params(raw_rows(spark, arrays).repartition(5), "sample_idx", "height", "width", seed=1, epoch=2)

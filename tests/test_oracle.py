@@ -21,6 +21,7 @@ def con():
 
 PYTHON_QUERIES = {
     "user_collate", "user_transform", "epoch_images", "decode_resize", "decode_normalise", "eval_crop", "augment_pixels",
+    "eval_crop_shrunk", "augment_pixels_shrunk", "decode_files",
     "shard_roundtrip", "zip_roundtrip", "tar_roundtrip",
 }
 
