@@ -13,10 +13,10 @@ from math import ceil, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches
+from samplewright.llm.common import bounded_batches, written
 
 # Rotation, centroids and the number of probed lists are fitted on at most this many vectors (smallest hash of the id).
 SAMPLE_ROWS = 20_000
@@ -161,19 +161,29 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding`` of the rows that take part: an id, no null or non-finite component, not all zero.
+    """``vec_id, embedding, asks`` of the rows that take part: an id, no null or non-finite component, not all zero.
 
     Vectors of another length than the most frequent one (the smallest of several) take no part either.
     """
     def bad(x):
         return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "asks").where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
     lengths = rows.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
     return rows.where(F.size("embedding") == (lengths["length"] if lengths else 0))
 
 
+def dealt(listed: DataFrame, lookups: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries with the ``block`` and ``strip`` of their lists that they meet in (``list, blocks, strips``)."""
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    data = listed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("strip", each("strips"))
+    asked = lookups.join(sizes, "list").withColumn("strip", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("strips")).cast("int")).withColumn("block", each("blocks"))
+    return data.drop("blocks", "strips"), asked.drop("blocks", "strips")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK, queries_block: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors found with the largest inner products for each query.
 
@@ -185,10 +195,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE
     spark = vectors.sparkSession
     bounded_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors)
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
-    total, number = rows.count(), asked.count()
-    if not total or not number:
+    rows = written(usable(vectors.withColumn("asks", F.coalesce(is_query, F.lit(False)))), "vectors")
+    asked = rows.where("asks").select("vec_id", "embedding").dropDuplicates()
+    rows = rows.select("vec_id", "embedding")
+    total = rows.count()
+    if not total or asked.isEmpty():
         return spark.createDataFrame([], schema)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample_rows).toPandas()
     index = fit(np.stack(sample["embedding"].to_list()), min(MOST_LISTS, round(sqrt(total) / 4)), k)
@@ -201,10 +212,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.lists(data))], names=["vec_id", "embedding", "list"])
 
     listed = rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int")
-    # blocks of each list: at most MOST_LISTS rows of counts
+    # at most MOST_LISTS rows of counts
     counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
-    blocks = {name: max(1, ceil(n / block)) for name, n in counts.items()}
-    count = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
     held = np.array([counts.get(name, 0) for name in range(len(index.centroids))], dtype=np.int64)
 
     def probe(batches):
@@ -216,14 +225,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(line)) for c in ("vec_id", "embedding")), pa.array(lists)],
                                                  names=["vec_id", "embedding", "list"])
 
-    strips = max(1, ceil(number / queries_block))
-    data = listed.withColumn("block", F.pmod(F.xxhash64("vec_id"), count[F.col("list")]).cast("int")).withColumn(
-        "strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     repeated = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
     asked = asked.join(repeated, "vec_id", "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
-    lookups = asked.mapInArrow(probe, "vec_id long, embedding array<double>, list int").where(F.col("list").isin(list(blocks))).withColumn(
-        "strip", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(strips)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), count[F.col("list")] - 1)))
+    lookups = asked.mapInArrow(probe, "vec_id long, embedding array<double>, list int")
+    # a list's vectors are copied for each strip of the queries that probe it, these for each block of its vectors
+    probing = {r["list"]: r["count"] for r in lookups.groupBy("list").count().collect()}
+    sizes = F.broadcast(spark.createDataFrame([(name, ceil(n / block), ceil(probing[name] / queries_block)) for name, n in counts.items() if name in probing],
+                                              "list int, blocks int, strips int"))
+    data, lookups = dealt(listed, lookups, sizes)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
