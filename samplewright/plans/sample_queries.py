@@ -34,9 +34,8 @@ def _docs(spark, sf_dir) -> DataFrame:
 """)
 def scan_prefix(spark, sf_dir):
     """The first half of the table in storage order."""
-    docs = _docs(spark, sf_dir)
-    half = docs.count() // 2
-    return sources.take_prefix(docs, half).select(
+    half = table(spark, sf_dir, "documents").count() // 2
+    return sources.read_parquet_table(spark, f"{sf_dir}/documents.parquet", max_samples=half).select(
         "sample_idx", "doc_id", F.col("lang").alias("label"), F.octet_length("text").alias("n_bytes")
     )
 
@@ -46,9 +45,10 @@ def scan_prefix(spark, sf_dir):
     FROM orders JOIN documents d ON d.doc_id = o_orderkey % (SELECT count(*) FROM documents)
 """)
 def fetch_by_index(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    wanted = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % docs.count()).alias("sample_idx"))
-    return lookup.fetch_by_index(docs.select("sample_idx", F.col("lang").alias("label"), "n_chars"), wanted)
+    count = table(spark, sf_dir, "documents").count()
+    wanted = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % count).alias("sample_idx"))
+    found = sources.fetch_rows(spark, f"{sf_dir}/documents.parquet", wanted, columns=["lang", "n_chars"])
+    return found.withColumnRenamed("lang", "label")
 
 
 @query("""

@@ -15,7 +15,7 @@ from samplewright.session import is_small
 from samplewright.sinks.tables import storage_overhead
 from samplewright.sources.archives import read_archive
 from samplewright.sources.ranges import known_scheme
-from samplewright.sources.tables import with_sample_idx, write_order
+from samplewright.sources.tables import fetch_rows, read_parquet_table, with_sample_idx, write_order
 from samplewright.streaming.batches import with_lane
 
 
@@ -37,6 +37,25 @@ def test_write_order_is_not_read_from_an_identifier(spark):
     assert [r.i for r in rows] == list(range(1100))
 
 
+def test_a_prefix_opens_only_its_files(spark, tmp_path):
+    path = str(tmp_path / "a b%20c")
+    spark.range(0, 3000, 1, 1).withColumn("v", F.col("id") * 2).write.option("maxRecordsPerFile", 10).parquet(path)
+    rows = read_parquet_table(spark, path, "id bigint, v bigint", 95)
+    assert len(rows.inputFiles()) == 10 and sorted((r.sample_idx, r.id) for r in rows.collect()) == [(i, i) for i in range(95)]
+    for n in (0, 10, 2999, 5000):
+        rows = read_parquet_table(spark, path, "id bigint, v bigint", n)
+        assert len(rows.inputFiles()) == min(300, -(-n // 10)) or n == 0
+        assert rows.where("id = sample_idx").count() == rows.count() == min(n, 3000)
+    wanted = spark.createDataFrame([(2999, "a"), (7, "b"), (7, "c"), (1504, "d")], "sample_idx bigint, tag string")
+    found = fetch_rows(spark, path, wanted)
+    assert sorted((r.tag, r.sample_idx, r.id, r.v) for r in found.collect()) == [("a", 2999, 2999, 5998), ("b", 7, 7, 14), ("c", 7, 7, 14), ("d", 1504, 1504, 3008)]
+    assert sum(f.endswith(".parquet") for f in found.inputFiles()) == 3
+    beyond = wanted.union(spark.createDataFrame([(3000, "x"), (-1, "y")], "sample_idx bigint, tag string"))
+    with pytest.raises(PySparkException):
+        fetch_rows(spark, path, beyond).collect()
+    assert fetch_rows(spark, path, beyond, on_missing="drop").count() == 4
+
+
 def test_null_keys_repeat(spark):
     one = spark.createDataFrame([(1,), (None,)], "k long")
     assert sorted(r.pos for r in hashed_position(one, "k").collect()) == [0, 1]
