@@ -229,11 +229,11 @@ def stream_batches(spark, sf_dir):
 
 
 @query("""
-    SELECT user_id % 16 AS worker_id, count(*) AS samples_processed, round(sum(value / 1000), 6) AS busy_time_s FROM events GROUP BY 1
+    SELECT user_id % 16 AS worker_id, count(*) AS samples_processed, count(*) // 32 AS batches_produced, round(sum(value / 1000), 6) AS busy_time_s FROM events GROUP BY 1
 """)
 def stream_counters(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).select((F.col("user_id") % 16).alias("worker_id"), (F.col("value") / 1000).alias("busy_s"))
-    out = streams.run_updates(streams.stream_counters(stream), ("worker_id",))
+    out = streams.run_updates(streams.stream_counters(stream, batch_size=32), ("worker_id",))
     return out.withColumn("busy_time_s", F.round("busy_time_s", 6))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from samplewright.functions.columns import int_div
 from samplewright.session import scratch_path
 
 
@@ -46,6 +47,8 @@ def stream_batches(samples: DataFrame, key: str, batch_size: int, lane: str = "l
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
+    schema = f"{lane} int, batch_id bigint, slot int, {key} bigint"
+    lanes = samples.select(lane, F.col(key).cast("bigint").alias(key)).groupBy(lane)
 
     def assemble(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, next_batch = state.get if state.exists else ([], 0)
@@ -63,17 +66,15 @@ def stream_batches(samples: DataFrame, key: str, batch_size: int, lane: str = "l
                 held, next_batch = held[used:], next_batch + full
         state.update((held, next_batch))
 
-    return samples.select(lane, F.col(key).cast("bigint").alias(key)).groupBy(lane).applyInPandasWithState(
-        assemble, f"{lane} int, batch_id bigint, slot int, {key} bigint",
-        "held array<bigint>, next_batch bigint", "append", GroupStateTimeout.NoTimeout,
-    )
+    return lanes.applyInPandasWithState(assemble, schema, "held array<bigint>, next_batch bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_counters(events: DataFrame, keys: tuple[str, ...] = ("worker_id",), busy: str = "busy_s") -> DataFrame:
-    """Samples and busy time so far per worker."""
-    return events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples_processed"), F.sum(busy).alias("busy_time_s")
-    )
+def stream_counters(events: DataFrame, keys: tuple[str, ...] = ("worker_id",), busy: str = "busy_s",
+                    batch_size: int | None = None) -> DataFrame:
+    """Samples and busy time so far per worker, and with a ``batch_size`` the batches they filled."""
+    counted = F.count(F.lit(1))
+    batches = [int_div(counted, batch_size).alias("batches_produced")] if batch_size else []
+    return events.groupBy(*keys).agg(counted.alias("samples_processed"), *batches, F.sum(busy).alias("busy_time_s"))
 
 
 def run_to_files(stream: DataFrame, path: str | None = None) -> DataFrame:

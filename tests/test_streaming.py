@@ -41,3 +41,28 @@ def test_restart_continues_from_the_state(spark, tmp_path):
 def test_counters(spark, tmp_path):
     out = streams.run_updates(streams.stream_counters(arrivals(spark, str(tmp_path / "in"))), ("worker_id",)).collect()
     assert {(r.worker_id, r.samples_processed, r.busy_time_s) for r in out} == {(w, 250, 125.0) for w in range(4)}
+
+
+def test_counters_with_batches(spark, tmp_path):
+    counted = streams.stream_counters(arrivals(spark, str(tmp_path / "in")), batch_size=60)
+    assert {(r.worker_id, r.samples_processed, r.batches_produced) for r in streams.run_updates(counted, ("worker_id",)).collect()} == {(w, 250, 4) for w in range(4)}
+
+
+def more(spark, path, first, last):
+    spark.range(first, last).select(F.col("id").alias("k"), F.lit(0).cast("bigint").alias("worker_id"), F.lit(0.5).alias("busy_s")).write.mode("append").parquet(path)
+
+
+def test_restart_under_another_shuffle_setting(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream = streams.with_lane(arrivals(spark, path, 1000, 1), "k")
+    streams.run_to_files(streams.stream_batches(stream, "k", 10), out)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        more(spark, path, 1000, 1500)
+        rows = streams.run_to_files(streams.stream_batches(stream, "k", 10), out).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lanes = {r.lane: r.n for r in streams.with_lane(spark.range(1500), "id").groupBy("lane").agg(F.count("*").alias("n")).collect()}
+    assert len({r.k for r in rows}) == len(rows) == sum(n // 10 * 10 for n in lanes.values())
+    assert {(r.lane, r.batch_id) for r in rows} == {(lane, b) for lane, n in lanes.items() for b in range(n // 10)}
