@@ -82,7 +82,7 @@ def class_index(df: DataFrame, label: str = "label", out: str = "class_idx") ->
 def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tuple[str, str]],
                     out: str = "clean_name") -> DataFrame:
     """Short device name: exact map entry, else the first entry contained in the name
-    (ignoring case and spaces), else the name with ``_`` for spaces.
+    (ignoring case and spaces; found by an index of letter triples), else the name with ``_`` for spaces.
 
     ``mapping`` is ``(ord, raw, clean)``, or a sequence of ``(raw, clean)``. Distinct
     names are matched once and joined back.
@@ -98,16 +98,38 @@ def normalise_names(df: DataFrame, name: str, mapping: DataFrame | Sequence[tupl
     # A name the map holds is done; the contains test is left for the others.
     exact = mapping.groupBy(F.col("raw").alias("_name")).agg(F.max_by("clean", "ord").alias("_exact"))
     names = names.join(broadcast_if_small(exact), "_name", "left")
-    entries = broadcast_if_small(mapping.select("ord", "clean", squeezed("raw").alias("_raw")))
-    inside = F.col("_exact").isNull() & F.contains(squeezed("_name"), F.col("_raw"))
-    matched = names.join(entries, inside, "left").groupBy("_name").agg(
-        F.coalesce(F.first("_exact"), F.min_by("clean", "ord")).alias(out)
-    )
+    inside = _contained(names.where("_exact is null").select("_name", squeezed("_name").alias("_text")),
+                        mapping.select("ord", "clean", squeezed("raw").alias("_raw")))
+    found = inside.groupBy("_name").agg(F.min_by("clean", "ord").alias("_inside"))
+    matched = names.join(found, "_name", "left").select("_name", F.coalesce("_exact", "_inside").alias(out))
     cleaned = settled(matched.select("_name", F.coalesce(out, F.replace("_name", F.lit(" "), F.lit("_"))).alias(out)))
     joined = df.join(broadcast_if_small(cleaned), df[name] == cleaned["_name"], "left")
     return joined.select(*[df[c] for c in df.columns], out)
 
 
+def _contained(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """``_name, ord, clean`` of all entries (``ord, clean, _raw``) whose text lies in that of a name (``_name, _text``).
+
+    An index of letter triples: a name holds every triple of an entry within it, so it is enough to look an entry up by
+    the one of its triples that the fewest names have, and to test these names. Shorter entries are their own key.
+    """
+    def grams(text: str, size: int) -> Column:
+        ends = F.sequence(F.lit(1), F.length(text) - (size - 1))
+        own = F.transform(ends, lambda i: F.substring(F.col(text), i, F.lit(size))) if size else F.array(F.lit(""))
+        return F.when(F.length(text) >= size, own).otherwise(F.array().cast("array<string>"))
+
+    entries = entries.where("_raw is not null").withColumn("_size", F.least(F.lit(3), F.length("_raw")))
+    sizes = sorted(r[0] for r in entries.select("_size").distinct().collect())  # four numbers at most
+    if not sizes:
+        return names.select("_name", F.lit(0).alias("ord"), F.lit("").alias("clean")).limit(0)
+    held = names.select("_name", "_text", F.explode(F.array_distinct(F.concat(*[grams("_text", k) for k in sizes]))).alias("_gram"))
+    own = F.coalesce(*[F.when(F.col("_size") == k, grams("_raw", k)) for k in sizes])
+    keyed = entries.select("ord", "clean", "_raw", F.explode(F.array_distinct(own)).alias("_gram"))
+    common = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    rarest = keyed.join(common, "_gram").groupBy("ord", "clean", "_raw").agg(F.count(F.lit(1)).alias("_held"), F.min(F.struct("_names", "_gram"))["_gram"].alias("_gram"))
+    return held.join(broadcast_if_small(settled(rarest)), "_gram").where(F.contains("_text", F.col("_raw"))).select("_name", "ord", "clean")
+
+
 def expected_grid(spark: SparkSession, batch_sizes: Mapping[str, Sequence[int]], models: Sequence[str],
                   optimizers: Sequence[str]) -> DataFrame:
     """Every configuration that should have been measured."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +137,19 @@ def image_file_profile(spark, sf_dir):
     return images.image_profile(folders.read_decoded_folder(spark, _png_folder(spark, sf_dir), ("png",)))
 
 
+@query("""
+    SELECT o_orderkey, doc_id::VARCHAR AS key, lang AS label, md5(text) AS digest
+    FROM orders JOIN documents ON doc_id = o_orderkey % (SELECT 2 * count(*) FROM documents)
+""")
+def keyed_lookup(spark, sf_dir):
+    """Records written to a keyed table, and looked up by a table of keys, half of which it lacks."""
+    docs = table(spark, sf_dir, "documents")
+    name = f"keyed_{uuid.uuid4().hex}"
+    table_sinks.write_keyed(table_sinks.keyed_records(docs, "doc_id", "text", "lang"), name, 16)
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % (2 * docs.count())).cast("string").alias("key"))
+    return table_sinks.read_keyed(spark, name, asked).select("o_orderkey", "key", "label", F.md5("image").alias("digest"))
+
+
 @query(f"""
     SELECT pos, pos // 64 AS batch_id, o_orderkey FROM ({positions_sql('orders', 'o_orderkey', 42, 'o_orderkey')})
     WHERE pos // 64 < n // 64

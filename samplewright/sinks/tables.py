@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +39,28 @@ def write_keyed(df: DataFrame, table: str, buckets: int = 64, mode: str = "error
     df.write.mode(mode).format("parquet").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
 
 
+def bucket_count(spark: SparkSession, table: str) -> int:
+    """Buckets of a keyed table."""
+    described = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    if described is None:
+        raise ValueError(f"{table} has no buckets")
+    return int(described.data_type)
+
+
+def read_keyed(spark: SparkSession, table: str, keys: Sequence[str] | DataFrame) -> DataFrame:
+    """Records of a keyed table by key; keys it does not have give no row.
+
+    A list of keys opens only the buckets they belong to. A table with a column ``key`` is dealt like the buckets, so the
+    records are not shuffled; each of its rows gets its record, repeated keys too.
+    """
+    store = spark.table(table)
+    if isinstance(keys, DataFrame):
+        asked = keys.repartition(bucket_count(spark, table), "key")
+        # sorted buckets meet sorted keys
+        return asked.join(store.hint("merge"), "key")
+    return store.where(F.col("key").isin(list(keys)))
+
+
 def write_run_summary(df: DataFrame, path: str, mode: str = "error") -> None:
     """Nested summaries as JSON, one directory per run configuration."""
     df.write.mode(mode).partitionBy("num_workers", "batch_size", "chunk_size").json(path)

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -165,6 +167,28 @@ def test_keyed_table(spark):
     assert asked.join(back, "key").count() == 2
 
 
+def test_keyed_lookups_stay_in_their_buckets(spark):
+    from tests.test_plans import plan_of
+
+    table_sinks.write_keyed(table_sinks.keyed_records(blobs(spark, 50)), "keyed_plan", 8, mode="overwrite")
+    asked = spark.createDataFrame([("3", 1), ("3", 2), ("49", 3), ("50", 4), (None, 5)], "key string, tag int")
+    joined = table_sinks.read_keyed(spark, "keyed_plan", asked)
+    assert sorted((r.key, r.tag, bytes(r.image)) for r in joined.collect()) == [("3", 1, b"3" * 5), ("3", 2, b"3" * 5), ("49", 3, b"49" * 5)]
+    text = plan_of(table_sinks.read_keyed(spark, "keyed_plan", asked))
+    # one exchange, of the keys; the store's side is read bucket by bucket
+    assert len(re.findall(r"\bExchange ", text)) == 1 and "Bucketed: true" in text[text.rindex("FileScan"):] and "SortMergeJoin" in text
+    assert table_sinks.read_keyed(spark, "keyed_plan", ["13", "none"]).select("key").collect() == [("13",)]
+    (held,) = (r[0] for r in table_sinks.read_keyed(spark, "keyed_plan", ["13"]).select(F.input_file_name()).collect())
+    others = [f for f in spark.table("keyed_plan").inputFiles() if f.rsplit("/", 1)[1] != held.rsplit("/", 1)[1]]
+    for file in others:  # a bucket that a key does not belong to is not opened
+        Path(re.sub("^file:/*", "/", file)).write_bytes(b"")
+    spark.catalog.refreshTable("keyed_plan")
+    assert len(others) >= 7 and bytes(table_sinks.read_keyed(spark, "keyed_plan", ["13"]).first().image) == b"13" * 5
+    with pytest.raises(ValueError):
+        spark.range(3).write.mode("overwrite").saveAsTable("not_keyed")
+        table_sinks.bucket_count(spark, "not_keyed")
+
+
 def test_run_files(spark, tmp_path):
     header = "model,batch_size,optimizer,gpu,gpu_mem_gb,num_batches_completed,mean_ms,std_ms,median_ms,min_ms,max_ms,throughput_img_s\n"
     good = "resnet50,256,sgd,NVIDIA L40S,48.0,200,444.45,0.25,444.4,443.0,446.0,576.0\n"

@@ -120,3 +120,26 @@ def test_scalars(spark):
                     C.step_lr(F.lit(65), 0.1, 30, 0.1).alias("lr")).first()
     assert (row.ms, row.r, row.p, row.z, row.s, row.k) == (12.0, 2.0, 100.0, 0.0, 0.0, 1.5)
     assert row.lr == pytest.approx(0.001)
+
+
+def test_names_are_matched_without_a_nested_loop(spark):
+    import random
+
+    from tests.test_plans import plan_of
+
+    rng = random.Random(6)
+    names = {"".join(rng.choices("abAB ", k=rng.randint(0, 12))) for _ in range(150)} | {"", " ", "aa", "É b"}
+    mapping = [("".join(rng.choices("abA ", k=rng.randint(1, 5))), f"m{i}") for i in range(25)] + [("É", "e"), ("a" * 40, "long")]
+    df = spark.createDataFrame([(n,) for n in sorted(names)] + [(None,)], "name string")
+    found = lookup.normalise_names(df, "name", mapping)
+
+    def plain(name):
+        exact = [clean for raw, clean in mapping if raw == name]
+        inside = [clean for raw, clean in mapping if raw.lower().replace(" ", "") in name.lower().replace(" ", "")]
+        return exact[-1] if exact else inside[0] if inside else name.replace(" ", "_")
+
+    assert {r.name: r.clean_name for r in found.collect()} == {n: plain(n) for n in names} | {None: None}
+    held = spark.createDataFrame([(n, n.lower()) for n in names], "_name string, _text string")
+    entries = spark.createDataFrame([(i, clean, raw.lower()) for i, (raw, clean) in enumerate(mapping)], "ord int, clean string, _raw string")
+    assert "NestedLoop" not in plan_of(lookup._contained(held, entries)) and "Cartesian" not in plan_of(lookup._contained(held, entries))
+    assert lookup.normalise_names(df, "name", spark.createDataFrame([], "ord int, raw string, clean string")).where("clean_name is null").count() == 1
