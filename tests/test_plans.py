@@ -73,7 +73,7 @@ def test_running_has_no_group_wide_row_window(spark):
     assert carried.index("HashAggregate") < carried.index("FileScan")
 
 
-@pytest.mark.parametrize("name", ["coverage_gap", "config_filter"])
+@pytest.mark.parametrize("name", ["config_filter"])
 def test_filters_reach_the_scan(spark, name):
     assert re.search(r"PushedFilters: \[[^\]]*(GreaterThan|EqualTo)", plan_of(registered.queries()[name](spark, SF_DIR)))
 
