@@ -56,6 +56,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and host: a plain one belongs to the default file system of the cluster.
+
+    Tasks write below it on their own machines, so on a cluster a plain path that means the local disk raises, unless it
+    lies in the shared checkpoint folder. A path with ``file:`` is taken at its word, as a mount that all machines have.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    local = full.startswith("file:") and not path.startswith("file:")
+    if local and not spark.sparkContext.master.startswith("local") and not path.startswith(checkpoint_dir(spark)):
+        raise ValueError(f"{path} is on each machine's own disk; name a folder all executors share")
+    return full
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/samplewright/{uuid.uuid4().hex}/{name}"

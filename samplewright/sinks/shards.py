@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions.columns import int_div
 from samplewright.operators.series import byte_offsets
+from samplewright.session import qualified
 from samplewright.sinks.files import replacing
 
 _REPORT = "shard_id bigint, path string, records bigint, bytes bigint"
@@ -135,6 +136,7 @@ def write_shards(df: DataFrame, root: str, idx: str, payload: str, max_shard_siz
     """Write ``<root>/<shard>/data.bin`` and ``offsets.npy``; returns one report row per shard (lazy: run it)."""
     if df.schema[payload].dataType.simpleString() != "binary":
         raise TypeError("payload must be bytes")
+    root = qualified(df.sparkSession, root)
     rows = df.select(
         int_div(F.col(idx), max_shard_size).alias("shard_id"), F.col(idx).alias("_order"), F.col(payload).alias("payload")
     )
@@ -146,6 +148,7 @@ def write_archives(df: DataFrame, root: str, kind: str, idx: str, payload: str =
     """Write ``<root>/<shard>.zip`` (stored) or ``.tar`` with members ``label/filename``."""
     if kind not in ("zip", "tar"):
         raise ValueError(f"unknown archive kind {kind!r}")
+    root = qualified(df.sparkSession, root)
     rows = df.select(
         int_div(F.col(idx), max_members).alias("shard_id"), F.col(idx).alias("_order"),
         "label", "filename", F.col(payload).alias("payload"),
@@ -155,6 +158,8 @@ def write_archives(df: DataFrame, root: str, kind: str, idx: str, payload: str =
 
 def write_class_folder(df: DataFrame, root: str, payload: str = "image") -> DataFrame:
     """Write every row as ``<root>/<label>/<filename>``; returns the number of files per task (lazy: run it)."""
+    root = qualified(df.sparkSession, root)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         written = 0
         for frame in frames:

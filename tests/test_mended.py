@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from samplewright.operators.images import batch_tensors, eval_crop, raw_decoder, tensor_values
 from samplewright.operators.rank import hashed_position
-from samplewright.session import is_small
+from samplewright.session import is_small, qualified
 from samplewright.sinks.tables import storage_overhead
 from samplewright.sources.archives import read_archive
 from samplewright.sources.ranges import known_scheme
@@ -56,6 +57,21 @@ def test_a_prefix_opens_only_its_files(spark, tmp_path):
     assert fetch_rows(spark, path, beyond, on_missing="drop").count() == 4
 
 
+def test_plain_paths_belong_to_the_default_file_system(spark, tmp_path):
+    class Cluster:
+        sparkContext = SimpleNamespace(master="spark://m:7077", getCheckpointDir=lambda: "hdfs://x/c", setCheckpointDir=print)
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    assert qualified(spark, f"{tmp_path}/a b") == f"file:{tmp_path}/a b"
+    with pytest.raises(ValueError):
+        qualified(Cluster(), f"{tmp_path}/a")
+    assert qualified(Cluster(), f"file:{tmp_path}/a") == f"file:{tmp_path}/a"
+    below = spark.conf.get("spark.checkpoint.dir") + "/shards"
+    assert qualified(Cluster(), below).endswith(below.removeprefix("file:"))
+
+
 def test_null_keys_repeat(spark):
     one = spark.createDataFrame([(1,), (None,)], "k long")
     assert sorted(r.pos for r in hashed_position(one, "k").collect()) == [0, 1]
