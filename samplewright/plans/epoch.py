@@ -76,12 +76,12 @@ class EpochPlan:
         return self._batched(self._laid_out(samples, keep_part=True)), ["_part"]
 
     def collated(self, samples: DataFrame, tensor: str | None, label: str, scale: bool = True,
-                 parse_labels: bool = True) -> DataFrame:
+                 parse_labels: bool = True, dtype: str = "double") -> DataFrame:
         """One row per batch. The samples are shuffled once: the partitions of the
         shuffle begin and end at batch borders."""
         narrow = samples.select(*dict.fromkeys([self.key, *([tensor] if tensor else []), label]))
         placed, within = self._grouped(narrow)
-        return gather.collate(placed, tensor, label, scale, within=within, parse_labels=parse_labels)
+        return gather.collate(placed, tensor, label, scale, within=within, parse_labels=parse_labels, dtype=dtype)
 
     def collated_images(self, samples: DataFrame, label: str = "label", decoder: Callable | None = None,
                         decoder_columns: Sequence[str] = ("image",), parse_labels: bool = True,

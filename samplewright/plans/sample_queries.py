@@ -343,6 +343,13 @@ def collate_tensors(spark, sf_dir):
     return pixels.withColumn("value", F.round("value", 12))
 
 
+@query(_PIXELS_SQL.replace("round(VALUE, 12)", "(x / 255.0)::FLOAT"))
+def collate_float32(spark, sf_dir):
+    """Batches of single precision, as a training step takes them."""
+    plan = EpochPlan("vec_id", 64, drop_last=False)
+    return _pixels(plan.collated(table(spark, sf_dir, "embeddings"), "embedding", "label", dtype="float"))
+
+
 @query(_PIXELS_SQL.replace("VALUE", "x"))
 def collate_raw(spark, sf_dir):
     plan = EpochPlan("vec_id", 64, drop_last=False)
