@@ -152,6 +152,35 @@ def test_one_archive_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
     assert parts > 4 and read.count() == 200
 
 
+@pytest.mark.parametrize("form", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT, tarfile.USTAR_FORMAT])
+def test_a_long_tar_is_listed_by_ranges(spark, tmp_path, monkeypatch, form):
+    """Members that are tar archives themselves, long names and members longer than a range do not mislead the walks."""
+    inner = io.BytesIO()
+    with tarfile.open(fileobj=inner, mode="w", format=form) as archive:
+        for i in range(12):
+            info = tarfile.TarInfo(f"fake/{i}.jpg")
+            info.size = 600
+            archive.addfile(info, io.BytesIO(bytes([i]) * 600))
+    long_name = "x" * (90 if form == tarfile.USTAR_FORMAT else 180)
+    with tarfile.open(tmp_path / "a.tar", "w", format=form) as archive:
+        for i in range(60):
+            data = inner.getvalue() if i % 7 == 3 else b"y" * (5 * i) if i % 11 else b"z" * 9000
+            info = tarfile.TarInfo(f"c{i % 3}/{i}{long_name if i % 5 == 0 else ''}.jpg")
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    (tmp_path / "b.tar").write_bytes(inner.getvalue())
+
+    def listed():
+        rows = archives.list_archives(spark, str(tmp_path / "*.tar"), "tar").collect()
+        return sorted((r.path, r.member, r.start, r.length, r.label) for r in rows)
+
+    wanted = listed()
+    assert len(wanted) == 72
+    for step in (1024, 2560, 30_000):
+        monkeypatch.setattr(archives, "RANGE_BYTES", step)
+        assert listed() == wanted
+
+
 def test_storage_overhead(spark):
     packed = spark.createDataFrame([("zip", 1048576 * 3)], "container string, length bigint")
     raw = spark.createDataFrame([("zip", 1048576), ("zip", 1048576)], "container string, length bigint")
