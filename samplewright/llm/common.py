@@ -50,6 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now and not at its next periodic collection.
+
+    Spark gives them back when the driver collects the plans that made them. Results of these steps are written tables, so
+    nothing needs the files again, also when an executor is lost.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 def text_of(docs: DataFrame, column: str = "text"):
     """The text column with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, slabs, text_of, utf8, written
+from samplewright.llm.common import bounded_batches, discard, release_shuffles, slabs, text_of, utf8, written
 from samplewright.llm.components import components
 from samplewright.llm.words import distinct_sets, lowered, mix, shingle_hashes, word_bounds, word_hashes
+from samplewright.session import broadcast_if_small, scratch_path
 
 WIDTH = 5
 PERCENT = 75
@@ -41,6 +42,8 @@ SLACK = 6.0
 PAIRED = 24
 BLOCK = 512
 STRIP = 64
+# Rows of one key that stay together in a join; a key with more is dealt to several tasks.
+HOT = 256
 # Shingles sketched in one step.
 STEP = 1 << 17
 
@@ -151,6 +154,22 @@ def band_keys(distinct: DataFrame) -> DataFrame:
         F.xxhash64("band", "piece").alias("key"), "id")
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, size: str) -> DataFrame:
+    """Rows (``key, id``) joined with what is known of their keys, ``size`` being the number of a key's rows.
+
+    The rows of a key with many of them are dealt to as many tasks as they take, and its facts to each of these.
+    """
+    facts = written(facts, "facts")
+    hot = written(facts.where(F.col(size) > HOT).select("key", F.ceil(F.col(size) / HOT).cast("int").alias("salts")), "hot")
+    if hot.isEmpty():
+        return rows.join(facts, "key")
+    hot = broadcast_if_small(hot)
+    cold = rows.join(hot, "key", "left_anti").join(facts, "key")
+    salted = rows.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    copied = facts.join(hot, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.union(salted.join(copied, ["key", "salt"]).select(*cold.columns))
+
+
 def likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``a, b, score`` of the pairs whose estimate does not rule a link out."""
     head = F.expr(f"substring(registers, 1, {2 * ESTIMATE})")
@@ -260,17 +279,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one document with several texts: each row is returned, all with the component of the id. A row with a null id is
     linked with nothing, has a null component and is kept. An empty table gives no rows.
     """
-    drawn = written(sketches(docs), "sketches")
-    marks = drawn.where("n > 0 and doc_id is not null")
-    distinct = written(marks.groupBy("h1", "h2", "n").agg(
+    spark = docs.sparkSession
+    wide = scratch_path(spark, "sketches")
+    sketches(docs).write.parquet(wide)
+    drawn = spark.read.parquet(wide)
+    distinct = written(drawn.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("id"), F.first("registers").alias("registers")).select("id", "n", "h1", "h2", "registers"), "distinct")
+    drawn = written(drawn.drop("registers"), "drawn")
+    # registers are kept once for each different text
+    discard(spark, wide)
+    release_shuffles(spark)
+    marks = drawn.where("n > 0 and doc_id is not null")
 
     keys = band_keys(distinct)
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    members = written(keys.join(shared, "key"), "members")
+    members = written(with_facts(keys, shared, "members"), "members")
+    release_shuffles(spark)
     pairs = members.where("id <> lo").select(*_ordered("id", "lo")).union(
         members.where("id <> hi and id <> lo").select(*_ordered("id", "hi"))).distinct()
     pairs = written(likely(pairs, distinct), "pairs")
+    release_shuffles(spark)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi")).where(F.size("shingles") > 0).distinct(), "sets")
@@ -283,15 +311,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The likeliest partner of each document first, then the other pairs that are still apart.
     best = pairs.groupBy("a").agg(F.max_by("b", "score").alias("b"))
     links = written(confirmed(best, sets).union(same), "links")
+    release_shuffles(spark)
     labels = written(components(links), "labels")
     rest = written(_apart(pairs.join(best, ["a", "b"], "left_anti"), labels), "rest")
+    release_shuffles(spark)
     labels = written(components(confirmed(rest, sets), labels), "labels")
+    release_shuffles(spark)
 
     # Buckets of four and more whose inner members (all but lo and hi, which were compared with all) are in several components.
     inner = members.where("members > 3 and id <> lo and id <> hi").select("key", "id").join(
         labels.toDF("id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     mixed = inner.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.count("*").alias("inside")).where("c_lo < c_hi")
-    inner = written(inner.join(mixed.select("key", "inside"), "key"), "inner")
+    inner = written(with_facts(inner, mixed.select("key", "inside"), "inside"), "inner")
+    release_shuffles(spark)
     few = inner.where(F.col("inside") <= PAIRED)
     left, right = few.toDF("key", "x", "c_x", "inside"), few.toDF("key", "y", "c_y", "inside")
     across = left.join(right, "key").where("x > y and c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

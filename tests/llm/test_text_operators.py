@@ -538,3 +538,12 @@ def test_word_hashes_depend_on_words_only():
     assert found == [b"alpha", b"beta", b"alpha", b"beta", b"x" * 3000, b"alpha"] and first.tolist() == [0, 3, 4, 4, 6]
     hashes = words.word_hashes(data, starts, ends)
     assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[2] == hashes[5]
+
+
+def test_hot_keys_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 10)
+    rows = spark.range(400).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).cast("long").alias("key"), "id")
+    facts = rows.groupBy("key").agg(F.min("id").alias("lo"), F.count("*").alias("members")).where("members > 1 or key % 2 = 0")
+    joined = near_dup.with_facts(rows, facts, "members")
+    assert sorted(map(tuple, joined.collect())) == sorted((7, i, 0, 300) if i < 300 else (i, i, i, 1) for i in range(400) if i < 300 or i % 2 == 0)
+    assert near_dup.with_facts(rows, facts.where("key > 300"), "members").count() == 50 - 1
