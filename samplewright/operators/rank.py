@@ -23,7 +23,7 @@ from pyspark.sql.types import DataType, DoubleType, IntegralType
 
 from samplewright.functions.columns import hash_hex, hex_number, int_div
 from samplewright.functions.fixed import DEFAULT_SEED
-from samplewright.session import broadcast_if_small, checkpoint_dir, kept, row_bytes, same_keys, settled
+from samplewright.session import BROADCAST_ROWS, broadcast_if_small, checkpoint_dir, kept, row_bytes, same_keys, settled
 
 BUCKET = "_bucket"
 MAX_DIGITS = 5
@@ -149,25 +149,30 @@ def _with_cuts(hashes: DataFrame, keys: list[str], starts: DataFrame, borders: D
     upward = Window.orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     # borders and buckets are both counted in advance: at most 16^5 buckets, one border per partition
     held = at.withColumn(BUCKET, F.last(BUCKET, True).over(upward)).where("_kind = 1").select("_pos", BUCKET)
-    held = settled(held.join(F.broadcast(starts), BUCKET).select(BUCKET, "_pos", (F.col("_pos") - F.col("_start")).alias("_left"), "_n", F.lit("").alias("_prefix")))
+    held = held.join(F.broadcast(starts), BUCKET).select(BUCKET, "_pos", (F.col("_pos") - F.col("_start")).alias("_left"), "_n", F.lit("").alias("_prefix"))
+    count, most = held.agg(F.count(F.lit(1)), F.max(F.when(F.col("_left") > 0, F.col("_n")))).first()
     open_, digits = held.where("_left > 0"), 0
-    while digits < 32 and (most := open_.agg(F.max("_n")).first()[0]) and most > RANKED_ROWS:
+
+    def sent(nodes: DataFrame) -> DataFrame:
+        return F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes
+
+    while digits < 32 and most and most > RANKED_ROWS:
         digits += 6
-        nodes = hashes.join(broadcast_if_small(open_), BUCKET).where(F.col("_hash").startswith(F.col("_prefix")))
+        nodes = hashes.join(sent(open_), BUCKET).where(F.col("_hash").startswith(F.col("_prefix")))
         nodes = nodes.groupBy(BUCKET, "_pos", "_left", F.substring("_hash", 1, digits).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
         so_far = Window.partitionBy(BUCKET, "_pos").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
         nodes = nodes.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
         open_ = settled(nodes.where("_before <= _left and _left < _before + _n").select(
             BUCKET, "_pos", (F.col("_left") - F.col("_before")).alias("_left"), "_n", "_prefix"))
-    few = hashes.join(broadcast_if_small(open_), BUCKET).where(F.col("_hash").startswith(F.col("_prefix")))
+        most = open_.agg(F.max("_n")).first()[0]
+    few = hashes.join(sent(open_), BUCKET).where(F.col("_hash").startswith(F.col("_prefix")))
     place = F.row_number().over(Window.partitionBy(BUCKET, "_pos").orderBy("_hash", *keys)) - 1
     inner = few.withColumn("_place", place).where("_place = _left").select(BUCKET, "_pos", "_hash")
     cuts = settled(held.where("_left = 0").select(BUCKET, "_pos", F.lit("").alias("_hash")).union(inner).groupBy(BUCKET).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_hash").alias("hash")))).alias("_cuts")))
-    number = cuts.agg(F.coalesce(F.sum(F.size("_cuts")), F.lit(0))).first()[0] + 1
     joined = starts.join(F.broadcast(cuts), BUCKET, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("_parts_before", F.coalesce(F.sum(F.size("_cuts")).over(before), F.lit(0))), number
+    return joined.withColumn("_parts_before", F.coalesce(F.sum(F.size("_cuts")).over(before), F.lit(0))), count + 1
 
 
 def _ranked(hashed: DataFrame, inside: list[str], keys: list[str]) -> DataFrame:
