@@ -1,12 +1,17 @@
-"""Toxicity: a convolutional text classifier trained in numpy, its thresholds calibrated by language.
+"""Toxicity: a convolutional text classifier fitted on all labelled texts, its thresholds calibrated by language.
 
 Words are embedded as the sum of hashed vectors for the word and its beginnings. Filters of several widths run over the
 word sequence, each filter's maximum over the text feeds a logistic layer. Only the places of the maxima have gradients.
 The language is guessed from the text's function words; each language has a threshold of its own, which is moved to 0.5.
+
+One task fits a first network on some texts. From there on all labelled texts count: those to fit on are dealt to shards,
+each shard goes on from the common network in a task of its own, and Spark adds up what the shards changed; the thresholds
+are those with the fewest errors on all labelled texts kept back from fitting.
 """
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, slabs, text_of, utf8
-from samplewright.llm.quality import fold, labelled
+from samplewright.llm.common import bounded_batches, discard, release_shuffles, slabs, text_of, utf8, written
+from samplewright.llm.quality import fold
 from samplewright.llm.words import lowered, word_bounds, word_hashes
+from samplewright.operators.rank import running
+from samplewright.session import broadcast_if_small, scratch_path
 
-# The model is fitted on at most so many toxic and other labelled texts (smallest hash of the id first), none of them
-# longer than SAMPLE_CHARS. Scoring reads whole texts of any length.
+# The first network is fitted on at most so many toxic and other labelled texts (smallest hash first), none of them longer
+# than SAMPLE_CHARS. The passes after it, the thresholds and the scores read all texts, whole and of any length.
 TOXIC_ROWS = 4_000
 OTHER_ROWS = 8_000
 SAMPLE_CHARS = 20_000
@@ -36,6 +43,16 @@ BATCH = 64
 RATE = 0.1
 HIDDEN = 0.6
 
+# Passes over all texts to fit on, rows and bytes of text of a shard, and the share of the texts kept back for the thresholds.
+PASSES = 2
+SHARD_ROWS = 8_192
+SHARD_BYTES = 32 << 20
+KEPT_BACK = 5
+# Changes are added up as integers, so that their order does not matter.
+UNIT = 2.0 ** 32
+# A language with fewer texts of either kind takes the common threshold.
+LEAST = 20
+
 # Frequent function words by language (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in is that it was for on with as be at by this from or are",
@@ -188,109 +205,125 @@ class Sample:
         return Tokens(self.rows[self.words[place]], first, self.language[chosen])
 
 
-def train(sample: Sample, label: np.ndarray, updates: int = UPDATES, seed: int = 7) -> Network:
-    """Fit on four fifths of the texts with Adagrad; calibrate the thresholds on the rest and on what the fit has seen."""
+@dataclass
+class Learner:
+    """A network being fitted with Adagrad and the sums of its squared gradients."""
+
+    net: Network
+    past: dict
+
+    @staticmethod
+    def of(net: Network) -> Learner:
+        return Learner(net, {"table": np.full(len(net.table), 1e-2, np.float32), "bias": np.full_like(net.bias, 1e-2), "out": np.full_like(net.out, 1e-2),
+                             "offset": 1e-2, **{w: np.full_like(f, 1e-2) for w, f in net.filters.items()}})
+
+    def update(self, part: Tokens, label: np.ndarray, weight: np.ndarray) -> None:
+        """One step along the gradient of some texts, the weights of their errors given."""
+        net, past, rate = self.net, self.past, RATE
+        top, where = net.pooled(part.rows, part.first, places=True)
+        hidden = np.maximum(top + net.bias, 0)
+        raw = hidden @ net.out + net.offset
+        error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) * weight).astype(np.float32)
+        back = (error[:, None] * net.out) * (hidden > 0)
+        for name, grad in (("out", hidden.T @ error + 1e-4 * net.out), ("bias", back.sum(axis=0))):
+            past[name] += grad ** 2
+            setattr(net, name, getattr(net, name) - rate * grad / np.sqrt(past[name]))
+        past["offset"] += float(error.sum()) ** 2
+        net.offset -= rate * float(error.sum()) / past["offset"] ** 0.5
+        grads: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, width in enumerate(WIDTHS):
+            columns = slice(i * FILTERS, (i + 1) * FILTERS)
+            text, column = np.nonzero((where[:, columns] >= 0) & (back[:, columns] != 0))
+            at, slope = where[:, columns][text, column], back[:, columns][text, column]
+            grad = np.zeros_like(net.filters[width])
+            for k in range(width):
+                ok = at + k < part.first[1:][text]
+                rows, f, s = part.rows[at[ok] + k], column[ok], slope[ok]
+                vectors = net.table[rows].sum(axis=1)
+                by_filter = np.zeros((FILTERS, SIZE), dtype=np.float32)
+                np.add.at(by_filter, f, s[:, None] * vectors)
+                grad[k] = by_filter.T
+                to_words = s[:, None] * net.filters[width][k][:, f].T
+                grads.append((rows.ravel(), np.repeat(to_words, rows.shape[1], axis=0)))
+            past[width] += grad ** 2
+            net.filters[width] = net.filters[width] - rate * grad / np.sqrt(past[width])
+        rows, slopes = (np.concatenate(x) for x in zip(*grads))
+        slopes, rows = slopes[rows < 1 << BITS], rows[rows < 1 << BITS]
+        names, inverse = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(names), SIZE), dtype=np.float32)
+        np.add.at(total, inverse, slopes)
+        past["table"][names] += (total ** 2).mean(axis=1)
+        net.table[names] -= rate * total / np.sqrt(past["table"][names])[:, None]
+
+    def pieces(self) -> np.ndarray:
+        """All numbers as rows of ``SIZE + 1``: the embedding table's first, then what is dense."""
+        net, past = self.net, self.past
+        dense = [net.bias, net.out, [net.offset], *[net.filters[w].ravel() for w in WIDTHS],
+                 past["bias"], past["out"], [past["offset"]], *[past[w].ravel() for w in WIDTHS]]
+        flat = np.concatenate([np.asarray(x, dtype=np.float64) for x in dense])
+        flat = np.concatenate([flat, np.zeros(-len(flat) % (SIZE + 1))])
+        return np.concatenate([np.column_stack([net.table, past["table"]]).astype(np.float64), flat.reshape(-1, SIZE + 1)])
+
+    def with_pieces(self, pieces: np.ndarray) -> Learner:
+        """A learner with the numbers of ``pieces``."""
+        rows, flat = pieces[:len(self.net.table)], pieces[len(self.net.table):].ravel()
+        net, past, at = Network(**vars(self.net)), dict(self.past), 0
+
+        def taken(like: np.ndarray) -> np.ndarray:
+            nonlocal at
+            at += like.size
+            return flat[at - like.size:at].reshape(like.shape).astype(np.float32)
+
+        net.table, past["table"] = rows[:, :SIZE].astype(np.float32), rows[:, SIZE].astype(np.float32)
+        net.bias, net.out, net.offset = taken(net.bias), taken(net.out), float(taken(np.zeros(1))[0])
+        net.filters = {w: taken(net.filters[w]) for w in WIDTHS}
+        past["bias"], past["out"], past["offset"] = taken(past["bias"]), taken(past["out"]), float(taken(np.zeros(1))[0])
+        return Learner(net, past | {w: taken(past[w]) for w in WIDTHS})
+
+
+def _hidden(part: Tokens, random: np.random.Generator) -> Tokens:
+    """Words are left out at random, or a few frequent toxic words would explain all texts and others stay unlearned."""
+    seen = random.random(len(part.rows)) >= HIDDEN
+    return Tokens(part.rows[seen], np.concatenate([[0], np.cumsum(seen)])[part.first], part.language)
+
+
+def begun(sample: Sample, label: np.ndarray, updates: int = UPDATES, seed: int = 7) -> Learner:
+    """A network fitted on some texts in one task."""
     net = Network.new(seed)
+    learner = Learner.of(net)
     n = len(label)
     if n == 0 or label.min() == label.max():
         net.out[:] = 0
         net.offset = 0.0 if n == 0 else (4.0 if label[0] else -4.0)
-        return net
+        return learner
     random = np.random.default_rng(seed)
-    order = random.permutation(n)
-    fitted = order[n // 5:]
-    epochs = int(np.clip(np.ceil(updates * BATCH / len(fitted)), 8, 60))
+    fitted = np.arange(n)
+    epochs = int(np.clip(np.ceil(updates * BATCH / n), 8, 60))
     weight = np.where(label == 1, n / (2 * label.sum()), n / (2 * (n - label.sum())))
-    past = {"table": np.full(len(net.table), 1e-2, np.float32), "bias": np.full_like(net.bias, 1e-2), "out": np.full_like(net.out, 1e-2),
-            "offset": 1e-2, **{w: np.full_like(f, 1e-2) for w, f in net.filters.items()}}
-    rate = RATE
     for epoch in range(epochs):
         fitted = random.permutation(fitted)
-        for first in range(0, len(fitted), BATCH):
+        for first in range(0, n, BATCH):
             chosen = fitted[first:first + BATCH]
             part = sample.texts(chosen)
-            if epoch < epochs - 1:
-                # words are left out at random, or a few frequent toxic words would explain all texts and others stay unlearned
-                seen = random.random(len(part.rows)) >= HIDDEN
-                part = Tokens(part.rows[seen], np.concatenate([[0], np.cumsum(seen)])[part.first], part.language)
-            top, where = net.pooled(part.rows, part.first, places=True)
-            hidden = np.maximum(top + net.bias, 0)
-            raw = hidden @ net.out + net.offset
-            error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
-            back = (error[:, None] * net.out) * (hidden > 0)
-            for name, grad in (("out", hidden.T @ error + 1e-4 * net.out), ("bias", back.sum(axis=0))):
-                past[name] += grad ** 2
-                setattr(net, name, getattr(net, name) - rate * grad / np.sqrt(past[name]))
-            past["offset"] += float(error.sum()) ** 2
-            net.offset -= rate * float(error.sum()) / past["offset"] ** 0.5
-            grads: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, width in enumerate(WIDTHS):
-                columns = slice(i * FILTERS, (i + 1) * FILTERS)
-                text, column = np.nonzero((where[:, columns] >= 0) & (back[:, columns] != 0))
-                at, slope = where[:, columns][text, column], back[:, columns][text, column]
-                grad = np.zeros_like(net.filters[width])
-                for k in range(width):
-                    ok = at + k < part.first[1:][text]
-                    rows, f, s = part.rows[at[ok] + k], column[ok], slope[ok]
-                    vectors = net.table[rows].sum(axis=1)
-                    by_filter = np.zeros((FILTERS, SIZE), dtype=np.float32)
-                    np.add.at(by_filter, f, s[:, None] * vectors)
-                    grad[k] = by_filter.T
-                    to_words = s[:, None] * net.filters[width][k][:, f].T
-                    grads.append((rows.ravel(), np.repeat(to_words, rows.shape[1], axis=0)))
-                past[width] += grad ** 2
-                net.filters[width] = net.filters[width] - rate * grad / np.sqrt(past[width])
-            rows, slopes = (np.concatenate(x) for x in zip(*grads))
-            slopes, rows = slopes[rows < 1 << BITS], rows[rows < 1 << BITS]
-            names, inverse = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(names), SIZE), dtype=np.float32)
-            np.add.at(total, inverse, slopes)
-            past["table"][names] += (total ** 2).mean(axis=1)
-            net.table[names] -= rate * total / np.sqrt(past["table"][names])[:, None]
-    _calibrate(net, sample, label, order[: n // 5])
-    return net
+            learner.update(_hidden(part, random) if epoch < epochs - 1 else part, label[chosen], weight[chosen] / len(chosen))
+    return learner
 
 
-def _calibrate(net: Network, sample: Sample, label: np.ndarray, held: np.ndarray) -> None:
-    """Threshold with the fewest weighted errors on texts not fitted; a language with few of either kind takes the common one."""
-    raw = np.concatenate([net.raw(sample.texts(held[k:k + BATCH])) for k in range(0, len(held), BATCH)] or [np.zeros(0)])
-    languages = sample.language[held]
-
-    def best(chosen: np.ndarray) -> float:
-        value, truth = raw[chosen], label[held][chosen]
-        order = np.argsort(value, kind="stable")
-        value, truth = value[order], truth[order]
-        # errors of a threshold just below each value: toxic texts under it, others from it on
-        cut = np.concatenate([[-np.inf], (value[1:] + value[:-1]) / 2, [np.inf]])
-        missed = np.concatenate([[0], np.cumsum(truth)])
-        false = np.concatenate([[0], np.cumsum(1 - truth)])[-1] - np.concatenate([[0], np.cumsum(1 - truth)])
-        wrong = missed + false
-        good = np.flatnonzero(wrong == wrong.min())
-        middle = cut[good[len(good) // 2]]
-        if len(good) == 1 and np.isfinite(middle):
-            return float(middle)
-        low, high = value[max(good[0] - 1, 0)], value[min(good[-1], len(value) - 1)]
-        return float((low + high) / 2)
-
-    everywhere = np.ones(len(held), dtype=bool)
-    common = best(everywhere) if 0 < label[held].sum() < len(held) else 0.0
-    for k in range(len(LANGUAGES)):
-        own = languages == k
-        toxic = label[held][own].sum()
-        net.threshold[k] = best(own) if toxic >= 20 and own.sum() - toxic >= 20 else common
+def train(sample: Sample, label: np.ndarray, updates: int = UPDATES, seed: int = 7) -> Network:
+    """A network fitted on some texts, its thresholds not moved."""
+    return begun(sample, label, updates, seed).net
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Network:
-    """A network fitted on a bounded sample of the labelled texts that satisfy ``keep`` (a condition on ``doc_id``).
-
-    One task fits it; only the network comes to the driver.
-    """
-    column = F.col("toxic").cast("int")
-    chosen = labelled(labels.where(column == 1), "toxic", keep, toxic_rows).union(labelled(labels.where(column == 0), "toxic", keep, other_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    # the sample's rows and their lengths are bounded, so it may be sent to all tasks and its texts to one
-    drawn = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(
-        toxic_rows + other_rows).select("text", "label").coalesce(1)
+def _first(rows: DataFrame, toxic_rows: int, other_rows: int) -> Learner:
+    """The learner that the passes start from; one task fits it, and only its numbers come to the driver."""
+    short = rows.where(F.length("text") <= SAMPLE_CHARS)
+    chosen = F.lit(False)
+    for label, most in ((1, toxic_rows), (0, other_rows)):
+        last = short.where(F.col("label") == label).select("place").orderBy("place").limit(most).agg(F.max("place")).first()[0]
+        if last is not None:
+            chosen = chosen | ((F.col("label") == label) & (F.col("place") <= last))
+    # the rows and their lengths are bounded, so one task may hold them
+    drawn = short.where(chosen).orderBy("place", "label").limit(toxic_rows + other_rows).select("text", "label").coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: list[np.ndarray] = []
@@ -302,11 +335,137 @@ def fit(docs: DataFrame, labels: DataFrame, keep, toxic_rows: int = TOXIC_ROWS,
                     yield tokens(*utf8(slab.column("text")))
 
         sample = Sample.of(pieces())
-        net = train(sample, np.concatenate([np.zeros(0, np.float32), *labels]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(net))], type=pa.binary())], names=["net"])
+        label = np.concatenate([np.zeros(0, np.float32), *labels])
+        # without texts of both kinds there is nothing to begin with
+        learner = begun(sample, label) if len(set(label)) > 1 else Learner.of(Network.new())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((vars(learner.net), learner.past))], type=pa.binary())], names=["net"])
 
     fitted = drawn.mapInArrow(run, "net binary").collect()
-    return Network(**pickle.loads(fitted[0].net)) if fitted else train(Sample.of([]), np.zeros(0, np.float32))
+    if not fitted:
+        return Learner.of(Network.new())
+    net, past = pickle.loads(fitted[0].net)
+    return Learner(Network(**net), past)
+
+
+def _passed(rows: DataFrame, learner: Learner, shards: int, weight: dict[int, float], number: int) -> Learner:
+    """The learner after a pass over all rows: every shard goes on from it, and a number changes by the mean of the changes
+    of the shards that moved it. Words are left out at random in all passes but the last.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(learner)
+    columns = [f"v{i}" for i in range(SIZE + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, random = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if own is None:
+                own = copy.deepcopy(shared.value)
+                random = np.random.default_rng([number, batch.column("shard")[0].as_py()])
+            for slab in slabs(batch, size=1 << 19):
+                part, label = tokens(*utf8(slab.column("text"))), slab.column("label").to_numpy().astype(np.float32)
+                factor = np.where(label == 1, weight[1], weight[0]) / BATCH
+                for first in range(0, len(label), BATCH):
+                    last = min(first + BATCH, len(label))
+                    span = slice(part.first[first], part.first[last])
+                    some = Tokens(part.rows[span], part.first[first:last + 1] - part.first[first], part.language[first:last])
+                    own.update(_hidden(some, random) if number < PASSES - 1 else some, label[first:last], factor[first:last])
+        if own is not None:
+            change = own.pieces()
+            change -= shared.value.pieces()
+            moved = np.flatnonzero(change.any(axis=1))
+            change = np.rint(change[moved] * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(moved), *[pa.array(change[:, i]) for i in range(len(columns))]], names=["piece", *columns])
+
+    dealt = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "label")
+    changes = dealt.select("shard", "text", "label").mapInArrow(run, ", ".join(f"{c} long" for c in ["piece", *columns]))
+    # one row for each row of the embedding table at most, and a hundred more
+    total = changes.groupBy("piece").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()
+    pieces, n = learner.pieces(), total.column("n").to_numpy()
+    pieces[total.column("piece").to_numpy()] += np.column_stack([total.column(c).to_numpy() for c in columns]) / n[:, None] / UNIT
+    shared.unpersist()
+    return learner.with_pieces(pieces)
+
+
+def calibrated(values: DataFrame) -> np.ndarray:
+    """Thresholds by language from ``language, raw, label`` of all texts kept back: those with the fewest errors, of equal
+    ones the one in the widest gap. A language with few texts of either kind takes the common one.
+    """
+    common = F.lit(len(LANGUAGES))
+    counted = values.union(values.select(common, "raw", "label")).groupBy("language", "raw").agg(
+        F.sum("label").cast("long").alias("toxic"), F.sum(1 - F.col("label")).cast("long").alias("other"))
+    counted = written(counted, "values")
+    totals = {r.language: r for r in counted.groupBy("language").agg(
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.max("raw").alias("most")).collect()}
+    # errors of a threshold just below each value: toxic texts under it, others from it on
+    sums = running(counted, ["language"], "raw", {"missed": ("toxic", "sum"), "passed": ("other", "sum"), "below": ("raw", "max")}, inclusive=False)
+    least = sums.groupBy("language").agg(F.min(F.struct(
+        (F.coalesce("missed", F.lit(0)) - F.coalesce("passed", F.lit(0))).alias("wrong"),
+        (F.coalesce("below", "raw") - F.col("raw")).alias("gap"), "raw", F.coalesce("below", "raw").alias("below"))).alias("best"))
+    found = {}
+    for r in least.collect():
+        own = totals[r.language]
+        # above all values every toxic text is missed, and no other one is taken for toxic
+        found[r.language] = own.most + 1.0 if own.toxic < r.best.wrong + own.other else (r.best.raw + r.best.below) / 2
+    out = np.zeros(len(LANGUAGES))
+    for k in range(len(LANGUAGES)):
+        enough = [x for x, few in ((k, LEAST), (len(LANGUAGES), 1)) if x in totals and min(totals[x].toxic, totals[x].other) >= few]
+        out[k] = found[enough[0]] if enough else 0.0
+    return out
+
+
+def _values(rows: DataFrame, net: Network) -> DataFrame:
+    """``language, raw, label`` of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch, size=1 << 20):
+                part = tokens(*utf8(slab.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(part.language.astype(np.int32)), pa.array(shared.value.raw(part).astype(np.float64)), slab.column("label")],
+                                                 names=["language", "raw", "label"])
+
+    return rows.select("text", "label").mapInArrow(run, "language int, raw double, label int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Network:
+    """A network fitted on all labelled texts that satisfy ``keep`` (a condition on ``doc_id``).
+
+    One in ``KEPT_BACK`` of the documents is not fitted on but sets the thresholds. Only numbers of the network come to the
+    driver. ``toxic_rows`` and ``other_rows`` bound the texts of the first network that the passes go on from.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    kinds = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(
+        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    path = scratch_path(spark, "labelled")
+    texts.join(broadcast_if_small(kinds), "doc_id").select(
+        "text", "label", F.xxhash64("doc_id", "text").alias("place"),
+        (F.pmod(F.xxhash64("doc_id", F.lit("kept back")), F.lit(KEPT_BACK)) == 0).alias("back")).write.parquet(path)
+    release_shuffles(spark)
+    rows = spark.read.parquet(path)
+
+    def counts(some: DataFrame) -> tuple[int, int, int]:
+        return tuple(x or 0 for x in some.agg(F.count("*"), F.sum("label"), F.sum(F.octet_length("text"))).first())
+
+    fitted = rows.where(~F.col("back"))
+    n, toxic, size = counts(fitted)
+    if not 0 < toxic < n:
+        # too few texts to keep any back
+        fitted, rows = rows, rows.limit(0)
+        n, toxic, size = counts(fitted)
+    if not 0 < toxic < n:
+        return train(Sample.of([]), np.full(min(n, 1), toxic > 0, np.float32))
+    learner = _first(fitted, toxic_rows, other_rows)
+    shards = max(-(-n // SHARD_ROWS), -(-size // SHARD_BYTES))
+    for number in range(PASSES):
+        learner = _passed(fitted, learner, shards, {1: n / (2 * toxic), 0: n / (2 * (n - toxic))}, number)
+        release_shuffles(spark)
+    net = learner.net
+    net.threshold = calibrated(_values(rows.where("back"), net))
+    discard(spark, path)
+    return net
 
 
 def scored(docs: DataFrame, net: Network, keep_rows: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from samplewright.llm import toxicity, trees
 
@@ -91,3 +92,29 @@ def test_training_lowers_the_loss_and_takes_one_class():
         assert ((same.score(sample.texts(np.arange(240))) >= 0.5) == only).all()
     none = toxicity.train(toxicity.Sample.of([]), np.zeros(0, np.float32))
     assert np.allclose(none.score(texts_of("a text", "")), 0.5)
+
+
+def test_all_labelled_texts_are_learned_from(spark):
+    """Also those too long for the first network; the result doesn't depend on how the rows lie."""
+    random = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("amo", "elu", "iro")]
+    texts = [(i, " ".join([*random.choice(words, 4200 if i % 10 == 0 else 12), *(["vilebad"] if i % 2 else [])])) for i in range(120)]
+    assert max(len(t) for _, t in texts) > toxicity.SAMPLE_CHARS
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = [spark.createDataFrame([(i, int(turned if i % 10 == 0 else i % 2)) for i in range(120)], "doc_id long, toxic int") for turned in (0, 1)]
+    nets = [toxicity.fit(d, x, F.lit(True)) for d, x in ((docs, labels[0]), (docs.repartition(7), labels[0]), (docs, labels[1]))]
+    assert (nets[0].table == nets[1].table).all() and (nets[0].out == nets[1].out).all() and (nets[0].threshold == nets[1].threshold).all()
+    assert (nets[0].table != nets[2].table).any()
+
+
+def test_thresholds_have_the_fewest_errors_on_all_texts(spark):
+    random = np.random.default_rng(8)
+    rows = [(int(k), float(np.round(random.normal(y + k, 0.8), 1)), int(y)) for k in (0, 1, 4) for y in random.integers(0, 2, 150)] + [(2, 0.5, 1), (2, 0.1, 0)]
+    found = toxicity.calibrated(spark.createDataFrame(rows, "language int, raw double, label int"))
+
+    def errors(chosen, cut):
+        return sum((raw >= cut) != bool(y) for _, raw, y in chosen)
+
+    for k in range(len(toxicity.LANGUAGES)):
+        chosen = [r for r in rows if r[0] == k] if k in (0, 1, 4) else rows
+        assert errors(chosen, found[k]) == min(errors(chosen, cut) for cut in [r[1] - 0.05 for r in chosen] + [99.0])
