@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ ORACLES: dict[str, str] = {}
 # Text bytes that one step inside a Python task works on at a time. A single longer text is a step of its own.
 SLAB_BYTES = 1 << 20
 
+# Bits of a filter of ids: about 64 for each id, at most 16 MB whatever the number of ids.
+FILTER_BITS = 1 << 27
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with its SQL where SQL can say it."""
@@ -65,6 +69,28 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def perhaps_among(column: str, ids: DataFrame):
+    """Condition that holds wherever ``column`` (a long) is one of the ids ``ids.<column>``, and for few other values.
+
+    A bit for each hash of an id goes to all tasks, so that most rows without a partner need not be shuffled to an exact
+    join. Null holds or not.
+    """
+    size = min(FILTER_BITS, 1 << max(20, (64 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
+    held = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    words = np.zeros(size // 64, dtype=np.int64)
+    words[held.column("word").to_numpy()] = held.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def among(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return among(place)
+
+
 def text_of(docs: DataFrame, column: str = "text"):
     """The text column with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, discard, release_shuffles, slabs, text_of, utf8, written
+from samplewright.llm.common import bounded_batches, discard, perhaps_among, release_shuffles, slabs, text_of, utf8, written
 from samplewright.llm.components import components
 from samplewright.llm.words import distinct_sets, lowered, mix, shingle_hashes, word_bounds, word_hashes
 from samplewright.session import broadcast_if_small, scratch_path
@@ -301,7 +301,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release_shuffles(spark)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi")).where(F.size("shingles") > 0).distinct(), "sets")
+    # most texts share no band with another one: they are left out before the join that needs a shuffle
+    wanted = written(wanted, "wanted")
+    texts = texts.where(perhaps_among("doc_id", wanted))
+    full = scratch_path(spark, "sets")
+    full_sets(texts.join(wanted, "doc_id", "left_semi")).where(F.size("shingles") > 0).distinct().write.parquet(full)
+    sets = spark.read.parquet(full)
+    release_shuffles(spark)
 
     # One document under several texts joins the components of all of them.
     several = marks.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y")
@@ -329,7 +335,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = left.join(right, "key").where("x > y and c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     across = likely(across.join(pairs, ["a", "b"], "left_anti"), distinct).select("a", "b")
     across = written(across.union(_across_blocks(inner.where(F.col("inside") > PAIRED), sets)).distinct(), "across")
+    release_shuffles(spark)
     labels = written(components(confirmed(across, sets), labels), "labels")
+    discard(spark, full)
+    release_shuffles(spark)
 
     named = drawn.select("doc_id", "n", "h1", "h2").join(owners, ["h1", "h2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
@@ -345,7 +354,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of rows that repeat an id one stays (the first text in order); rows with a null id stay.
     """
     found = written(near_duplicates(docs), "groups")
-    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    release_shuffles(docs.sparkSession)
+    # rows of one id stay or go together; only rows that may have to go are shuffled to the join that decides
+    gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    known, perhaps = docs.where("doc_id is not null"), perhaps_among("doc_id", gone)
+    kept = known.where(~perhaps).union(known.where(perhaps).join(gone, "doc_id", "left_anti").select(*docs.columns))
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     rest = docs.where("doc_id is null")
     if repeated.isEmpty():

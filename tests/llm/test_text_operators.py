@@ -17,7 +17,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from samplewright.llm import bpe, decontam, near_dup, pii, quality, secrets, toxicity, words
+from samplewright.llm import bpe, common, decontam, near_dup, pii, quality, secrets, toxicity, words
 from samplewright.llm.common import QUERIES
 from samplewright.llm.queries import tokenizer_path
 
@@ -227,6 +227,15 @@ def test_bpe_cache_limit(monkeypatch):
     assert [tokens.encode([t])[0].tolist() for t in texts] == [i.tolist() for i in bpe.Vocabulary(tokenizer_path()).encode(texts)]
 
 
+def test_filter_of_ids_loses_none_and_spares_most_rows(spark):
+    """Rows that can have no partner are told apart before any shuffle."""
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    rows = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    left = {r.doc_id for r in rows.where(common.perhaps_among("doc_id", ids)).collect()}
+    assert set(range(0, 3000, 3)) <= left and len(left) < 2000
+    assert rows.where(common.perhaps_among("doc_id", ids.limit(0))).count() == 0
+
+
 # ---- op3, op8
 
 
