@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from samplewright.functions.fixed import IMAGE_EXTENSIONS
 from samplewright.operators.images import spark_image_blobs
 from samplewright.operators.rank import ordered_position
 from samplewright.session import broadcast_if_small
+from samplewright.sources.ranges import TASK_BYTES
 from samplewright.sources.tables import take_prefix
 
+# Tasks for each core that a folder of small files is read by.
+TASKS_PER_CORE = 4
+
 
 def _two_levels_below(root: str):
     """Condition: ``path`` is a file of a direct subdirectory of ``root``."""
@@ -21,6 +26,12 @@ def _two_levels_below(root: str):
     return F.regexp_replace("path", "^[a-z0-9]+:/*", "/").rlike(f"{re.escape(bare)}/[^/]+/[^/]+$")
 
 
+def _in_few_tasks(files: DataFrame, total_bytes: int = 0) -> DataFrame:
+    """Files in tasks by their bytes: Spark counts each as 4 MB, so that small ones would take a task for every 32."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(TASKS_PER_CORE * cores, ceil(total_bytes / TASK_BYTES)))
+
+
 def list_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     """``path, label, filename, length`` of the files, contents unread."""
     files = (
@@ -28,7 +39,7 @@ def list_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IM
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
         .load(root).select("path", "length").where(_two_levels_below(root))
     )
-    return files.select("path", label_from_path("path").alias("label"), file_name("path").alias("filename"), "length")
+    return _in_few_tasks(files).select("path", label_from_path("path").alias("label"), file_name("path").alias("filename"), "length")
 
 
 def read_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IMAGE_EXTENSIONS,
@@ -43,6 +54,7 @@ def read_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IM
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
         .load(root).select("path", F.col("content").alias("image"))
     )
+    content = _in_few_tasks(content, listed.agg(F.sum("length")).first()[0] or 0)
     # A listing small enough is sent to the contents, which then stay where they are read.
     return content.join(broadcast_if_small(listed), "path").select(*listed.columns, "image")
 
@@ -50,7 +62,7 @@ def read_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IM
 def file_sizes(spark: SparkSession, root: str, container: str, glob: str = "*") -> DataFrame:
     """``container, path, length`` of the files below ``root``, contents unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select(F.lit(container).alias("container"), "path", "length")
+    return _in_few_tasks(files).select(F.lit(container).alias("container"), "path", "length")
 
 
 def read_decoded_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:

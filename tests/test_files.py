@@ -259,3 +259,15 @@ def test_timing_csv(spark, tmp_path):
     table_sinks.write_timings_csv(df, str(tmp_path / "c"))
     text = next((tmp_path / "c").glob("*.csv")).read_text().splitlines()
     assert text == ["model,batch_size,optimizer,gpu,gpu_mem_gb,batch_index,time_s,time_ms", "m,256,sgd,g,80.0,1,0.123457,123.46"]
+
+
+def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path):
+    """Not by one for every 32 files; by more where the bytes ask for them."""
+    for i in range(900):
+        (tmp_path / f"c{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"c{i % 3}" / f"{i:04d}.png").write_bytes(b"x" * (1 + i % 7))
+    few = folders.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for files in (folders.list_class_folder(spark, str(tmp_path)),):
+        assert files.count() == 900 and files.rdd.getNumPartitions() <= few
+    read = folders.read_class_folder(spark, str(tmp_path))
+    assert [(r.sample_idx, r.filename, len(r.image)) for r in read.orderBy("sample_idx").collect()[:3]] == [(0, "0000.png", 1), (1, "0003.png", 4), (2, "0006.png", 7)]
