@@ -32,6 +32,11 @@ def _in_few_tasks(files: DataFrame, total_bytes: int = 0) -> DataFrame:
     return files.coalesce(max(TASKS_PER_CORE * cores, ceil(total_bytes / TASK_BYTES)))
 
 
+def _folder_bytes(spark: SparkSession, root: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def list_class_folder(spark: SparkSession, root: str, exts: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     """``path, label, filename, length`` of the files, contents unread."""
     files = (
@@ -74,4 +79,4 @@ def read_decoded_folder(spark: SparkSession, root: str, exts: tuple[str, ...] =
         spark.read.format("image").option("dropInvalid", False)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(exts) + "}").load(root)
     )
-    return spark_image_blobs(decoded).where(_two_levels_below(root))
+    return spark_image_blobs(_in_few_tasks(decoded, _folder_bytes(spark, root))).where(_two_levels_below(root))

@@ -267,7 +267,8 @@ def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path):
         (tmp_path / f"c{i % 3}").mkdir(exist_ok=True)
         (tmp_path / f"c{i % 3}" / f"{i:04d}.png").write_bytes(b"x" * (1 + i % 7))
     few = folders.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    for files in (folders.list_class_folder(spark, str(tmp_path)),):
+    for files in (folders.list_class_folder(spark, str(tmp_path)), folders.read_decoded_folder(spark, str(tmp_path))):
         assert files.count() == 900 and files.rdd.getNumPartitions() <= few
     read = folders.read_class_folder(spark, str(tmp_path))
     assert [(r.sample_idx, r.filename, len(r.image)) for r in read.orderBy("sample_idx").collect()[:3]] == [(0, "0000.png", 1), (1, "0003.png", 4), (2, "0006.png", 7)]
+    assert folders._folder_bytes(spark, str(tmp_path)) == sum(1 + i % 7 for i in range(900))
