@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, slabs, text_of
+from samplewright.llm.common import bounded_batches, release_memory, slabs, text_of
 
 # Letters and numbers of later Unicode versions than the vocabulary's pre-tokenizer knows. To it they are
 # neither, whatever version the regular expressions of an executor have.
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, schema)

@@ -40,10 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Arrow batches bounded by bytes for tables of texts (a setting of the session, read when a plan runs)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def release_memory() -> None:
+    """Give back what Arrow keeps of freed batches; a Python worker calls it at the end of a task.
+
+    Spark keeps workers for later tasks, several for each core where a stage runs Python twice, and all of them count with
+    the executor's memory.
+    """
+    pa.default_memory_pool().release_unused()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

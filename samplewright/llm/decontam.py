@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, text_of
+from samplewright.llm.common import bounded_batches, release_memory, text_of
 from samplewright.llm.words import mix
 
 Q = 12
@@ -30,7 +30,8 @@ EDIT_RATE = 0.05
 BLOCK_CHARS = 4 << 20
 # Characters of text filtered in one step; longer texts are cut with an overlap that no quotation exceeds.
 STEP_CHARS = 2 << 20
-# Shared grams, and cells of alignments, that one step holds.
+# Grams hashed at once, and shared grams and cells of alignments that one step holds.
+STEP_GRAMS = 1 << 17
 STEP_HITS = 1 << 20
 STEP_CELLS = 1 << 22
 TABLE_BITS = 22
@@ -128,11 +129,14 @@ class Items:
         In text order and at most ``STEP_HITS`` at a time, for a gram may recur in an item as often as in the text.
         """
         table, names, first, item, place = self.index[width]
-        hashes = mix(gram_hashes(codes, width))
-        at = np.flatnonzero(table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(names, hashes[at]), len(names) - 1)
-        same = names[found] == hashes[at]
-        at, found = at[same], found[same]
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for begin in range(0, len(codes) - width + 1, STEP_GRAMS):
+            hashes = mix(gram_hashes(codes[begin:begin + STEP_GRAMS + width - 1], width))
+            some = np.flatnonzero(table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+            name = np.minimum(np.searchsorted(names, hashes[some]), len(names) - 1)
+            same = names[name] == hashes[some]
+            parts.append((some[same] + begin, name[same]))
+        at, found = (np.concatenate(x) for x in zip(*parts))
         ends = np.cumsum(first[found + 1] - first[found])
         total = int(ends[-1]) if len(ends) else 0
         for begin in range(0, total, STEP_HITS):
@@ -320,7 +324,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
     then the first). Items without a letter or digit, null items and null or empty texts match nothing. Rows that repeat
     an id are searched each, and their results appear each. Without benchmark rows the result is empty.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=500, size=2 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     schema = "doc_id long, item_id long, edits int, start long, end long"
 
@@ -336,6 +340,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
                     {"doc_id": ids[t], "item_id": i, "edits": e, "start": s, "end": x} for t, i, e, s, x in found
                 ], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()),
                                      ("start", pa.int64()), ("end", pa.int64())]))
+            release_memory()
 
         return rows.mapInArrow(run, schema)
 
@@ -351,7 +356,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RAT
 
     Each block of the benchmark is a filter inside the same stage, so documents are not shuffled. Null and empty texts stay.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=500, size=2 << 20)
     for block in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, block))
 
@@ -362,6 +367,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RAT
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[t for t, *_ in items.search(texts)]] = False
                 yield batch.filter(pa.array(keep))
+            release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, discard, perhaps_among, release_shuffles, slabs, text_of, utf8, written
+from samplewright.llm.common import bounded_batches, discard, perhaps_among, release_memory, release_shuffles, slabs, text_of, utf8, written
 from samplewright.llm.components import components
 from samplewright.llm.words import distinct_sets, lowered, mix, shingle_hashes, word_bounds, word_hashes
 from samplewright.session import broadcast_if_small, scratch_path
@@ -124,6 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     slab.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]),
                     pa.array([r.tobytes() for r in regs], type=pa.binary()),
                 ], names=["doc_id", "n", "h1", "h2", "registers"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, registers binary")
@@ -141,6 +142,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                     slab.column("doc_id"),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64))),
                 ], names=["id", "shingles"])
+        release_memory()
 
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
@@ -194,6 +196,7 @@ def likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(score[keep]),
             ], names=["a", "b", "score"])
+        release_memory()
 
     return joined.mapInArrow(run, "a long, b long, score double")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, slabs, text_of
+from samplewright.llm.common import bounded_batches, release_memory, slabs, text_of
 
 # Base patterns (fixed values); letters of the names count in either case, ASCII only.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -241,6 +241,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     [slab.column("doc_id"), *(pa.array(columns[i], type=kind) for i, kind in enumerate(
                         [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]))],
                     names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
@@ -251,19 +252,21 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
     No row goes; a null text stays null, and rows without a secret stay as they are.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=500, size=2 << 20)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            spans = [all_spans(t)[1] if t else [] for t in texts]
-            columns = {name: batch.column(i) for i, name in enumerate(names)}
-            clean = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
-            columns["text"] = pa.array(clean, type=batch.column(names.index("text")).type)
-            if "n_chars" in columns:
-                kind = columns["n_chars"].type
-                columns["n_chars"] = pa.array([len(c) if s else n for c, s, n in zip(clean, spans, columns["n_chars"].to_pylist())], type=kind)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            for slab in slabs(batch):
+                texts = slab.column(names.index("text")).to_pylist()
+                spans = [all_spans(t)[1] if t else [] for t in texts]
+                columns = {name: slab.column(i) for i, name in enumerate(names)}
+                clean = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
+                columns["text"] = pa.array(clean, type=slab.column(names.index("text")).type)
+                if "n_chars" in columns:
+                    kind = columns["n_chars"].type
+                    columns["n_chars"] = pa.array([len(c) if s else n for c, s, n in zip(clean, spans, columns["n_chars"].to_pylist())], type=kind)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

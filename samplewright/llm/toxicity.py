@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.llm.common import bounded_batches, discard, release_shuffles, slabs, text_of, utf8, written
+from samplewright.llm.common import bounded_batches, discard, release_memory, release_shuffles, slabs, text_of, utf8, written
 from samplewright.llm.quality import fold
 from samplewright.llm.words import lowered, word_bounds, word_hashes
 from samplewright.operators.rank import running
@@ -339,6 +339,7 @@ def _first(rows: DataFrame, toxic_rows: int, other_rows: int) -> Learner:
         # without texts of both kinds there is nothing to begin with
         learner = begun(sample, label) if len(set(label)) > 1 else Learner.of(Network.new())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((vars(learner.net), learner.past))], type=pa.binary())], names=["net"])
+        release_memory()
 
     fitted = drawn.mapInArrow(run, "net binary").collect()
     if not fitted:
@@ -376,6 +377,7 @@ def _passed(rows: DataFrame, learner: Learner, shards: int, weight: dict[int, fl
             moved = np.flatnonzero(change.any(axis=1))
             change = np.rint(change[moved] * UNIT).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(moved), *[pa.array(change[:, i]) for i in range(len(columns))]], names=["piece", *columns])
+        release_memory()
 
     dealt = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "label")
     changes = dealt.select("shard", "text", "label").mapInArrow(run, ", ".join(f"{c} long" for c in ["piece", *columns]))
@@ -424,6 +426,7 @@ def _values(rows: DataFrame, net: Network) -> DataFrame:
                 part = tokens(*utf8(slab.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array(part.language.astype(np.int32)), pa.array(shared.value.raw(part).astype(np.float64)), slab.column("label")],
                                                  names=["language", "raw", "label"])
+        release_memory()
 
     return rows.select("text", "label").mapInArrow(run, "language int, raw double, label int")
 
@@ -478,6 +481,7 @@ def scored(docs: DataFrame, net: Network, keep_rows: bool = False) -> DataFrame:
             for slab in slabs(batch, size=1 << 20):
                 score = shared.value.score(tokens(*utf8(slab.column("text"))))
                 yield pa.RecordBatch.from_arrays([slab.column("doc_id"), pa.array(score, type=pa.float64())], names=["doc_id", "score"])
+        release_memory()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,6 +490,7 @@ def scored(docs: DataFrame, net: Network, keep_rows: bool = False) -> DataFrame:
             scores = [shared.value.score(tokens(*utf8(slab.column("text")))) for slab in slabs(only, size=1 << 20)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
+        release_memory()
 
     if keep_rows:
         return docs.mapInArrow(clean, docs.schema)
