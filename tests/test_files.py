@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import tarfile
 import zipfile
@@ -9,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.errors import PythonException
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from samplewright.operators import images, metrics
@@ -272,3 +273,51 @@ def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path):
     read = folders.read_class_folder(spark, str(tmp_path))
     assert [(r.sample_idx, r.filename, len(r.image)) for r in read.orderBy("sample_idx").collect()[:3]] == [(0, "0000.png", 1), (1, "0003.png", 4), (2, "0006.png", 7)]
     assert folders._folder_bytes(spark, str(tmp_path)) == sum(1 + i % 7 for i in range(900))
+
+
+def odd_folder(root: Path) -> str:
+    """Hidden names, other levels and suffixes, links, empty files and classes, and names that are no plain words."""
+    for label in ("b c", "a", "_gone", "_k=1", ".dot", "_metadata_x", "empty", "\u00fc%20"):
+        (root / label).mkdir(parents=True)
+        for i, name in enumerate(("2.png", "10.JPEG", "_x.jpg", "_x=1.jpg", ".y.jpg", "_metadata.jpg", "z.jpg._COPYING_", "n.PNG", "no.txt", "p q%41.jpg", "\u00e9+#.png", "e.jpg")):
+            if label != "empty":
+                (root / label / name).write_bytes(b"x" * (3 * i % 31 + 1) if name != "e.jpg" else b"")
+    (root / "a" / "deep.png").mkdir()
+    (root / "a" / "deep.png" / "d.png").write_bytes(b"d")
+    (root / "top.png").write_bytes(b"t")
+    (root / "a" / "broken.png").symlink_to(root / "nowhere")
+    (root / "a" / os.fsdecode(b"bad\xff.png")).write_bytes(b"no name")
+    (root / "linked").symlink_to(root / "b c")
+    (root / "a" / "link.png").symlink_to(root / "top.png")
+    return str(root)
+
+
+def test_a_class_folder_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no file of it, and the rows are those of Spark's own source."""
+    root = odd_folder(tmp_path / "odd [1] {x}")
+
+    def rows(**how):
+        read = folders.read_class_folder(spark, root, **how)
+        return read.columns, read.dtypes, sorted(map(tuple, read.collect()))
+
+    assert not folders.list_class_folder(spark, root).inputFiles() and not folders.read_class_folder(spark, root).inputFiles()
+    monkeypatch.setattr(folders, "LISTED_ROWS", 2)
+    monkeypatch.setattr(folders, "READ_BYTES", 20)
+    mine = [rows(), rows(with_content=False), rows(max_samples=5), rows(exts=("txt",))]
+    assert {r[1] for r in mine[0][2]} == {"a", "b c", "linked", "_k=1", "_metadata_x", "\u00fc%20"}
+    assert sorted(r[4] for r in mine[0][2]) == list(range(6 * 5 + 1)) and all(len(r[5]) == r[3] for r in mine[0][2])
+    monkeypatch.setattr(folders, "_task_root", lambda *_: None)
+    plain = odd_folder(tmp_path / "odd")  # Spark's source takes brackets for patterns
+    monkeypatch.setattr(folders, "_in_few_tasks", lambda files, total_bytes=0: files)
+    again, root = root, plain
+    for (names, types, want), how in zip(mine, ({}, {"with_content": False}, {"max_samples": 5}, {"exts": ("txt",)})):
+        theirs = rows(**how)
+        assert (names, types) == theirs[:2]
+        assert [(r[0].replace(again, plain), *r[1:]) for r in want] == theirs[2]
+
+
+def test_a_folder_that_is_not_there(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert folders.read_class_folder(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        folders.list_class_folder(spark, str(tmp_path / "other"))
