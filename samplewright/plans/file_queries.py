@@ -28,6 +28,13 @@ def _blobs(spark, sf_dir) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows for tasks that write files: as they are read where no task holds more than a core's share, otherwise shuffled."""
+    held = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    most, total = held.agg(F.max("n"), F.sum("n")).first()
+    return rows if total and most * rows.sparkSession.sparkContext.defaultParallelism <= total else rows.repartition(key)
+
+
 def _run(report: DataFrame) -> None:
     report.write.format("noop").mode("overwrite").save()
 
@@ -50,7 +57,7 @@ def shard_roundtrip(spark, sf_dir):
 def class_folder_scan(spark, sf_dir):
     """Documents as files in one directory per language, numbered by directory and name."""
     root = scratch_path(spark, "folder")
-    _run(shard_sinks.write_class_folder(_blobs(spark, sf_dir).repartition("sample_idx"), root))
+    _run(shard_sinks.write_class_folder(_dealt(_blobs(spark, sf_dir), "sample_idx"), root))
     files = folders.read_class_folder(spark, root)
     return files.select("sample_idx", "label", "filename", "length", F.md5("image").alias("digest"))
 

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from samplewright.operators import images, metrics
+from samplewright.plans import file_queries
 from samplewright.sinks import shards as shard_sinks
 from samplewright.sinks import tables as table_sinks
 from samplewright.sources import archives, folders, ranges, runs, shards, tables
@@ -321,3 +322,15 @@ def test_a_folder_that_is_not_there(spark, tmp_path):
     assert folders.read_class_folder(spark, str(tmp_path / "none")).collect() == []
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         folders.list_class_folder(spark, str(tmp_path / "other"))
+
+
+def test_texts_are_shuffled_to_their_writers_only_where_tasks_are_uneven(spark, tmp_path):
+    for files, shuffled in ((4, False), (1, True)):
+        path = str(tmp_path / str(files))
+        blobs(spark, 400).coalesce(files).write.parquet(path)
+        dealt = file_queries._dealt(spark.read.parquet(path), "sample_idx")
+        assert ("Exchange" in dealt._jdf.queryExecution().toString()) == shuffled
+        shard_sinks.write_class_folder(dealt, f"{path}-folder").collect()
+        read = folders.read_class_folder(spark, f"{path}-folder")
+        assert read.count() == 399 and {r.filename for r in read.collect()} == {f"{i:04d}.jpg" for i in range(400) if i != 7}
+    assert file_queries._dealt(spark.read.parquet(path).limit(0), "sample_idx").count() == 0
