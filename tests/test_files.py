@@ -295,22 +295,22 @@ def odd_folder(root: Path) -> str:
 
 def test_a_class_folder_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     """The driver holds no file of it, and the rows are those of Spark's own source."""
+    plain = odd_folder(tmp_path / "odd")
+    assert not folders.list_class_folder(spark, plain).inputFiles() and not folders.read_class_folder(spark, plain).inputFiles()
     root = odd_folder(tmp_path / "odd [1] {x}")
 
     def rows(**how):
         read = folders.read_class_folder(spark, root, **how)
         return read.columns, read.dtypes, sorted(map(tuple, read.collect()))
 
-    assert not folders.list_class_folder(spark, root).inputFiles() and not folders.read_class_folder(spark, root).inputFiles()
     monkeypatch.setattr(folders, "LISTED_ROWS", 2)
     monkeypatch.setattr(folders, "READ_BYTES", 20)
     mine = [rows(), rows(with_content=False), rows(max_samples=5), rows(exts=("txt",))]
     assert {r[1] for r in mine[0][2]} == {"a", "b c", "linked", "_k=1", "_metadata_x", "\u00fc%20"}
     assert sorted(r[4] for r in mine[0][2]) == list(range(6 * 5 + 1)) and all(len(r[5]) == r[3] for r in mine[0][2])
     monkeypatch.setattr(folders, "_task_root", lambda *_: None)
-    plain = odd_folder(tmp_path / "odd")  # Spark's source takes brackets for patterns
     monkeypatch.setattr(folders, "_in_few_tasks", lambda files, total_bytes=0: files)
-    again, root = root, plain
+    again, root = root, plain  # Spark's source takes brackets for patterns
     for (names, types, want), how in zip(mine, ({}, {"with_content": False}, {"max_samples": 5}, {"exts": ("txt",)})):
         theirs = rows(**how)
         assert (names, types) == theirs[:2]
